@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_bpe, op6_quality, op7_secrets, op9_simhash
+from . import op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": lambda spark, d: op4_mixing.mix(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: op5_bpe.digests(table(spark, d, "documents")),
     "op6_quality": lambda spark, d: op6_quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_secrets": lambda spark, d: op7_secrets.secrets(table(spark, d, "documents")),

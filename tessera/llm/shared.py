@@ -14,18 +14,38 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 4000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into ``spark.checkpoint.dir``, which every executor can read after any of them is lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The session's setting is used. Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset (tests on one machine) a temporary folder is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, from which it is read again after any executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A side is broadcast only if it was counted and has at most so many (narrow) rows.
+BROADCAST_ROWS = 50_000
+#: Copies of the other side that a larger small side is joined through, so that a hot key is spread.
+SALTS = 64
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (distinct keys, already computed): broadcast if its counted rows allow
+    that, else dealt out by the keys and a salt from ``spread``, so that no key lands in one task."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys)
+    salted = small.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("salt__", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt__"]).drop("salt__")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
