@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash
+from . import op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash, op10_ogg
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": lambda spark, d: op2_language.languages(table(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: op3_toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_mixing": lambda spark, d: op4_mixing.mix(table(spark, d, "documents")),
     "op5_bpe": lambda spark, d: op5_bpe.digests(table(spark, d, "documents")),
     "op6_quality": lambda spark, d: op6_quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_secrets": lambda spark, d: op7_secrets.secrets(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: op9_simhash.near_duplicates(table(spark, d, "documents")),
+    "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
