@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash, op10_ogg
+from . import op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": lambda spark, d: op5_bpe.digests(table(spark, d, "documents")),
     "op6_quality": lambda spark, d: op6_quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_secrets": lambda spark, d: op7_secrets.secrets(table(spark, d, "documents")),
+    "op8_licenses": lambda spark, d: op8_licenses.licenses(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: op9_simhash.near_duplicates(table(spark, d, "documents")),
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
 }
