@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg
+from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_voronoi": lambda spark, d: op1_voronoi.search(table(spark, d, "embeddings")),
     "op2_language": lambda spark, d: op2_language.languages(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: op3_toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_mixing": lambda spark, d: op4_mixing.mix(table(spark, d, "documents")),
@@ -21,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE}
