@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries
+from . import chunk_queries, graph_queries
 
-_PARTS = (graph_queries,)
+_PARTS = (graph_queries, chunk_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
