@@ -1,14 +1,16 @@
 """Source trees as tables: the walk, ignore rules, line reading and settings.
 
-The walk is Spark's binaryFile reader over a folder, so it runs wherever the folder's file system does; path
-rules are filters on the path alone and come before any content is read.
+Path rules are filters on the path alone and come before those on content.
 """
 
 from __future__ import annotations
 
 import math
 import tomllib
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ SKIPPED = (
     ".archive", ".archived", "_archive", "_archived", ".backup", ".backups", ".old", ".deprecated", ".trash",
 )
 SKIPPED_AT_ROOT = ("out", "vendor", "vendored", "third_party", "thirdparty", "site-packages", "coverage", "generated", "dist", "build", "target")
-PACKAGE_MARKERS = ("__init__.py", "package.json", "go.mod", "Cargo.toml", "pyproject.toml", "pom.xml", "CMakeLists.txt")
+PACKAGE_MARKERS = ("__init__.py", "package.json", "index.ts", "index.js", "go.mod", "Cargo.toml")
 INDEXED = (*paths.CODE_EXTS, ".md")
 DEFAULTS = {"window": 40, "stride": 20, "max_chunks": 200, "cosine_floor": 0.25, "rerank": "on", "rerank_candidates": 30, "reindex": "auto"}
 
@@ -39,14 +41,36 @@ def declared_globs(gitattributes: str) -> list[str]:
     return [r[0] for r in rows if marks & {a.lower() for a in r[1:]}]
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` (below the root), ``length``, ``content`` of every file."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    name = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    return raw.select(name.alias("full"), "length", "content").select(
-        F.substring_index("full", base.split(":", 1)[-1].rstrip("/") + "/", -1).alias("path"), "length", "content"
-    )
+def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for full, path in zip(f["full"], f["path"]):
+            where, name = fs.FileSystem.from_uri(full)
+            try:
+                with where.open_input_stream(name) as stream:
+                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+            except FileNotFoundError:  # gone since it was listed
+                continue
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``full, path`` (below the root) of every file.
+
+    Names are listed by the folder's file system on the driver; ``contents`` reads on the executors. Spark's own
+    file sources leave out names that begin with an underscore, which source trees are full of.
+    """
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top, found, rows = system.makeQualified(base).toUri().toString().rstrip("/"), system.listFiles(base, True), []
+    while found.hasNext():
+        full = found.next().getPath().toUri().toString()
+        rows.append((full if "://" in full else full.replace(":/", ":///", 1), full[len(top) + 1 :]))
+    return spark.createDataFrame(rows, "full string, path string")
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """``path, content`` of listed files; one that is gone has no row."""
+    return listed.select("full", "path").repartition(F.xxhash64("path")).mapInPandas(_contents, "path string, content binary")
 
 
 def _folders(path: Column) -> Column:
@@ -55,7 +79,7 @@ def _folders(path: Column) -> Column:
 
 
 def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()) -> DataFrame:
-    """Files worth indexing of ``tree(path, content)``: path rules first, then binary and generated content.
+    """``path, text`` of the files worth indexing of a listing: path rules first, then binary and generated content.
 
     A folder name that means output at the root is kept if the folder is itself a package (has a marker file).
     """
@@ -69,7 +93,7 @@ def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()
     kept = tree.where(fine).withColumn("top", F.get(folders, F.lit(0)))
     kept = kept.join(own.withColumn("own", F.lit(True)), "top", "left").where(~F.coalesce(F.lower("top").isin(*SKIPPED_AT_ROOT), F.lit(False)) | F.coalesce("own", F.lit(False)))
     text = F.decode(F.col("content"), "UTF-8")
-    return kept.where(~paths.binary(F.col("content"))).select("path", text.alias("text")).where(~paths.generated_file(F.col("text")))
+    return contents(kept).where(~paths.binary(F.col("content"))).select("path", text.alias("text")).where(~paths.generated_file(F.col("text")))
 
 
 def settings(*texts: str) -> dict:
