@@ -56,18 +56,17 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.
     rows, parts, size = [], [], 0
 
     def out() -> tuple[list[int], np.ndarray, np.ndarray]:
-        # a space on both sides of each part keeps words of neighbours apart
-        joined = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "replace"), "<u4")
-        c = folded()[joined]
-        at = np.repeat(np.arange(len(parts)), [len(p) + 2 for p in parts])
-        keep = c[1:-1] != 0x20  # the middle of each n-gram is a letter
+        c = folded()[np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4")]
+        sizes = np.array([len(p) for p in parts])
+        middle = c != 0x20  # an n-gram counts if its middle is a letter
+        middle[np.cumsum(sizes) - 1] = middle[np.cumsum(sizes) - sizes] = False  # a part's ends are its neighbours' characters or spaces
+        at, where = np.repeat(np.arange(len(parts)), sizes), np.flatnonzero(middle)
         wide = c.astype(np.uint64)
-        h = wide[:-2] * _MIX[0] + wide[1:-1] * _MIX[1] + wide[2:] * _MIX[2]
-        return rows, h[keep], at[1:-1][keep]
+        return rows, wide[where - 1] * _MIX[0] + wide[where] * _MIX[1] + wide[where + 1] * _MIX[2], at[where]
 
     for i, t in enumerate(texts):
         for k in range(0, len(t or ""), CHUNK):
-            p = t[max(0, k - 2) : k + CHUNK]  # an n-gram over the cut is seen in the later part
+            p = (t[k - 1] if k else " ") + t[k : k + CHUNK] + (t[k + CHUNK : k + CHUNK + 1] or " ")
             if size + len(p) > CHUNK and parts:
                 yield out()
                 rows, parts, size = [], [], 0

@@ -26,13 +26,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest
 
 from .shared import TRAIN_ROWS, fold, labelled_sample, logistic
 
@@ -216,7 +216,7 @@ def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for n in LENGTHS:
                     if len(words[i]) >= n and words[i][:n] not in first:
                         first[words[i][:n]] = f"{words[i - 1]} {words[i + 1]}"
-            out += [(w, crc32(a.encode()) & 63, y) for w, a in first.items()]
+            out += [(w, xxh32_intdigest(a.encode()) & 63, y) for w, a in first.items()]
         yield pd.DataFrame(out, columns=["stem", "bit", "y"])
 
 

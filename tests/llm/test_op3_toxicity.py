@@ -73,6 +73,7 @@ def test_odd_rows(spark, docs_of, labels):
 
 
 def test_stems_need_varied_contexts(spark):
-    rows = [(1, f"a{i} badstem b{i} c{i}") for i in range(40)] + [(1, "same copied passage onlyhere again")] * 40 + [(0, f"z{i} good w{i}") for i in range(80)]
+    w = lambda i: chr(97 + i % 26) * (1 + i // 26) + "q"
+    rows = [(1, f"{w(i)} badstem {w(i + 7)}") for i in range(40)] + [(1, "same copied passage onlyhere again")] * 40 + [(0, f"{w(i)} good {w(i + 3)}") for i in range(80)]
     stems = op.learned_stems(spark.createDataFrame(rows, "y int, text string"), 80, 80, 0.5)
     assert "badstem" in stems and not any(s.startswith(("copied", "onlyher", "passage")) for s in stems)
