@@ -14,7 +14,7 @@ DATA = Path("/root/testdata")
 def spark():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}
     s = SparkSession.builder.master("local[4]").appName("tests").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
