@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg
+from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg, oracles
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE}
+ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES}
