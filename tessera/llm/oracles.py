@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op4_mixing import BUDGET, EPOCHS, LEVELS, SEED, WEIGHTS
 from .op7_secrets import ADDED, DUMMY, KINDS, RANDOM_CHARS, RANDOM_LENGTH, WIDE
 from .op8_licenses import NEIGHBOURS, PHRASES, TEMPLATES, VERIFY, K
 
@@ -56,3 +57,35 @@ FROM t LEFT JOIN h ON h.rid = t.rid LEFT JOIN y ON y.rid = t.rid LEFT JOIN z ON
 
 
 SECRETS, LICENSES = _secrets(), _licenses()
+
+
+def _mixing() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items())
+    out, above, parts = "", "root", []
+    for level in LEVELS:
+        parent, parts = list(parts), [*parts, level]
+        keys = ", ".join(parts)
+        group = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        on = " AND ".join(f"k.{p} = {above}.{p}" for p in parent) or "true"
+        path = " || '/' || ".join(f"k.{p}" for p in parts)
+        out += f"""
+n_{level} AS (SELECT k.*, {above}.budget AS b, CAST(CASE {path} {cases} ELSE 1 END AS HUGEINT) AS w FROM (SELECT {keys}, sum(s) AS s FROM leaf GROUP BY {keys}) k JOIN {above} ON {on}),
+o_{level} AS (SELECT *, sum(s) OVER ({group} ORDER BY CAST(s AS DOUBLE) / CAST(w AS DOUBLE), {keys}) - s AS before, sum(w) OVER ({group}) - sum(w) OVER ({group} ORDER BY CAST(s AS DOUBLE) / CAST(w AS DOUBLE), {keys}) + w AS open_w FROM n_{level}),
+f_{level} AS (SELECT *, (b - before) * w >= s * open_w AS filled FROM o_{level}),
+u_{level} AS (SELECT *, coalesce(sum(s) FILTER (WHERE filled) OVER ({group}), 0) AS used, sum(w) FILTER (WHERE NOT filled) OVER ({group}) AS share_w FROM f_{level}),
+{level}_b AS (SELECT {keys}, CAST(CASE WHEN filled THEN s ELSE least(s, ((b - used) * w) // share_w) END AS HUGEINT) AS budget FROM u_{level}),"""
+        above = f"{level}_b"
+    keys = ", ".join(LEVELS)
+    return f"""
+WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(source, ''), '[13579]$') THEN 'reference' ELSE 'web' END AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+  CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))) AS BIGINT) AS n FROM documents),
+leaf AS (SELECT {keys}, CAST(sum(n) AS HUGEINT) AS tokens, CAST(sum(n) * {EPOCHS} AS HUGEINT) AS s FROM t GROUP BY {keys}),
+root AS (SELECT CAST(least(sum(tokens) * {BUDGET} // 1000, sum(tokens) * {EPOCHS}) AS HUGEINT) AS budget FROM leaf),{out}
+p AS (SELECT {keys}, budget // tokens AS passes, budget % tokens AS rest FROM leaf JOIN source_b USING ({keys})),
+m AS (SELECT t.*, passes, rest, md5('{SEED}:' || passes || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM t JOIN p USING ({keys})),
+c AS (SELECT *, CAST(passes AS BIGINT) + CASE WHEN sum(n) OVER (PARTITION BY {keys} ORDER BY place, doc_id, n ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM m)
+SELECT doc_id, {keys}, n AS n_tokens, CAST(copies AS BIGINT) AS copies FROM c WHERE copies > 0
+"""
+
+
+MIXING = _mixing()

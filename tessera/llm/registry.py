@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES}
+ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op4_mixing": oracles.MIXING, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES}
