@@ -5,6 +5,10 @@ aggregated over the whole corpus by distinct owner and repository. A value held
 is a widely copied example; one with fewer owners that also looks random is owner-specific and live-looking.
 The base spans always stay; the method adds the provider tokens that it finds owner-specific.
 
+``secrets`` judges randomness as its SQL does (``looks_live``: 16 characters, a digit, no ``DUMMY`` word anywhere).
+``redacted`` masks by ``leaks``: any length, entropy relative to what the length and the kind's alphabet allow, and
+only values that are placeholders as a whole are left in clear text.
+
 Scale: candidates are few, so the corpus text is never shuffled. The distinct counts go through three
 map-side combined aggregations (owner and repository, owner, value), so a value in a third of all
 documents costs each task one row; the way back is a plain join that adaptive execution splits.
@@ -16,6 +20,8 @@ table gives an empty result; extra columns are ignored, also those named like th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,16 @@ DUMMY = "example|changeme|dummy|sample|placeholder|password|xxxx|0000|1234"
 WIDE = 5
 #: Least distinct characters and length of a value that looks random.
 RANDOM_CHARS, RANDOM_LENGTH = 8, 16
+#: Characters that a random value of the kind is drawn from, and the least share of the greatest possible entropy.
+ALPHABET, RANDOM_SHARE = {"assign": 64, "access": 32, "hex": 16, "provider": 64}, 0.6
+#: What placeholders are put together from; a value of which nothing else is left is one as a whole.
+FILLER = (
+    r"example|changeme|change|dummy|sample|placeholder|password|passwd|secret|token|value|string|default|insert|replace|redacted|undefined|hidden|access|api|key|your|my|test|here|null|none|true|false|todo"
+    r"|deadbeef|qwerty|0123456789abcdef|0?1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?|123|abcdef|abcd|(.)\1{3,}|[+/_.=-]"
+)
+PREFIX = r"^(?:AKIA|gh[opsu]_|xox[abprs]-|[sr]k_live_|AIza)"
+#: Further placeholders as a whole: long values that repeat one part, and those with the ending reserved for documentation.
+REPEATED, RESERVED, LONG = r"^(.{1,16})\1+$", r"EXAMPLE(?:KEY)?$", 20
 
 
 def _pattern(kind: str) -> Column:
@@ -80,6 +96,20 @@ def looks_live(value: Column) -> Column:
     return (F.length(value) >= RANDOM_LENGTH) & (chars >= RANDOM_CHARS) & value.rlike("[0-9]") & ~F.lower(value).rlike(DUMMY)
 
 
+def placeholder(value: Column) -> Column:
+    """True for values that are placeholders as a whole, not for those that merely contain such a word."""
+    rest = F.regexp_replace(F.lower(F.regexp_replace(value, PREFIX, "")), FILLER, "")
+    return (rest == "") | ((F.length(value) >= LONG) & (value.rlike(REPEATED) | value.rlike(RESERVED)))
+
+
+def leaks(value: Column, kind: Column) -> Column:
+    """True for values of ``kind`` that look random for their length and are no placeholder."""
+    n, alphabet = F.length(value), F.create_map(*[F.lit(x) for kv in ALPHABET.items() for x in kv])[kind]
+    counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: (n - F.length(F.replace(value, c, F.lit("")))).cast("double"))
+    entropy = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - c / n * F.log2(c / n))
+    return (entropy >= RANDOM_SHARE * F.log2(F.least(n, alphabet))) & ~placeholder(value)
+
+
 def ownership(candidates: DataFrame, wide: int = WIDE) -> DataFrame:
     """``(hash, n_owners, n_repos, copied)`` for each hash of ``candidates(hash, owner, repo)``."""
     pairs = candidates.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
@@ -91,12 +121,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def judged(rows: DataFrame, wide: int = WIDE) -> DataFrame:
-    """``(rid, start, rank, live, copied)`` for each candidate of ``rows(rid, owner, repo, spans)``."""
+def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value)) -> DataFrame:
+    """``(rid, start, rank, live, copied)`` for each candidate of ``rows(rid, owner, repo, spans)``; ``random`` judges value and kind."""
     each = rows.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s"))
-    each = each.select("rid", "owner", "repo", "s.start", "s.rank", "s.value", F.sha2("s.value", 256).alias("hash"))
+    each = each.select("rid", "owner", "repo", "s.start", "s.rank", "s.kind", "s.value", F.sha2("s.value", 256).alias("hash"))
     known = ownership(each, wide)
-    return each.join(known, "hash").select("rid", "start", "rank", "copied", (~F.col("copied") & looks_live(F.col("value"))).alias("live"))
+    return each.join(known, "hash").select("rid", "start", "rank", "copied", (~F.col("copied") & random(F.col("value"), F.col("kind"))).alias("live"))
 
 
 def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE) -> DataFrame:
@@ -117,13 +147,13 @@ def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide:
 
 
 def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the owner-specific, live-looking values masked in ``text`` and ``n_chars`` set anew.
+    """``docs`` with the owner-specific values that ``leaks`` finds random masked in ``text`` and ``n_chars`` set anew.
 
     Texts without a candidate pass untouched and are not shuffled. A row is known by its id and text.
     """
     key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("rid")
     rows = cut(scan(docs, key, F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")).drop("text").where(F.size("spans") > 0))
-    live = cut(judged(rows, wide).where("live").select("rid", "start", "rank").distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "rank")).alias("live")))
+    live = cut(judged(rows, wide, leaks).where("live").select("rid", "start", "rank").distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "rank")).alias("live")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hit = F.lit(False)
     for k in KINDS:
