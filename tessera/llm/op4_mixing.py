@@ -81,11 +81,11 @@ def _order(epoch: Column, seed: int, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def planned(docs: DataFrame, weights: dict[str, int] | None = None, budget: int = BUDGET, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, domain, language, source, n_tokens and ``copies``, how often it is taken."""
+def _by_row(docs: DataFrame, rid: Column, weights: dict[str, int] | None = None, budget: int = BUDGET, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+    """``planned`` with ``rid``, which tells rows apart."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = cut(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"),
+        rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), source.alias("source"), tokens_of(F.col("text").cast("string")).alias("n_tokens"),
     ))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
@@ -101,9 +101,14 @@ def planned(docs: DataFrame, weights: dict[str, int] | None = None, budget: int
         edge = cut(sums.where("before <= left and before + n > left").select(*LEVELS, "left", F.col("bucket").alias("edge"), "before"))
     placed = join_counted(placed, edge, [*LEVELS], "doc_id").withColumn("bucket", F.substring("place", 1, 2 * ROUNDS))
     whole = placed.where("bucket <> edge").withColumn("last", F.col("bucket") < F.col("edge"))
-    inside = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens", "rid").rowsBetween(Window.unboundedPreceding, 0)
     part = placed.where("bucket = edge").withColumn("last", F.col("before") + F.sum("n_tokens").over(inside) <= F.col("left"))
-    return whole.unionByName(part).select("doc_id", *LEVELS, "n_tokens", (F.col("passes") + F.col("last").cast("long")).alias("copies"))
+    return whole.unionByName(part).select("rid", "doc_id", *LEVELS, "n_tokens", (F.col("passes") + F.col("last").cast("long")).alias("copies"))
+
+
+def planned(docs: DataFrame, **how) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, domain, language, source, n_tokens and ``copies``, how often it is taken."""
+    return _by_row(docs, F.monotonically_increasing_id(), **how).drop("rid")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -112,9 +117,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the plan takes it; ids must tell rows apart (repeated ids share the most copies)."""
-    taken = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("k"))
-    taken = taken.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k"), "copies")
-    out = packed.join(taken, "k").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    """``docs`` with each row as often as the plan takes it; rows are told apart by position, never by id."""
+    held = cut(docs.withColumn("rid__", F.monotonically_increasing_id()))
+    taken = _by_row(held, F.col("rid__"), **how).where("copies > 0").select(F.col("rid").alias("rid__"), F.col("copies").alias("copies__"))
+    out = held.join(taken, "rid__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -80,3 +80,11 @@ def test_mixed_repeats_rows_as_planned(documents):
     got = {r["doc_id"]: r["count"] for r in op.mixed(documents).groupBy("doc_id").count().collect()}
     assert got == want
     assert op.mixed(documents).select(F.sum("n_chars")).first()[0] > 0
+
+
+def test_mixed_takes_rows_without_ids_as_planned(docs_of):
+    n = 40
+    docs = docs_of([" ".join(["w"] * (1 + i % 5)) for i in range(n)], ids=[None if i % 4 else 7 for i in range(n)], sources=[f"s{i % 2}" for i in range(n)])
+    for budget in (300, 1400):
+        want = op.mix(docs, budget=budget).agg(F.sum("copies"), F.sum(F.col("copies") * F.col("n_tokens"))).first()
+        assert tuple(op.mixed(clash(docs), budget=budget).agg(F.count("*"), F.sum(op.tokens_of(F.col("text")))).first()) == tuple(want)
