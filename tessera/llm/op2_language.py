@@ -1,20 +1,19 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One Bloom filter per language, stored sliced: slot i of the table holds a 64-bit word whose bit l is bit i
-of language l's filter. Looking an n-gram up reads ``HASHES`` slots and ands the words: the result is the
+One Bloom filter per language, stored sliced: slot i of the table holds a 64-bit word for every 64 languages,
+whose bit l is bit i of language l's filter. Looking an n-gram up reads ``HASHES`` slots and ands the words: the result is the
 mask of all languages that contain the n-gram. Per language the popcount over a text's n-grams is corrected
 for the filter's false positives (fill ** HASHES), and the language with most wins; ties go to the first
 name. A language contains an n-gram if it is among its ``GRAMS`` commonest of the training rows and its
 rate there is at least half of the highest rate of any language.
 
-Bounds: at most ``TRAIN_ROWS`` training rows per language (by a hash of the id), ``GRAMS`` n-grams per
-language and 64 languages; so the table (``SLOTS`` words, 2 MB) is of fixed size. Counting is a map-side
+Bounds: at most ``TRAIN_ROWS`` training rows per language (by a hash of the id) and ``GRAMS`` n-grams per
+language; the table takes ``SLOTS`` words (2 MB) for every 64 languages of the training rows. Counting is a map-side
 combined aggregation; prediction is one pass over Arrow batches without a shuffle.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; if nothing was learned all is
 ``und``; a text with letters but no known n-gram gets the language with most training rows and score 0; a
-null doc_id is not held out; rows may repeat; extra columns are ignored. With over 64 languages the 64 with
-most training rows are learned.
+null doc_id is not held out; rows may repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +34,13 @@ from .shared import fold
 
 TRAIN_ROWS, GRAMS, ORDER = 2000, 20_000, 3
 SLOTS, HASHES = 1 << 18, 2
+#: Languages to a word of the table.
+WORD = 64
 FOLDS, HELD = 3, 1
 #: Characters that are held as numbers at once.
 CHUNK = 1 << 20
+#: Counts by text and language that are held at once.
+COUNTS = 1 << 21
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -89,25 +92,30 @@ class Filters:
 
     def __init__(self, grams: dict[str, np.ndarray], rows: dict[str, int]):
         self.names = sorted(grams)
-        self.table = np.zeros(SLOTS, np.uint64)
-        for bit, name in enumerate(self.names):
+        self.table = np.zeros((max(1, -(-len(self.names) // WORD)), SLOTS), np.uint64)
+        for i, name in enumerate(self.names):
             for s in slots(grams[name].astype(np.uint64)):
-                self.table[s] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(self.table >> np.uint64(b) & np.uint64(1)) / SLOTS for b in range(len(self.names))])
+                self.table[i // WORD, s] |= np.uint64(1 << i % WORD)
+        fill = np.array([np.count_nonzero(self.table[i // WORD] >> np.uint64(i % WORD) & np.uint64(1)) / SLOTS for i in range(len(self.names))])
         self.false = fill**HASHES
         self.usual = min(self.names, key=lambda n: (-rows.get(n, 0), n)) if self.names else None
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram hash the mask of all languages that contain it."""
-        return reduce(operator.and_, [self.table[s] for s in slots(h)])
+    def masks(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram hash the mask of those of a word's languages that contain it."""
+        return reduce(operator.and_, [self.table[word, s] for s in slots(h)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if len(texts) > (step := max(1, COUNTS // max(1, len(self.names)))):
+            parts = [self.predict(texts[k : k + step]) for k in range(0, len(texts), step)]
+            return [x for names, _ in parts for x in names], [x for _, score in parts for x in score]
         n, hits = np.zeros(len(texts)), np.zeros((len(texts), max(1, len(self.names))))
         for rows, h, at in pieces(texts):
-            m, rows = self.masks(h), np.array(rows)
+            rows = np.array(rows)
             np.add.at(n, rows, np.bincount(at, minlength=len(rows)))
-            for bit in range(len(self.names)):
-                np.add.at(hits[:, bit], rows, np.bincount(at[(m >> np.uint64(bit) & np.uint64(1)).astype(bool)], minlength=len(rows)))
+            for word in range(len(self.table)):
+                m = self.masks(h, word)
+                for i in range(word * WORD, min(len(self.names), (word + 1) * WORD)):
+                    np.add.at(hits[:, i], rows, np.bincount(at[(m >> np.uint64(i % WORD) & np.uint64(1)).astype(bool)], minlength=len(rows)))
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
         true = np.clip((hits - n[:, None] * self.false) / (1 - self.false), 0, None)
@@ -136,19 +144,18 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame) -> Filters:
     """Filters from rows with a language outside the held-out fold."""
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
     rows = {r["lang"]: r["n"] for r in sizes.collect()}
     if not rows:
         return Filters({}, {})
     # the bound holds per language: ids under a hash limit that leaves about TRAIN_ROWS of them
     span = 1 << 30
-    limit = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, int(span * min(1.0, TRAIN_ROWS / n)))])
-    kept = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
-        F.col("lang").isin(*rows) & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD) & (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(span)) < limit[F.col("lang")])
-    )
+    limits = docs.sparkSession.createDataFrame([(k, int(span * min(1.0, TRAIN_ROWS / n))) for k, n in rows.items()], "lang string, most long")
+    kept = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
+    kept = kept.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(span)) < F.col("most"))  # a row a language
     counts = kept.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    rate = counts.where("n > 2").join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))  # at most 64 rows
+    rate = counts.where("n > 2").join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))  # a row a language
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
     own = top.select("gram", "top", F.explode("each").alias("e")).where("e.rate >= top / 2").select("e.lang", "gram", "e.n")
     # the commonest, down to a count below which a language would get over GRAMS: counts in steps of 2 ** (1/16)
@@ -163,9 +170,11 @@ def learn(docs: DataFrame) -> Filters:
             least[lang] = step
     if not least:
         return Filters({}, rows)
-    kept = own.where(F.col("step") >= F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("lang")])
-    got = kept.select("lang", "gram").toPandas()  # at most GRAMS rows a language
-    return Filters({k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in got.groupby("lang")}, rows)
+    names = sorted(least)
+    floors = docs.sparkSession.createDataFrame([(k, least[k], i) for i, k in enumerate(names)], "lang string, least int, i int")
+    kept = own.join(F.broadcast(floors), "lang").where("step >= least")
+    got = kept.select("i", "gram").toPandas()  # at most GRAMS rows a language, 12 bytes each
+    return Filters({names[i]: g["gram"].to_numpy(np.int64).view(np.uint64) for i, g in got.groupby("i")}, rows)
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,10 @@ def test_odd_rows(docs_of):
 def test_nothing_learned(docs_of):
     assert [r["lang_pred"] for r in op.languages(docs_of(["the cat"], langs=[None])).collect()] == ["und"]
     assert op.languages(docs_of([])).count() == 0
+
+
+def test_more_languages_than_a_word_has_bits(docs_of):
+    n, letters = 70, [chr(0x4E00 + k) for k in range(700)]
+    texts = ["".join(letters[10 * (i % n) : 10 * (i % n) + 10]) * 5 for i in range(12 * n)]
+    got = op.languages(docs_of(texts, langs=[f"l{i % n:02}" for i in range(12 * n)])).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % n:02}" for r in got)
