@@ -40,6 +40,8 @@ NEEDS = {"access": ("AKIA",), "provider": ("gh", "xox", "k_live_", "AIza", "eyJ"
 DUMMY = "example|changeme|dummy|sample|placeholder|password|xxxx|0000|1234"
 #: Owners from which on a value is a widely copied example.
 WIDE = 5
+#: Repositories from which on the pipeline takes a value for a widely copied example, even of one owner.
+WIDE_REPOS = 1000
 #: Least distinct characters and length of a value that looks random.
 RANDOM_CHARS, RANDOM_LENGTH = 8, 16
 #: Characters that a random value of the kind is drawn from, and the least share of the greatest possible entropy.
@@ -110,22 +112,23 @@ def leaks(value: Column, kind: Column) -> Column:
     return (entropy >= RANDOM_SHARE * F.log2(F.least(n, alphabet))) & ~placeholder(value)
 
 
-def ownership(candidates: DataFrame, wide: int = WIDE) -> DataFrame:
-    """``(hash, n_owners, n_repos, copied)`` for each hash of ``candidates(hash, owner, repo)``."""
+def ownership(candidates: DataFrame, wide: int = WIDE, wide_repos: int | None = None) -> DataFrame:
+    """``(hash, n_owners, n_repos, copied)`` for each hash of ``candidates(hash, owner, repo)``; without ``wide_repos`` only owners decide."""
     pairs = candidates.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    copied = (F.col("n_owners") >= wide) if wide_repos is None else (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos)
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")).withColumn("copied", F.col("n_owners") >= wide)
+    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")).withColumn("copied", copied)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value)) -> DataFrame:
+def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value), wide_repos: int | None = None) -> DataFrame:
     """``(rid, start, rank, live, copied)`` for each candidate of ``rows(rid, owner, repo, spans)``; ``random`` judges value and kind."""
     each = rows.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s"))
     each = each.select("rid", "owner", "repo", "s.start", "s.rank", "s.kind", "s.value", F.sha2("s.value", 256).alias("hash"))
-    known = ownership(each, wide)
+    known = ownership(each, wide, wide_repos)
     return each.join(known, "hash").select("rid", "start", "rank", "copied", (~F.col("copied") & random(F.col("value"), F.col("kind"))).alias("live"))
 
 
@@ -146,14 +149,14 @@ def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide:
     )
 
 
-def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE, mask: str = "[SECRET]", wide_repos: int = WIDE_REPOS) -> DataFrame:
     """``docs`` with the owner-specific values that ``leaks`` finds random masked in ``text`` and ``n_chars`` set anew.
 
     Texts without a candidate pass untouched and are not shuffled. A row is known by its id and text.
     """
     key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("rid")
     rows = cut(scan(docs, key, F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")).drop("text").where(F.size("spans") > 0))
-    live = cut(judged(rows, wide, leaks).where("live").select("rid", "start", "rank").distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "rank")).alias("live")))
+    live = cut(judged(rows, wide, leaks, wide_repos).where("live").select("rid", "start", "rank").distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "rank")).alias("live")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hit = F.lit(False)
     for k in KINDS:

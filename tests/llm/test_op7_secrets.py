@@ -87,3 +87,9 @@ def test_redacted_loses_no_random_token(docs_of):
     hexes, base32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     texts = [f"x {make(hexes, n)} y" for n in (24, 40, 64) for _ in range(3000)] + [f"x AKIA{make(base32, 16)} y" for _ in range(3000)]
     assert op.redacted(docs_of(texts)).where("text <> 'x [SECRET] y'").count() == 0
+
+
+def test_redacted_counts_repositories(docs_of):
+    texts = [f"token = {LIVE} {i}" for i in range(op.WIDE_REPOS)] + ["secret: q7w8e9r5t6y4u3i2o1p0"] * 2
+    got = {r["doc_id"]: r["text"] for r in op.redacted(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == texts[: op.WIDE_REPOS] + ["[SECRET]"] * 2
