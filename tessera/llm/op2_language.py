@@ -5,7 +5,8 @@ whose bit l is bit i of language l's filter. Looking an n-gram up reads ``HASHES
 mask of all languages that contain the n-gram. Per language the popcount over a text's n-grams is corrected
 for the filter's false positives (fill ** HASHES), and the language with most wins; ties go to the first
 name. A language contains an n-gram if it is among its ``GRAMS`` commonest of the training rows and its
-rate there is at least half of the highest rate of any language.
+rate there is at least half of the highest rate of any language that has it more than twice. One seen at most
+twice counts only in languages of up to ``GRAMS`` different n-grams, or of none more frequent.
 
 Bounds: at most ``TRAIN_ROWS`` training rows per language (by a hash of the id) and ``GRAMS`` n-grams per
 language; the table takes ``SLOTS`` words (2 MB) for every 64 languages of the training rows. Counting is a map-side
@@ -154,25 +155,27 @@ def learn(docs: DataFrame) -> Filters:
     kept = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
     kept = kept.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(span)) < F.col("most"))  # a row a language
     counts = kept.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    rate = counts.where("n > 2").join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))  # a row a language
-    top = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
-    own = top.select("gram", "top", F.explode("each").alias("e")).where("e.rate >= top / 2").select("e.lang", "gram", "e.n")
+    # n-grams seen once or twice count where a language has few others; they never take an n-gram from another language
+    total = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("n") > 2).alias("common"))
+    rate = counts.join(F.broadcast(total), "lang").where((F.col("n") > 2) | (F.col("kinds") <= GRAMS) | (F.col("common") == 0)).withColumn("rate", F.col("n") / F.col("all"))  # a row a language
+    top = rate.groupBy("gram").agg(F.max(F.when(F.col("n") > 2, F.col("rate"))).alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
+    own = top.select("gram", "top", F.explode("each").alias("e")).where("top is null or e.rate >= top / 2").select("e.lang", "gram", "e.n")
     # the commonest, down to a count below which a language would get over GRAMS: counts in steps of 2 ** (1/16)
     own = own.withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
-    least: dict[str, int] = {}
+    least: dict[str, tuple[int, int]] = {}
     steps = sorted(((r["lang"], r["step"], r["count"]) for r in own.groupBy("lang", "step").count().collect()), key=lambda x: (x[0], -x[1]))
     for lang, group in groupby(steps, key=lambda x: x[0]):
         reach = 0
         for _, step, n in group:
             if (reach := reach + n) > GRAMS:
+                least.setdefault(lang, (step, span * GRAMS // n))  # the commonest alone are too many: GRAMS of them by hash
                 break
-            least[lang] = step
+            least[lang] = step, span
     if not least:
         return Filters({}, rows)
     names = sorted(least)
-    floors = docs.sparkSession.createDataFrame([(k, least[k], i) for i, k in enumerate(names)], "lang string, least int, i int")
-    kept = own.join(F.broadcast(floors), "lang").where("step >= least")
+    floors = docs.sparkSession.createDataFrame([(k, *least[k], i) for i, k in enumerate(names)], "lang string, least int, most long, i int")
+    kept = own.join(F.broadcast(floors), "lang").where((F.col("step") >= F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(span)) < F.col("most")))
     got = kept.select("i", "gram").toPandas()  # at most GRAMS rows a language, 12 bytes each
     return Filters({names[i]: g["gram"].to_numpy(np.int64).view(np.uint64) for i, g in got.groupby("i")}, rows)
 

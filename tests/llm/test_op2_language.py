@@ -62,3 +62,13 @@ def test_more_languages_than_a_word_has_bits(docs_of):
     texts = ["".join(letters[10 * (i % n) : 10 * (i % n) + 10]) * 5 for i in range(12 * n)]
     got = op.languages(docs_of(texts, langs=[f"l{i % n:02}" for i in range(12 * n)])).collect()
     assert all(r["lang_pred"] == f"l{r['doc_id'] % n:02}" for r in got)
+
+
+def test_rare_languages_keep_all_grams(docs_of, monkeypatch):
+    rare = "дождь идёт с утра"
+    ids = [i for i in range(60) if crc32(str(i).encode()) % 3 != 1]
+    docs = docs_of(["the cat and the dog " * 9] * (len(ids) - 1) + [rare], ids=ids, langs=["en"] * (len(ids) - 1) + ["ru"])
+    for grams in (op.GRAMS, 8):
+        monkeypatch.setattr(op, "GRAMS", grams)
+        got = {r["doc_id"]: r["lang_pred"] for r in op.languages(docs).collect()}
+        assert got[ids[-1]] == "ru" and {got[i] for i in ids[:-1]} == {"en"}
