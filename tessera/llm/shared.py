@@ -1,8 +1,7 @@
-"""What several operators share: cutting lineage, column checks, held-out folds, labelled samples."""
+"""What several operators share: salted joins, held-out folds, labelled samples, a logistic fit."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,29 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import BROADCAST_ROWS, clearing, cut, join_hot, remove, shared_folder  # noqa: F401
+
 #: At most so many labelled rows train a classifier; a documented bound, the same at every input size.
 TRAIN_ROWS = 4000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is made.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, from which it is read again after any executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: A side is broadcast only if it was counted and has at most so many (narrow) rows.
-BROADCAST_ROWS = 50_000
 #: Copies of the other side that a larger small side is joined through, so that a hot key is spread.
 SALTS = 64
 
