@@ -1,17 +1,19 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every text is searched for the base kinds and for provider tokens. Each found value is hashed; hashes are
-aggregated over the whole corpus by distinct owner and repository. A value held by ``WIDE`` or more owners
-is a widely copied example; one with fewer owners that also looks random is owner-specific and live-looking.
-The base spans always stay; the method adds the provider tokens that it finds owner-specific.
+aggregated over the whole corpus by distinct owner and repository. A value held by ``WIDE`` or more owners, or in
+``WIDE_REPOS`` or more repositories, is a widely copied example; one with fewer that also looks random is
+owner-specific and live-looking. The base spans always stay; the method adds the provider tokens that it finds
+owner-specific.
 
 ``secrets`` judges randomness as its SQL does (``looks_live``: 16 characters, a digit, no ``DUMMY`` word anywhere).
 ``redacted`` masks by ``leaks``: any length, entropy relative to what the length and the kind's alphabet allow, and
 only values that are placeholders as a whole are left in clear text.
 
-Scale: candidates are few, so the corpus text is never shuffled. The distinct counts go through three
-map-side combined aggregations (owner and repository, owner, value), so a value in a third of all
-documents costs each task one row; the way back is a plain join that adaptive execution splits.
+Scale: candidates are few, so the corpus text is never shuffled; their places are running sums over the rows of
+one text. The distinct counts go through three map-side combined aggregations (owner and repository, owner, value),
+so a value in a third of all documents costs each task one row; on the way back such values are broadcast
+(``join_hot``).
 
 Defined results: null text counts as empty; a null owner or repository counts as one owner or repository
 of its own; rows may repeat and ids may be null (rows are told apart by position, never by id); an empty
@@ -22,10 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, join_hot
 
 # The patterns of the kinds, the group that holds the value and its least length.
 KINDS = {
@@ -40,8 +42,10 @@ NEEDS = {"access": ("AKIA",), "provider": ("gh", "xox", "k_live_", "AIza", "eyJ"
 DUMMY = "example|changeme|dummy|sample|placeholder|password|xxxx|0000|1234"
 #: Owners from which on a value is a widely copied example.
 WIDE = 5
-#: Repositories from which on the pipeline takes a value for a widely copied example, even of one owner.
-WIDE_REPOS = 1000
+#: Repositories from which on a value is a widely copied example, even of one owner.
+WIDE_REPOS = 50
+#: Characters of a text that are cut out together when spans are masked.
+BLOCK = 4096
 #: Least distinct characters and length of a value that looks random.
 RANDOM_CHARS, RANDOM_LENGTH = 8, 16
 #: Characters that a random value of the kind is drawn from, and the least share of the greatest possible entropy.
@@ -68,29 +72,42 @@ def found(text: Column, kind: str) -> Column:
     return all_ if not need else F.when(F.expr(" or ".join(f"contains(text, '{x}')" for x in need)), all_).otherwise(none)
 
 
-def located(text: Column, matches: Column, kind: str) -> Column:
-    """``array<struct<start,rank,end,kind,value>>`` of the matches that pass, from the gaps between matches."""
-    _, group, least = KINDS[kind]
-    span = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+def candidates(text: Column) -> Column:
+    """``array<struct<rank,i,gap,match>>`` of all kinds: each match with the length of the text between it and the match before."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        value = F.regexp_extract(x["match"], KINDS[kind][0], group) if group else x["match"]
-        one = F.struct(start.alias("start"), F.lit([*KINDS].index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def of(kind: str) -> Column:
+        matches = found(text, kind)
+        gaps = F.slice(F.split(text, KINDS[kind][0], -1), F.lit(1), F.size(matches))
+        both = F.transform(
+            F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), matches.alias("match")),
+            lambda x, i: F.struct(F.lit([*KINDS].index(kind)).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["match"].alias("match")),
+        )
+        return F.when(F.size(matches) > 0, both).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:int,match:string>>"))
 
-    gaps = F.slice(F.split(text, KINDS[kind][0], -1), F.lit(1), F.size(matches))
-    return F.when(F.size(matches) > 0, F.aggregate(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(span))
+    return F.concat(*[of(k) for k in KINDS])
 
 
 def scan(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``keep`` and ``spans``, all candidates of a row ordered by start and kind."""
-    got = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = got.select("*", *[found(F.col("text"), k).alias(f"m_{k}") for k in KINDS])
-    spans = F.concat(*[located(F.col("text"), F.col(f"m_{k}"), k) for k in KINDS])
-    return got.select("*", F.array_sort(spans).alias("spans")).drop(*[f"m_{k}" for k in KINDS])
+    """``keep``, ``rid`` (the row's place) and ``found``, all candidates of a row; one narrow pass in which each pattern runs once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    got = docs.select(*keep, F.monotonically_increasing_id().alias("rid"), text.alias("text"))
+    return got.withColumn("found", candidates(F.col("text"))).drop("text")
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """``rid, owner, repo, kind, rank, start, end, value`` of the candidates of ``rows(rid, owner, repo, found)`` that are long enough.
+
+    Places are running sums over the matches of one kind and text, so the work is linear in the matches.
+    """
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
+    each = rows.where(F.size("found") > 0).select("rid", "owner", "repo", F.explode("found").alias("f")).select("rid", "owner", "repo", "f.*").withColumn("kind", kind)
+    upto = Window.partitionBy("rid", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto).cast("int")).withColumn("start", F.col("end") - F.length("match"))
+    value, least = F.col("match"), F.lit(0)
+    for k, (pattern, group, n) in KINDS.items():
+        value = F.when(F.col("kind") == k, F.regexp_extract("match", pattern, group)).otherwise(value) if group else value
+        least = F.when(F.col("kind") == k, F.lit(n)).otherwise(least)
+    return each.select("rid", "owner", "repo", "kind", "rank", "start", "end", value.alias("value")).where(F.length("value") >= least)
 
 
 def looks_live(value: Column) -> Column:
@@ -112,69 +129,67 @@ def leaks(value: Column, kind: Column) -> Column:
     return (entropy >= RANDOM_SHARE * F.log2(F.least(n, alphabet))) & ~placeholder(value)
 
 
-def ownership(candidates: DataFrame, wide: int = WIDE, wide_repos: int | None = None) -> DataFrame:
-    """``(hash, n_owners, n_repos, copied)`` for each hash of ``candidates(hash, owner, repo)``; without ``wide_repos`` only owners decide."""
-    pairs = candidates.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
-    copied = (F.col("n_owners") >= wide) if wide_repos is None else (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos)
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")).withColumn("copied", copied)
+def ownership(candidates: DataFrame, wide: int = WIDE, wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """``(hash, n, n_owners, n_repos, copied)`` for each hash of ``candidates(hash, owner, repo)``: rows, distinct owners and repositories."""
+    pairs = candidates.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).agg(F.count("*").alias("n"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    known = owners.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    return known.withColumn("copied", (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value), wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """``(rid, kind, rank, start, end, live, copied)`` for each candidate of ``rows(rid, owner, repo, found)``; ``random`` judges value and kind."""
+    each = cut(located(rows).withColumn("hash", F.sha2("value", 256)))
+    known = cut(ownership(each, wide, wide_repos))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    said = join_hot(each, known, "hash", "n", total, "copied")
+    return said.select("rid", "kind", "rank", "start", "end", "copied", (~F.col("copied") & random(F.col("value"), F.col("kind"))).alias("live"))
 
 
-def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value), wide_repos: int | None = None) -> DataFrame:
-    """``(rid, start, rank, live, copied)`` for each candidate of ``rows(rid, owner, repo, spans)``; ``random`` judges value and kind."""
-    each = rows.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s"))
-    each = each.select("rid", "owner", "repo", "s.start", "s.rank", "s.kind", "s.value", F.sha2("s.value", 256).alias("hash"))
-    known = ownership(each, wide, wide_repos)
-    return each.join(known, "hash").select("rid", "start", "rank", "copied", (~F.col("copied") & random(F.col("value"), F.col("kind"))).alias("live"))
+def _joined(which: Column) -> Column:
+    spans = F.array_sort(F.collect_list(F.when(which, F.struct("start", "rank", "end", "kind"))))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """The contract's rows and, for each document, how many of its values are live-looking or widely copied."""
-    row = [F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")]
-    rows = cut(scan(docs, *row).drop("text"))
-    said = judged(rows, wide).groupBy("rid").agg(
-        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), F.collect_list(F.when(F.col("live") & F.col("rank").isin([[*KINDS].index(k) for k in ADDED]), F.struct("start", "rank"))).alias("added")
+    rows = cut(scan(docs, F.col("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")))
+    base = F.col("kind").isin(*BASE)
+    said = judged(rows, wide, wide_repos=wide_repos).groupBy("rid").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE], _joined(base).alias("base"), _joined(base | F.col("live")).alias("spans"), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied")
     )
-    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    added = F.coalesce("added", F.array().cast("array<struct<start:int,rank:int>>"))
-    shown = F.filter("spans", lambda s: s["kind"].isin(*BASE) | F.array_contains(added, F.struct(s["start"].alias("start"), s["rank"].alias("rank"))))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return rows.join(said, "rid", "left").select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(shown).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+    zero, none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c), lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("rid", "doc_id").join(said, "rid", "left").select(
+        "doc_id", *[zero(f"n_{k}") for k in BASE], F.sha2(none("base"), 256).alias("base_sha256"), none("spans").alias("spans"), zero("n_live"), zero("n_copied")
     )
 
 
+def _piece(start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of the text in ``blocks``, without a walk from the text's beginning."""
+    first = F.floor(start / BLOCK).cast("int")
+    near = F.array_join(F.slice("blocks", first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(near, start - first * BLOCK + 1, end - start)).otherwise("")
+
+
 def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide: int = WIDE, mask: str = "[SECRET]", wide_repos: int = WIDE_REPOS) -> DataFrame:
     """``docs`` with the owner-specific values that ``leaks`` finds random masked in ``text`` and ``n_chars`` set anew.
 
-    Texts without a candidate pass untouched and are not shuffled. A row is known by its id and text.
+    The patterns run once, in a pass that is kept in the shared folder. Texts without a candidate pass untouched and are
+    not shuffled. Of overlapping spans the first writes the mask and the others extend what it covers.
     """
-    key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("rid")
-    rows = cut(scan(docs, key, F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")).drop("text").where(F.size("spans") > 0))
-    live = cut(judged(rows, wide, leaks, wide_repos).where("live").select("rid", "start", "rank").distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "rank")).alias("live")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hit = F.lit(False)
-    for k in KINDS:
-        hit = hit | (F.size(found(F.col("text"), k)) > 0)
-    packed = packed.withColumn("hit", hit)
-    rest = packed.where("hit").withColumn("doc_id", F.col("row.doc_id")).withColumn("rid", key)
-    spans = scan(rest.join(live, "rid"), F.col("row"), F.col("live"))
-    inside = F.filter("spans", lambda s: F.array_contains("live", F.struct(s["start"].alias("start"), s["rank"].alias("rank"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        # of overlapping spans the first writes the mask and the others extend what it covers
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = spans.withColumn("m", F.aggregate(inside, zero, step)).withColumn("new", F.concat("m.out", F.substring(F.col("text"), F.col("m.at") + 1, F.length("text"))))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c) for c in {"text", owner, repo}])
+    held = cut(scan(packed, F.col("row"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")))
+    live = judged(held.drop("row"), wide, leaks, wide_repos).where("live").select("rid", "start", "end")
+    order = Window.partitionBy("rid").orderBy("start", "end")
+    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = live.withColumn("new", (F.col("start") >= reach).cast("int")).withColumn("at", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    masks = live.groupBy("rid", "at").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("masks"))
+    rest = held.where(F.size("found") > 0).select("rid", "row").join(masks, "rid", "left")
+    done = rest.where("masks is not null").withColumn("blocks", F.regexp_extract_all("row.text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    before = lambda i: F.when(i > 0, F.get("masks", i - 1)["end"]).otherwise(0)
+    kept = F.transform("masks", lambda m, i: F.concat(_piece(before(i), m["start"]), F.lit(mask)))
+    done = done.withColumn("new", F.concat(F.array_join(kept, ""), _piece(F.element_at("masks", -1)["end"], F.length("row.text"))))
     of = lambda c: F.col(f"row.`{c}`").alias(c)
     new = {"text": F.col("new").alias("text"), "n_chars": F.length("new").cast("long").alias("n_chars")}
-    same = packed.where("not hit").select("row").unionByName(rest.join(live.select("rid"), "rid", "left_anti").select("row"))
+    same = held.where(F.size("found") == 0).select("row").unionByName(rest.where("masks is null").select("row"))
     return same.select(*[of(c) for c in docs.columns]).unionByName(done.select(*[new.get(c) if c in new else of(c) for c in docs.columns]))

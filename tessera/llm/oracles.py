@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .op4_mixing import BUDGET, EPOCHS, LEVELS, SEED, WEIGHTS
-from .op7_secrets import ADDED, DUMMY, KINDS, RANDOM_CHARS, RANDOM_LENGTH, WIDE
+from .op7_secrets import ADDED, DUMMY, KINDS, RANDOM_CHARS, RANDOM_LENGTH, WIDE, WIDE_REPOS
 from .op8_licenses import NEIGHBOURS, PHRASES, TEMPLATES, VERIFY, K
 
 
@@ -23,8 +23,8 @@ s AS (SELECT rid, kind, rank, m, g, unnest(range(1, len(m) + 1)) AS i FROM x),
 p AS (SELECT rid, kind, rank, m[i] AS match, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS start,
   CASE WHEN kind = 'assign' THEN regexp_extract(m[i], '{patterns['assign']}', 2) ELSE m[i] END AS value FROM s),
 c AS (SELECT rid, kind, rank, value, CAST(start AS BIGINT) AS start, CAST(start + length(match) AS BIGINT) AS stop FROM p WHERE length(value) >= CASE WHEN kind = 'assign' THEN {KINDS['assign'][2]} ELSE 0 END),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM c JOIN t ON t.rid = c.rid GROUP BY value),
-j AS (SELECT c.*, owners >= {WIDE} AS copied, owners < {WIDE} AND length(c.value) >= {RANDOM_LENGTH} AND len(list_distinct(string_split(c.value, ''))) >= {RANDOM_CHARS}
+o AS (SELECT value, count(DISTINCT owner) >= {WIDE} OR count(DISTINCT struct_pack(a := owner, b := coalesce(CAST(doc_id AS VARCHAR), ''))) >= {WIDE_REPOS} AS copied FROM c JOIN t ON t.rid = c.rid GROUP BY value),
+j AS (SELECT c.*, copied, NOT copied AND length(c.value) >= {RANDOM_LENGTH} AND len(list_distinct(string_split(c.value, ''))) >= {RANDOM_CHARS}
   AND regexp_matches(c.value, '[0-9]') AND NOT regexp_matches(lower(c.value), '{DUMMY}') AS live FROM c JOIN o ON o.value = c.value),
 a AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE copied) AS n_copied,
   string_agg({shown}) FILTER (WHERE kind NOT IN ({added})) AS base, string_agg({shown}) FILTER (WHERE kind NOT IN ({added}) OR live) AS spans FROM j GROUP BY rid)

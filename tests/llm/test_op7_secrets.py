@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from conftest_llm import clash
 
@@ -93,3 +94,41 @@ def test_redacted_counts_repositories(docs_of):
     texts = [f"token = {LIVE} {i}" for i in range(op.WIDE_REPOS)] + ["secret: q7w8e9r5t6y4u3i2o1p0"] * 2
     got = {r["doc_id"]: r["text"] for r in op.redacted(docs_of(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == texts[: op.WIDE_REPOS] + ["[SECRET]"] * 2
+
+
+def test_many_repositories_of_one_owner_are_copies(docs_of):
+    texts = [f"token = {LIVE} {i}" for i in range(op.WIDE_REPOS)] + [f"token = q7w8e9r5t6y4u3i2o1p0 {i}" for i in range(op.WIDE_REPOS - 1)]
+    got = {r["doc_id"]: r for r in op.secrets(docs_of(texts)).collect()}
+    assert all(got[i]["n_copied"] == 2 and got[i]["n_live"] == 0 for i in range(op.WIDE_REPOS))
+    assert all(got[i]["n_copied"] == 0 and got[i]["n_live"] == 1 for i in range(op.WIDE_REPOS, len(texts)))
+
+
+def test_many_matches_in_one_text(docs_of):
+    rng = random.Random(6)
+    text = "".join(f"é token={''.join(rng.choices('abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789', k=14))} \n" for _ in range(100_000))
+    began = time.monotonic()
+    got = op.secrets(docs_of([text])).first()
+    assert got["n_assign"] == 100_000 and got["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    masked = op.redacted(docs_of([text])).first()
+    assert masked["text"] == re.sub("token=\\w+", "[SECRET]", text) and masked["n_chars"] == len(masked["text"])
+    assert time.monotonic() - began < 60
+
+
+def test_overlapping_spans_are_masked_once(docs_of):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(50)]
+    texts = ["ü" * rng.randrange(9000) + f"secret: {h}" + "x" * rng.randrange(3) + ("" if k % 2 else f" AKIAQWERTYZUIOP{rng.randrange(1 << 20):05X}") + " 😀" * rng.randrange(6000) for k, h in enumerate(hexes)]
+    out = {r["doc_id"]: r["text"] for r in op.redacted(docs_of(texts)).collect()}
+    for k, t in enumerate(texts):
+        want = re.sub(r"secret: [0-9a-fx]+", "[SECRET]", t)
+        assert out[k] == re.sub(r"AKIA[A-Z0-9]{16,}", "[SECRET]", want)
+
+
+def test_hot_values_are_not_gathered(docs_of, monkeypatch):
+    from tessera import storage
+
+    monkeypatch.setattr(storage, "HOT", 3)
+    texts = [f"token = {LIVE}"] * 30 + ["secret: q7w8e9r5t6y4u3i2o1p0", "none"]
+    got = op.secrets(docs_of(texts, sources=[f"o{i % 8}" for i in range(32)])).collect()
+    check(got, dict(enumerate(texts)))
+    assert sorted(r["n_copied"] for r in got) == [0, 0] + [2] * 30
