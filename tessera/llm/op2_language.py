@@ -6,9 +6,10 @@ mask of all languages that contain the n-gram. Per language the popcount over a
 for the filter's false positives (fill ** HASHES), and the language with most wins; ties go to the first
 name. A language contains an n-gram if it is among its ``GRAMS`` commonest of the training rows and its
 rate there is at least half of the highest rate of any language that has it more than twice. One seen at most
-twice counts only in languages of up to ``GRAMS`` different n-grams, or of none more frequent.
+twice counts only in languages of up to ``GRAMS`` different n-grams, or of none more frequent. A language of which
+nothing would be left keeps all its n-grams, so every language whose training rows hold a letter has a filter.
 
-Bounds: at most ``TRAIN_ROWS`` training rows per language (by a hash of the id) and ``GRAMS`` n-grams per
+Bounds: about ``TRAIN_ROWS`` different training texts per language (by a hash of the text) and ``GRAMS`` n-grams per
 language; the table takes ``SLOTS`` words (2 MB) for every 64 languages of the training rows. Counting is a map-side
 combined aggregation; prediction is one pass over Arrow batches without a shuffle.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold
+from .shared import cut, fold
 
 TRAIN_ROWS, GRAMS, ORDER = 2000, 20_000, 3
 SLOTS, HASHES = 1 << 18, 2
@@ -142,29 +143,41 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+def sampled(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``(lang, text)``, about ``TRAIN_ROWS`` different texts of each language, and the training rows by language.
+
+    Texts are chosen by a hash of the text, so neither null nor repeated ids, nor copies, decide whether a language
+    is learned: one of at most ``TRAIN_ROWS`` different texts keeps them all.
+    """
+    lang, text = F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    usable = docs.where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select(lang, text, F.xxhash64(text).alias("h"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("text").isNotNull(), F.col("h")), 0.02).alias("kinds")).collect()
+    if not sizes:
+        return usable.select("lang", "text"), {}
+    span = 1 << 30
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(span * min(1.0, TRAIN_ROWS / max(1, r["kinds"])))) for r in sizes], "lang string, most long")
+    kept = usable.where("text is not null").join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(span)) < F.col("most"))  # a row a language
+    return kept.dropDuplicates(["lang", "h"]).select("lang", "text"), {r["lang"]: r["n"] for r in sizes}
+
+
 def learn(docs: DataFrame) -> Filters:
     """Filters from rows with a language outside the held-out fold."""
-    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = {r["lang"]: r["n"] for r in sizes.collect()}
+    kept, rows = sampled(docs)
     if not rows:
         return Filters({}, {})
-    # the bound holds per language: ids under a hash limit that leaves about TRAIN_ROWS of them
     span = 1 << 30
-    limits = docs.sparkSession.createDataFrame([(k, int(span * min(1.0, TRAIN_ROWS / n))) for k, n in rows.items()], "lang string, most long")
-    kept = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    kept = kept.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(span)) < F.col("most"))  # a row a language
-    counts = kept.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(kept.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # n-grams seen once or twice count where a language has few others; they never take an n-gram from another language
     total = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("n") > 2).alias("common"))
     rate = counts.join(F.broadcast(total), "lang").where((F.col("n") > 2) | (F.col("kinds") <= GRAMS) | (F.col("common") == 0)).withColumn("rate", F.col("n") / F.col("all"))  # a row a language
-    top = rate.groupBy("gram").agg(F.max(F.when(F.col("n") > 2, F.col("rate"))).alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
-    own = top.select("gram", "top", F.explode("each").alias("e")).where("top is null or e.rate >= top / 2").select("e.lang", "gram", "e.n")
+    top = rate.groupBy("gram").agg(F.max(F.when(F.col("n") > 2, F.col("rate"))).alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))  # a row a language at most
+    own = top.select("gram", "top", F.explode("each").alias("e")).select("e.lang", "gram", "e.n", F.expr("top is null or e.rate >= top / 2").alias("own"))
     # the commonest, down to a count below which a language would get over GRAMS: counts in steps of 2 ** (1/16)
-    own = own.withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    own = cut(own.withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
+    steps = own.groupBy("lang", "own", "step").count().collect()
+    has = {r["lang"] for r in steps if r["own"]}  # a language all of whose n-grams are commoner elsewhere keeps them all
     least: dict[str, tuple[int, int]] = {}
-    steps = sorted(((r["lang"], r["step"], r["count"]) for r in own.groupBy("lang", "step").count().collect()), key=lambda x: (x[0], -x[1]))
-    for lang, group in groupby(steps, key=lambda x: x[0]):
+    for lang, group in groupby(sorted(((r["lang"], r["step"], r["count"]) for r in steps if r["own"] or r["lang"] not in has), key=lambda x: (x[0], -x[1])), key=lambda x: x[0]):
         reach = 0
         for _, step, n in group:
             if (reach := reach + n) > GRAMS:
@@ -174,9 +187,9 @@ def learn(docs: DataFrame) -> Filters:
     if not least:
         return Filters({}, rows)
     names = sorted(least)
-    floors = docs.sparkSession.createDataFrame([(k, *least[k], i) for i, k in enumerate(names)], "lang string, least int, most long, i int")
-    kept = own.join(F.broadcast(floors), "lang").where((F.col("step") >= F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(span)) < F.col("most")))
-    got = kept.select("i", "gram").toPandas()  # at most GRAMS rows a language, 12 bytes each
+    floors = docs.sparkSession.createDataFrame([(k, *least[k], i, k not in has) for i, k in enumerate(names)], "lang string, least int, most long, i int, every boolean")
+    kept = own.join(F.broadcast(floors), "lang").where((F.col("own") | F.col("every")) & (F.col("step") >= F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(span)) < F.col("most")))
+    got = kept.select("i", "gram").toPandas()  # at most about GRAMS rows a language, 12 bytes each
     return Filters({names[i]: g["gram"].to_numpy(np.int64).view(np.uint64) for i, g in got.groupby("i")}, rows)
 
 

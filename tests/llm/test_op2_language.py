@@ -72,3 +72,81 @@ def test_rare_languages_keep_all_grams(docs_of, monkeypatch):
         monkeypatch.setattr(op, "GRAMS", grams)
         got = {r["doc_id"]: r["lang_pred"] for r in op.languages(docs).collect()}
         assert got[ids[-1]] == "ru" and {got[i] for i in ids[:-1]} == {"en"}
+
+
+FINNISH = "hän sanoi että talossa oli vettä ja yö oli pitkä kuin jää"
+
+
+def trains(i):
+    return crc32(str(i).encode()) % 3 != 1
+
+
+def test_two_rows_of_a_language(docs_of):
+    ids = [i for i in range(200) if trains(i)][:62]
+    texts = ["the cat and the dog " * 9] * 60 + [FINNISH, FINNISH + " kala"]
+    got = {r["doc_id"]: r["lang_pred"] for r in op.languages(docs_of(texts, ids=ids, langs=["en"] * 60 + ["fi"] * 2)).collect()}
+    assert [got[i] for i in ids] == ["en"] * 60 + ["fi"] * 2
+
+
+def test_null_and_repeated_ids_and_copies(docs_of, monkeypatch):
+    monkeypatch.setattr(op, "TRAIN_ROWS", 20)
+    one = next(i for i in range(9) if trains(i))
+    texts = [f"{FINNISH} {'ä' * (k % 50)}" for k in range(300)] + ["the cat and the dog sat here"] * 300 + [f"der hund und die katze {'u' * k}" for k in range(60)]
+    ids, langs = [None] * 300 + [one] * 300 + [i for i in range(1000) if trains(i)][:60], ["fi"] * 300 + ["en"] * 300 + ["de"] * 60
+    docs = docs_of(texts, ids=ids, langs=langs)
+    sample, rows = op.sampled(docs)
+    assert rows == {"fi": 300, "en": 300, "de": 60}
+    n = Counter(r["lang"] for r in sample.collect())
+    assert n["en"] == 1 and 5 <= n["fi"] <= 45 and 5 <= n["de"] <= 45
+    wrong = docs.sparkSession.createDataFrame([(t, lg) for t, lg in zip(texts, langs)], "text string, lang string").distinct().collect()
+    names, _ = op.learn(docs).predict([r["text"] for r in wrong])
+    assert [r["lang"] for r in wrong] == names
+
+
+def test_language_that_others_cover(docs_of):
+    ids = [i for i in range(200) if trains(i)][:90]
+    texts = ["alpha alpha alpha"] * 30 + ["omega omega omega"] * 30 + ["alpha omega sigma tau alpha omega pi rho delta"] * 15 + ["alpha omega"] * 15
+    got = op.learn(docs_of(texts, ids=ids, langs=["a"] * 30 + ["o"] * 30 + ["x"] * 15 + ["y"] * 15))
+    assert got.names == ["a", "o", "x", "y"]
+
+
+def test_ties_and_long_texts():
+    g = np.array([1, 2, 3], np.uint64)
+    f = op.Filters({"b": g, "a": g}, {"a": 1, "b": 2})
+    _, h, _ = next(op.pieces(["abc"]))
+    same = op.Filters({"b": h, "a": h}, {"a": 1, "b": 2})
+    assert same.predict(["abc"])[0] == ["a"] and f.predict(["xyz"]) == (["b"], [0.0])
+    long = "abc " * 1_000_000
+    assert same.predict([long, "abc"])[0] == ["a", "a"]
+
+
+def test_against_plain_sets(documents):
+    """The same rule with exact sets of n-grams instead of filters."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    grams = lambda t: Counter(h for _, hs, _ in op.pieces([t]) for h in hs.tolist())
+    counts = {}
+    for lang, t in {(lg, t) for i, t, lg in rows if trains(i) and lg is not None and t is not None}:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    own = {}
+    for lang, c in counts.items():
+        rate = {g: n / sum(c.values()) for g, n in c.items() if n > 2 or len(c) <= op.GRAMS}
+        tops = {g: max((o[g] / sum(o.values()) for o in counts.values() if o[g] > 2), default=0) for g in rate}
+        own[lang] = {g for g in rate if rate[g] >= tops[g] / 2}
+    assert all(len(x) <= op.GRAMS for x in own.values())
+    got, near = {r["doc_id"]: r["lang_pred"] for r in op.languages(documents).collect()}, 0
+    for i, t, _ in rows:
+        c = grams(t or "")
+        hits = sorted(((sum(n for g, n in c.items() if g in own[lang]), lang) for lang in own), reverse=True)
+        if not c:
+            assert got[i] == "und"
+        elif hits[0][0] - hits[1][0] > 0.1 * sum(c.values()):
+            assert got[i] == hits[0][1]
+        else:
+            near += 1
+    assert near <= len(rows) // 10
+
+
+def test_held_out_accuracy_on_more_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = op.languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 3000 and np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.99
