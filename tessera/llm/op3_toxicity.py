@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text becomes clauses of token classes: I insult, V threat, T target, N negation, R reported speech, O any
-other. Five transducers read a clause; each passes its input on and rewrites some symbols: the insult
-transducer marks insults, the threat transducer marks a threat that is followed by its target, the target
-transducer marks insults in a clause with a target, the negation transducer cancels an event shortly after a
-negation, the reporting transducer marks events after a reporting verb. They are composed once into one
-deterministic machine. Each event that the machine accepts has a weight; a clause scores the sum of its
-events, a text a logistic function of its clauses, so isolated words matter only through their clauses.
+A text becomes clauses of token classes: I insult, W doubtful insult (learned only), V threat, T target, N
+negation, R reported speech, O any other. Five transducers read a clause; each passes its input on and rewrites some
+symbols: the insult transducer marks insults, the threat transducer marks a threat that is followed by its target,
+the target transducer marks insults in a clause with a target, the negation transducer cancels an event shortly after
+a negation, the reporting transducer marks events after a reporting verb. They are composed once into one
+deterministic machine.
+
+Scores come from matched clauses. A clause's score is the sum over its kinds of event of weight * log2(1 + events),
+so the second insult of a clause adds less than the first. A text's score is the logistic of a base, of its clauses'
+amounts by kind (log2(1 + their sum), so further clauses add less and less) and of how dense plain and doubtful
+insults are among its words. So "You idiot. You moron. You scum." scores higher than "You idiot moron scum."
 
 Learned from labels: the insult lexicon is extended by word stems that are nearly sure signs of label 1 in
-varied contexts (copies of one passage don't count as variety), and event weights come from logistic
-regression with the grammar's hand-set weights as prior, so patterns that the labels never show keep their
-meaning.
+varied contexts (copies of one passage don't count as variety); stems that clean texts hold too, but only now and
+then, become doubtful insults, which count by density. Event weights come from logistic regression with the grammar's
+hand-set weights as prior, so patterns that the labels never show keep their meaning.
 
 Bounds: ``TRAIN_ROWS`` labelled rows (by a hash of the id), ``STEMS`` learned stems. Stem counts are
 map-side combined aggregations; scoring is one pass over Arrow batches without a shuffle.
@@ -24,8 +28,10 @@ repeat; labels that are null or not 0 or 1 are ignored; extra columns are ignore
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -34,12 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .shared import TRAIN_ROWS, fold, labelled_sample, logistic
+from .shared import TRAIN_ROWS, cut, fold, labelled_sample, logistic
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 #: A learned stem: its lengths, how sure a sign it is at the corpus's rate of labels, the evidence for it in nats
 #: (contexts times divergence from the sample's rate), and how many are learned.
 LENGTHS, SURE, EVIDENCE, STEMS = range(3, 9), 0.9, 18.0, 500
+#: A doubtful stem is a sure sign where it is dense: twice in a row and in at least this share of its words.
+RATE = 0.01
+#: Of a doubtful stem and a sure one that is a form of it, the sure one gives way if the other has ``FORMS`` times its rows.
+FORMS = 1.5
 #: A longer stem replaces a shorter one if it keeps so large a share of its rows.
 KEEPS = 0.95
 
@@ -96,12 +106,12 @@ def outputs(t: Transducer) -> set[str]:
     return {out for _, out in t.arcs.values()}
 
 
-CLASSES = "IVTNRO"
-#: Events start with i (insult) or v (threat); marks follow: t target, n negated, r reported.
+CLASSES = "IWVTNRO"
+#: Events start with i (insult), w (doubtful insult) or v (threat); marks follow: t target, n negated, r reported.
 
 
 def insult_machine() -> Transducer:
-    return build(0, CLASSES, lambda q, a: (0, "i" if a == "I" else a))
+    return build(0, CLASSES, lambda q, a: (0, a.lower() if a in "IW" else a))
 
 
 def threat_machine(alphabet: set[str]) -> Transducer:
@@ -126,13 +136,13 @@ def negation_machine(alphabet: set[str]) -> Transducer:
     def step(left: int, a: str) -> Arc:
         if a == "N":
             return NEAR, a
-        return max(0, left - 1), a + "n" if left and a[0] in "iv" else a
+        return max(0, left - 1), a + "n" if left and a[0] in "iwv" else a
 
     return build(0, alphabet, step)
 
 
 def report_machine(alphabet: set[str]) -> Transducer:
-    return build(False, alphabet, lambda q, a: (q or a == "R", a + "r" if q and a[0] in "iv" else a))
+    return build(False, alphabet, lambda q, a: (q or a == "R", a + "r" if q and a[0] in "iwv" else a))
 
 
 def grammar() -> Transducer:
@@ -142,15 +152,18 @@ def grammar() -> Transducer:
     return machine
 
 
-EVENTS = tuple(f"{e}{n}{r}" for e in ("i", "it", "vt") for n in ("", "n") for r in ("", "r"))
+EVENTS = tuple(f"{e}{n}{r}" for e in ("i", "it", "vt", "w") for n in ("", "n") for r in ("", "r"))
 #: Hand-set weights, the prior of the learned ones: a negated or reported event hardly counts.
-PRIOR = {"i": 4.0, "it": 5.0, "vt": 4.0}
+PRIOR = {"i": 4.0, "it": 5.0, "vt": 4.0, "w": 0.5}
 NEGATED, REPORTED, BASE = 0.2, 0.5, -3.0
+#: Kinds whose density among the words counts, and the prior weight of that.
+DENSE, DENSITY = (("i", "it"), ("w",)), 0.0
+WIDTH = len(EVENTS) + len(DENSE) + 1
 
 
 def prior() -> np.ndarray:
     weight = lambda e: PRIOR[e.rstrip("nr")] * (NEGATED if "n" in e else 1) * (REPORTED if "r" in e else 1)
-    return np.array([*map(weight, EVENTS), BASE])
+    return np.array([*map(weight, EVENTS), *[DENSITY] * len(DENSE), BASE])
 
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
@@ -159,10 +172,10 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
 class Grammar:
     """The composed machine as a table over numbered states, with the lexicon and the learned insult stems."""
 
-    def __init__(self, stems: Iterable[str] = ()):
-        self.classes = {w: c for c in reversed(CLASSES[:-1]) for w in LEXICON[c].split()}
-        self.stems = frozenset(stems)
-        self.lengths = sorted({len(x) for x in self.stems})
+    def __init__(self, stems: Iterable[str] = (), doubtful: Iterable[str] = ()):
+        self.classes = {w: c for c in LEXICON for w in reversed(LEXICON[c].split())}
+        self.stems = {**dict.fromkeys(doubtful, "W"), **dict.fromkeys(stems, "I")}
+        self.lengths = sorted({len(x) for x in self.stems}, reverse=True)
         machine = grammar()
         number = {q: i for i, q in enumerate(dict.fromkeys(q for q, _ in machine.arcs))}
         self.next = {(number[q], a): (number[p], out) for (q, a), (p, out) in machine.arcs.items()}
@@ -170,14 +183,20 @@ class Grammar:
         self.heads = frozenset(w[:3] for w in [*self.stems, *(w for w, c in self.classes.items() if c in "IV")])
 
     def of(self, token: str) -> str:
-        known = self.classes.get(token)
-        return known or ("I" if any(token[:n] in self.stems for n in self.lengths) else "O")
+        """The token's class: by the lexicon, else by its longest learned stem."""
+        return self.classes.get(token) or next((self.stems[token[:n]] for n in self.lengths if token[:n] in self.stems), "O")
 
     def events(self, text: str | None) -> list[list[str]]:
         """The events of each clause that has any."""
-        tokens = _TOKEN.findall((text or "").lower().replace("’", "'"))
+        return self._events(self._tokens(text))
+
+    @staticmethod
+    def _tokens(text: str | None) -> list[str]:
+        return _TOKEN.findall((text or "").lower().replace("’", "'"))
+
+    def _events(self, tokens: list[str]) -> list[list[str]]:
         live = {t for t in tokens if t[:3] in self.heads}
-        live = {t for t in live if self.of(t) in "IV"}
+        live = {t for t in live if self.of(t) in "IWV"}
         if not live:
             return []
         out, start = [], 0
@@ -192,17 +211,28 @@ class Grammar:
         q, got = self.start, []
         for t in clause:
             q, out = self.next[q, self.of(t)]
-            if out[0] in "iv":
+            if out[0] in "iwv":
                 got.append(out)
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """For each kind of event log(1 + its count over the clauses), and 1."""
-        n = dict.fromkeys(EVENTS, 0)
-        for clause in self.events(text):
-            for e in clause:
-                n[e] += 1
-        return [*np.log1p(list(n.values())).tolist(), 1.0]
+        """For each kind of event the amount over the clauses, the densities, and 1."""
+        tokens = self._tokens(text)
+        found = self._events(tokens)
+        if not found:
+            return [0.0] * (WIDTH - 1) + [1.0]
+        amount, n = dict.fromkeys(EVENTS, 0.0), dict.fromkeys(EVENTS, 0)
+        for clause in found:
+            for e in set(clause):
+                amount[e] += log2(1 + clause.count(e))
+                n[e] += clause.count(e)
+        words = sum(t not in self.stops for t in tokens)
+        return [*[log2(1 + x) for x in amount.values()], *[log2(1 + 100 * sum(n[e] for e in kinds) / words) for kinds in DENSE], 1.0]
+
+
+def clause_score(events: list[str], weights: np.ndarray) -> float:
+    """The score of one matched clause."""
+    return float(sum(weights[EVENTS.index(e)] * log2(1 + events.count(e)) for e in dict.fromkeys(events)))
 
 
 def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,46 +241,62 @@ def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for y, text in zip(f["y"].tolist(), f["text"]):
             words = ["", *re.findall(r"[^\W\d_]+", (text or "").lower()), ""]
-            first: dict[str, str] = {}
+            first, n = {}, Counter()
             for i in range(1, len(words) - 1):
-                for n in LENGTHS:
-                    if len(words[i]) >= n and words[i][:n] not in first:
-                        first[words[i][:n]] = f"{words[i - 1]} {words[i + 1]}"
-            out += [(w, xxh32_intdigest(a.encode()) & 63, y) for w, a in first.items()]
-        yield pd.DataFrame(out, columns=["stem", "bit", "y"])
-
-
-def learned_stems(sample: DataFrame, bad: int, good: int, base: float) -> list[str]:
-    """Stems that mark label 1, among ``bad`` and ``good`` sampled rows; ``base`` is the corpus's rate of label 1."""
-    each = sample.mapInPandas(_stems, "stem string, bit int, y int").withColumn("mask", F.expr("shiftleft(1L, bit)"))
-    seen = each.groupBy("stem").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.expr("bit_or(if(y = 1, mask, 0L))").alias("bits"))
-    # distinct contexts from the share of the 64 bits that are set
-    contexts = F.least(F.col("pos").cast("double"), -64 * F.log(1 - F.least(F.bit_count("bits"), F.lit(63)) / 64))
+                for k in LENGTHS:
+                    if len(words[i]) >= k:
+                        first.setdefault(stem := words[i][:k], f"{words[i - 1]} {words[i + 1]}")
+                        n[stem] += 1
+            least = max(2, RATE * len(words))
+            out += [(w, xxh32_intdigest(a.encode()) & 63, y, int(n[w] >= least)) for w, a in first.items()]
+        yield pd.DataFrame(out, columns=["stem", "bit", "y", "dense"])
+
+
+def learned_stems(sample: DataFrame, bad: int, good: int, base: float) -> tuple[list[str], list[str]]:
+    """Sure and doubtful stems that mark label 1, among ``bad`` and ``good`` sampled rows; ``base`` is the corpus's rate of label 1."""
+    each = sample.mapInPandas(_stems, "stem string, bit int, y int, dense int").withColumn("mask", F.expr("shiftleft(1L, bit)"))
+    sums = [x for k, on in (("sure", "true"), ("dense", "dense = 1")) for x in (
+        F.expr(f"count_if(y = 1 and {on})").alias(f"{k}_pos"), F.expr(f"count_if(y = 0 and {on})").alias(f"{k}_neg"), F.expr(f"bit_or(if(y = 1 and {on}, mask, 0L))").alias(f"{k}_bits")
+    )]
+    seen = each.groupBy("stem").agg(*sums)
     p, ratio = bad / (bad + good), (1 - base) / base * bad / good
-    share = F.col("pos") / (F.col("pos") + F.col("neg"))
-    divergence = share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0)
-    sure = seen.where(F.col("pos") >= 3).where((F.col("pos") >= SURE * (F.col("pos") + ratio * F.col("neg"))) & (contexts * divergence >= EVIDENCE))
-    found = {r["stem"]: r["pos"] for r in sure.orderBy(F.desc("pos"), F.length("stem"), "stem").limit(STEMS).collect()}
-    # the longest stem that keeps nearly all rows of a shorter one, and no stem inside another's reach
-    final: list[str] = []
+
+    def passing(kind: str) -> dict[str, int]:
+        pos, neg, bits = (F.col(f"{kind}_{x}") for x in ("pos", "neg", "bits"))
+        # distinct contexts from the share of the 64 bits that are set
+        contexts = F.least(pos.cast("double"), -64 * F.log(1 - F.least(F.bit_count(bits), F.lit(63)) / 64))
+        share = pos / (pos + neg)
+        divergence = share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0)
+        good_ones = seen.where(pos >= 3).where((pos >= SURE * (pos + ratio * neg)) & (contexts * divergence >= EVIDENCE))
+        return {r["stem"]: r["n"] for r in good_ones.select("stem", pos.alias("n")).orderBy(F.desc("n"), F.length("stem"), "stem").limit(STEMS).collect()}
+
+    seen = cut(seen)
+    sure, dense = _families(passing("sure")), _families(passing("dense"))
+    dense = {x: n for x, n in dense.items() if not any(y.startswith(x) and m * FORMS > n for y, m in sure.items())}
+    return sorted(x for x in sure if not any(x.startswith(y) for y in dense)), sorted(dense)
+
+
+def _families(found: dict[str, int]) -> dict[str, int]:
+    """Of each stem the longest form that keeps nearly all its rows, and no stem inside another's reach."""
+    final: dict[str, int] = {}
     for stem in sorted(found, key=len):
         while longer := [x for x in found if len(x) == len(stem) + 1 and x.startswith(stem) and found[x] >= KEEPS * found[stem]]:
             stem = longer[0]
         if not any(stem.startswith(x) for x in final):
-            final.append(stem)
-    return sorted(final)
+            final[stem] = found[stem]
+    return final
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[list[str], list[str]], np.ndarray]:
     """Learned stems and weights from labelled rows outside the held-out fold."""
     ids = labelled_sample(labels, "toxic", FOLDS, HELD, rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text")  # at most ``rows`` ids
     sizes = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        return [], prior()
+        return ([], []), prior()
     base = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD)).agg(F.avg("toxic")).first()[0]
     words = learned_stems(sample, sizes[1], sizes[0], base)
-    machine = Grammar(words)
+    machine = Grammar(*words)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -270,9 +316,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     words, weights = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Grammar(words)
+        machine = Grammar(*words)
         for b in batches:
-            x = np.array([machine.features(t.as_py()) for t in b.column(1)]).reshape(-1, len(EVENTS) + 1)
+            x = np.array([machine.features(t.as_py()) for t in b.column(1)]).reshape(-1, WIDTH)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -280,13 +326,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def clauses(docs: DataFrame, words: Iterable[str] = ()) -> DataFrame:
-    """``(doc_id, events)``: for each clause with an event its events, comma-joined."""
-    words = list(words)
+def clauses(docs: DataFrame, words: Iterable[str] = (), doubtful: Iterable[str] = (), weights: np.ndarray | None = None) -> DataFrame:
+    """``(doc_id, clauses)``: of each clause with an event its events, comma-joined, and its score."""
+    words, doubtful, weights = list(words), list(doubtful), prior() if weights is None else weights
+    kind = pa.list_(pa.struct([("events", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Grammar(words)
+        machine = Grammar(words, doubtful)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[",".join(c) for c in machine.events(t.as_py())] for t in b.column(1)], pa.list_(pa.string()))], ["doc_id", "events"])
+            got = [[{"events": ",".join(c), "score": clause_score(c, weights)} for c in machine.events(t.as_py())] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], ["doc_id", "clauses"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, events array<string>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, clauses array<struct<events:string,score:double>>")

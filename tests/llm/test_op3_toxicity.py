@@ -45,6 +45,47 @@ def test_composition_equals_running_machines_in_turn():
             assert out == a
 
 
+def test_scores_come_from_clauses():
+    g, w = op.Grammar(), op.prior()
+    score = lambda t: float(np.array(g.features(t)) @ w)
+    assert score("You idiot. You moron. You scum.") > score("You idiot moron scum.") > score("You idiot.") > score("You rest.")
+    assert score("You are not an idiot.") < score("He said you are an idiot.") < score("You are an idiot.")
+    assert op.clause_score(["it", "it", "vtn"], w) == pytest.approx(w[op.EVENTS.index("it")] * np.log2(3) + w[op.EVENTS.index("vtn")])
+    for t in ("You idiot moron scum. I will kill you! A fool", "you idiot", "fine words"):  # one clause: the clause's score, the density and the base
+        parts = [op.clause_score(c, w) for c in g.events(t)]
+        assert len(parts) != 1 or score(t) <= sum(parts) + op.BASE + 1e-9
+    assert g.features("a " * 5000 + "idiot")[-3] < g.features("a " * 20 + "idiot")[-3]
+
+
+def test_doubtful_stems_count_by_density(spark):
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    make = lambda k: " ".join([*(f"zorgle{word()}" for _ in range(k)), *(word() for _ in range(150))])
+    rows = [(1, make(4)) for _ in range(150)] + [(0, make(int(k < 30))) for k in range(300)]
+    sure, doubtful = op.learned_stems(spark.createDataFrame(rows, "y int, text string"), 150, 300, 1 / 3)
+    assert not sure and doubtful == ["zorgle"]
+    g = op.Grammar(sure, doubtful)
+    assert g.events("a zorglexy b. not zorglexy") == [["w"], ["wn"]] and g.of("zorgl") == "O"
+
+
+def test_held_out_recall(spark):
+    d = "/root/testdata/sf0.1"
+    got = op.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels := spark.read.parquet(f"{d}/labels.parquet")).where("held_out")
+    rows = got.join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] == 1]) >= 0.9
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] == 0]) <= 0.01
+
+
+def test_ties_and_repeats(docs_of, labels):
+    got = op.toxicity(docs_of(["you idiot", "you idiot", "you idiot", "fine"], ids=[4, 4, None, 9]), labels).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["doc_id"] != 9}) == 1
+
+
+def test_clause_rows(docs_of):
+    got = {r["doc_id"]: r["clauses"] for r in op.clauses(docs_of(["You idiot! fine. I will kill you", "fine", None])).collect()}
+    assert [c["events"] for c in got[0]] == ["it", "vt"] and got[0][0]["score"] == op.PRIOR["it"] and got[1] == got[2] == []
+
+
 def test_learned_stems_do_not_break_the_lexicon():
     g = op.Grammar(["lowei"])
     assert g.events("a loweich b") == [["i"]] and g.events("a lowe b") == []
@@ -76,4 +117,5 @@ def test_stems_need_varied_contexts(spark):
     w = lambda i: chr(97 + i % 26) * (1 + i // 26) + "q"
     rows = [(1, f"{w(i)} badstem {w(i + 7)}") for i in range(40)] + [(1, "same copied passage onlyhere again")] * 40 + [(0, f"{w(i)} good {w(i + 3)}") for i in range(80)]
     stems = op.learned_stems(spark.createDataFrame(rows, "y int, text string"), 80, 80, 0.5)
+    stems = [*stems[0], *stems[1]]
     assert "badstem" in stems and not any(s.startswith(("copied", "onlyher", "passage")) for s in stems)
