@@ -5,7 +5,7 @@ starts with a header packet that states rate and length. The writer makes pages
 positions (samples so far) and checksums, interleaved over the streams. The reader verifies each page's
 checksum and sequence number, demultiplexes by serial number, reassembles packets from lacing values (also
 across pages), checks that the last granule position equals the samples found, and derives timestamps from
-granule positions. A damaged file raises ``OggError``.
+granule positions. A damaged file, and one of another codec, raises ``OggError``; ``demux`` reads the packets of any codec.
 
 The checksum (polynomial 0x04C11DB7, most significant bit first, no reflection) is computed by zlib's
 reflected CRC over bit-reversed bytes, so both directions run at C speed.
@@ -93,8 +93,11 @@ def write(payload: bytes, packet: int = PACKET, rate: int = RATE) -> bytes:
     return b"".join(s[i] for i in range(most) for s in streams if i < len(s))
 
 
-def read(media: bytes) -> tuple[bytes, dict]:
-    """The payload, and what the file shows: pages, packets, streams, seconds and the time of each packet's end."""
+def demux(media: bytes) -> tuple[dict[int, dict], int]:
+    """The logical streams of any Ogg file by serial number, and its pages.
+
+    Of each stream ``packets`` and ``granules``, pairs of packets that were whole by then and the granule position.
+    """
     streams: dict[int, dict] = {}
     at, pages = 0, 0
     while at < len(media):
@@ -108,8 +111,8 @@ def read(media: bytes) -> tuple[bytes, dict]:
         page = media[at:end]
         if checksum(page[:22] + bytes(4) + page[26:]) != said:
             raise OggError(f"checksum of the page at byte {at}")
-        s = streams.setdefault(serial, {"next": 0, "open": [], "packets": [], "granules": [], "last": False})
-        if number != s["next"] or s["last"] or bool(flags & FIRST) != (number == 0) or bool(flags & CONTINUED) != bool(s["open"]):
+        s = streams.setdefault(serial, {"next": number, "open": [], "packets": [], "granules": [], "last": False})
+        if number != s["next"] or s["last"] or bool(flags & FIRST) != (not s["packets"] and not s["open"]) or bool(flags & CONTINUED) != bool(s["open"]):
             raise OggError(f"page {number} of stream {serial:#x} out of order")
         s["next"], s["last"], ended = number + 1, bool(flags & LAST), len(s["packets"])
         start, size = HEAD.size + n, 0
@@ -126,18 +129,36 @@ def read(media: bytes) -> tuple[bytes, dict]:
         elif len(s["packets"]) > ended:
             raise OggError("packets end on a page without a granule position")
         at, pages = end, pages + 1
-    parts, times, packets, rate = [], [], 0, RATE
-    for serial, s in sorted(streams.items(), key=lambda x: SERIALS.index(x[0]) if x[0] in SERIALS else len(SERIALS)):
+    for serial, s in streams.items():
         if not s["last"] or s["open"] or not s["packets"]:
             raise OggError(f"stream {serial:#x} has no end")
+    return streams, pages
+
+
+def read(media: bytes) -> tuple[bytes, dict]:
+    """The payload, and what the file shows: pages, packets, streams, seconds and the time of each packet's end.
+
+    A sound Ogg file whose streams hold something else than our samples (other codecs) is an ``OggError`` here;
+    ``demux`` reads it.
+    """
+    streams, pages = demux(media)
+    parts, times, packets, rates = [], [], 0, set()
+    for serial, s in sorted(streams.items(), key=lambda x: SERIALS.index(x[0]) if x[0] in SERIALS else len(SERIALS)):
+        if len(s["packets"][0]) != _HEADER.size:
+            raise OggError(f"stream {serial:#x} holds another codec")
         mark, rate, length = _HEADER.unpack(s["packets"][0])
+        if mark != b"RAWBYTES" or not rate:
+            raise OggError(f"stream {serial:#x} holds another codec or has no rate")
         body = b"".join(s["packets"][1:])
-        if mark != b"RAWBYTES" or len(body) != length or s["granules"][-1][1] != length:
+        if len(body) != length or not s["granules"] or s["granules"][-1][1] != length:
             raise OggError(f"stream {serial:#x} is not whole")
+        rates.add(rate)
         parts.append(body)
         packets += len(s["packets"])
         times += [g / rate for k, g in s["granules"] if k > 1]
-    payload = b"".join(parts)
+    if len(rates) != 1:
+        raise OggError("no stream" if not rates else "streams of different rates")
+    payload, rate = b"".join(parts), rates.pop()
     return payload, {"pages": pages, "packets": packets, "streams": len(streams), "rate": rate, "seconds": len(payload) / rate, "times": times}
 
 
@@ -201,3 +222,26 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def samples(files: DataFrame) -> DataFrame:
     """``(doc_id, payload, seconds, times, error)`` of ``files(doc_id, media)``; a damaged file has its error instead."""
     return files.select("doc_id", "media").mapInArrow(_samples, "doc_id long, payload binary, seconds double, times array<double>, error string")
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+    for whole in batches:
+        for k in range(whole.num_rows):  # one file's packets at a time
+            doc, rows = whole.column(0)[k].as_py(), []
+            try:
+                for serial, s in sorted(demux(whole.column(1)[k].as_py() or b"")[0].items()):
+                    ends = {n - 1: g for n, g in reversed(s["granules"])}
+                    rows += [(doc, serial, i, p, ends.get(i), None) for i, p in enumerate(s["packets"])]
+            except OggError as e:
+                rows = [(doc, None, None, None, None, str(e))]
+            cols = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "serial", "ordinal", "packet", "granule", "error"])
+
+
+def packets(files: DataFrame) -> DataFrame:
+    """``(doc_id, serial, ordinal, packet, granule, error)``: the packets of ``files(doc_id, media)`` of any codec.
+
+    ``granule`` stands at the packet that ends a page; a damaged file has one row with its error.
+    """
+    return files.select(F.col("doc_id").cast("long"), "media").mapInArrow(_packets, "doc_id long, serial long, ordinal int, packet binary, granule long, error string")

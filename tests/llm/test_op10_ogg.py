@@ -95,3 +95,47 @@ def test_files_as_rows(spark, docs_of):
     bad = spark.createDataFrame([(1, b"OggS"), (2, None)], "doc_id long, media binary")
     errors = {r["doc_id"]: r["error"] for r in op.samples(bad).collect()}
     assert errors[1]
+
+
+def foreign(packets, serial=7, first=0):
+    """A sound Ogg file of another codec, written page by page here: one packet a page."""
+    out = b""
+    for i, p in enumerate(packets):
+        lace = [255] * (len(p) // 255) + [len(p) % 255]
+        flags = op.FIRST * (i == 0) | op.LAST * (i == len(packets) - 1)
+        page = b"OggS" + bytes([0, flags]) + (i * 960).to_bytes(8, "little") + serial.to_bytes(4, "little") + (first + i).to_bytes(4, "little") + bytes(4) + bytes([len(lace), *lace]) + p
+        out += page[:22] + slow_checksum(page).to_bytes(4, "little") + page[26:]
+    return out
+
+
+def test_other_codecs_and_odd_headers(spark):
+    opus = foreign([b"OpusHead" + bytes(11), b"OpusTags" + bytes(300), b"\x01" * 77])
+    streams, pages = op.demux(opus)
+    assert pages == 3 and [len(p) for p in streams[7]["packets"]] == [19, 308, 77] and streams[7]["granules"] == [(1, 0), (2, 960), (3, 1920)]
+    good = op.write(op.padded(b"abc"))
+    bad = [
+        opus, foreign([b"RAWBYTES" + bytes(12)]), foreign([b""]), foreign([b"RAWBYTES" + (8000).to_bytes(4, "little") + (9).to_bytes(8, "little"), b"abc"]),
+        b"", b"O", b"OggS", bytes(500), good + good, good + b"x", opus + good, good[:-1], foreign([b"RAWBYTES" + bytes(12)], first=3),
+    ]
+    for m in bad:
+        with pytest.raises(op.OggError):
+            op.read(m)
+    files = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(bad)] + [(99, bytearray(good)), (None, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in op.samples(files).collect()}
+    assert all(got[i]["error"] and got[i]["payload"] is None for i in range(len(bad))) and bytes(got[99]["payload"]) == op.padded(b"abc") and got[None]["error"]
+    rows = op.packets(files).collect()
+    assert [(r["ordinal"], len(r["packet"]), r["granule"]) for r in sorted((r for r in rows if r["doc_id"] == 0), key=lambda r: r["ordinal"])] == [(0, 19, 0), (1, 308, 960), (2, 77, 1920)]
+    assert {r["doc_id"] for r in rows if r["error"]} == {4 + k for k in (1, 2, 3, 4, 5, 7)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=200), st.integers(0, 1 << 30))
+def test_any_bytes_raise_only_ogg_errors(junk, seed):
+    rng = random.Random(seed)
+    good = op.write(op.padded(rng.randbytes(200)))
+    k = rng.randrange(len(good))
+    for m in (junk, b"OggS" + junk, good[:k] + junk + good[k:], good[:k] + junk):
+        try:
+            op.read(m)
+        except op.OggError:
+            pass
