@@ -3,11 +3,14 @@
 Every text becomes words; every window of ``K`` words is hashed and joined to the positions of the same
 windows in license templates. A match of text position i with template position j votes for the diagonal
 i - j; votes are counted by text, template and diagonal, neighbouring diagonals (a word inserted or left out)
-are merged, and the span that a merged diagonal covers is verified: the template's words must be found on it
-in the share that ``VERIFY`` asks. Base phrases are counted on the whole text besides.
+are merged, and a merged diagonal that ``LEAST`` of the template's windows vote for is verified word by word: the
+template's words are looked up in order in the text along it, each among the next few words. The words found, as a
+share of the template's length or of the span's if that is longer, must reach ``VERIFY``. Base phrases are counted on
+the whole text besides.
 
 Scale: one narrow pass computes words, base places and window hashes; the template table is a fixed list of
-some hundred windows, so the join is a broadcast of bounded size. Votes exist only where a window matches;
+some hundred windows, so the join is a broadcast of bounded size. Votes exist only where a window matches and carry
+the words around their diagonal (twice the template's length at most), so verification needs no text again;
 they are combined map-side and keyed by text, template and diagonal, so no license that many texts share
 makes a hot key.
 
@@ -29,21 +32,36 @@ TEMPLATES = {
     "mit": [
         "released under the mit license",
         "licensed under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ],
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     ],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "reserved": ["copyright c all rights reserved"],
 }
-#: Words in a window; diagonals merged; the share of a template's windows' words that a span must show.
-K, NEIGHBOURS, VERIFY = 3, 2, 0.6
+#: Words in a window; diagonals merged, and words that may stand between two found ones; the share of a template's windows
+#: that must vote, and of its words that must be found.
+K, NEIGHBOURS, LEAST, VERIFY = 3, 2, 0.3, 0.7
 #: What separates words: every ASCII character but digits and small letters.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,25 +90,61 @@ def templates(spark: SparkSession, found: dict[str, list[str]] | None = None, k:
     return got.select(F.posexplode(_windows(F.col("w"), k)).alias("j", "hash"), "template", "label", "length")
 
 
-def votes(rows: DataFrame, spark: SparkSession, k: int = K) -> DataFrame:
-    """``(rid, template, label, length, diagonal, n, first, last)`` of ``rows(rid, words)``: votes by diagonal."""
-    each = rows.select("rid", F.posexplode(_windows(F.col("words"), k)).alias("i", "hash"))
-    hits = each.join(F.broadcast(templates(spark, k=k)), "hash")  # fixed templates: some hundred rows
-    return hits.groupBy("rid", "template", "label", "length", (F.col("i") - F.col("j")).alias("diagonal")).agg(
-        F.count_distinct("j").alias("n"), F.min("j").alias("first"), F.max("j").alias("last"), F.min("i").alias("start"), F.max("i").alias("end")
-    )
+def notices(spark: SparkSession, found: dict[str, list[str]] | None = None) -> DataFrame:
+    """``(template, body)``: the words of each template."""
+    rows = [(i, text.split()) for i, text in enumerate(t for ts in (found or TEMPLATES).values() for t in ts)]
+    return spark.createDataFrame(rows, "template int, body array<string>")
+
+
+def votes(rows: DataFrame, spark: SparkSession, k: int = K, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Votes by diagonal of ``rows(rid, words)``: ``(rid, template, label, length, diagonal, n, from, near)``.
+
+    ``near``: the text's words from place ``from``, a little before the diagonal's start, twice the template's length.
+    """
+    known = templates(spark, k=k)  # fixed templates: some hundred rows
+    few = known.agg(F.collect_set("hash").alias("hashes"), F.max("length").alias("length")).first()
+    reach = few["length"] + neighbours
+    # a window that no template has is dropped where it is made, so that words are copied for matching windows only
+    def around(words: Column) -> Column:
+        match = F.transform(_windows(words, k), lambda h, i: F.when(h.isin(few["hashes"]), F.struct(i.alias("i"), h.alias("hash"))))
+        return F.transform(F.filter(match, lambda m: m.isNotNull()), lambda m: F.struct(m["i"].alias("i"), m["hash"].alias("hash"), F.slice(words, F.greatest(F.lit(1), m["i"] - reach + 1), F.lit(3 * reach)).alias("around")))
+
+    # bound as a variable, the words are split once and not at each use
+    each = rows.select("rid", F.get(F.transform(F.array("words"), around), F.lit(0)).alias("m")).select("rid", F.explode("m").alias("m")).select("rid", "m.i", "m.hash", "m.around")
+    start = F.greatest(F.lit(0), F.col("i") - F.col("j") - neighbours)
+    near = F.slice("around", start - F.greatest(F.lit(0), F.col("i") - reach) + 1, 2 * (F.col("length") + neighbours))
+    hits = each.join(F.broadcast(known), "hash").select("rid", "template", "label", "length", (F.col("i") - F.col("j")).alias("diagonal"), "j", start.alias("from"), near.alias("near"))
+    return hits.groupBy("rid", "template", "label", "length", "diagonal", "from").agg(F.size(F.collect_set("j")).alias("n"), F.first("near").alias("near"))
+
+
+def _verified(body: Column, near: Column, neighbours: int) -> Column:
+    """``struct<words,first,last>``: how many words of ``body`` stand in ``near`` in order, and the places of the first and last."""
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(neighbours).alias("missed"), F.lit(0).alias("words"), none.alias("first"), none.alias("last"))
+
+    def step(s: Column, word: Column) -> Column:
+        ahead = F.array_position(F.slice(near, s["at"] + 1, neighbours + 1 + s["missed"]), word).cast("int")
+        at, hit = s["at"] + ahead, ahead > 0
+        return F.struct(
+            at.alias("at"), F.when(hit, 0).otherwise(s["missed"] + 1).alias("missed"), (s["words"] + hit.cast("int")).alias("words"),
+            F.when(hit, F.coalesce(s["first"], at - 1)).otherwise(s["first"]).alias("first"), F.when(hit, at - 1).otherwise(s["last"]).alias("last"),
+        )
+
+    return F.aggregate(body, zero, step)
 
 
-def spans(found: DataFrame, k: int = K, neighbours: int = NEIGHBOURS, verify: float = VERIFY) -> DataFrame:
+def spans(found: DataFrame, k: int = K, neighbours: int = NEIGHBOURS, least: float = LEAST, verify: float = VERIFY) -> DataFrame:
     """``(rid, label, start, end, share)``: verified spans, in words, end exclusive, of merged diagonals."""
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > neighbours, F.lit(True))
-    merged = found.withColumn("run", F.sum(new.cast("int")).over(order)).groupBy("rid", "template", "label", "length", "run").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), (F.max("end") + k).alias("end")
+    runs = found.withColumn("run", F.sum(new.cast("int")).over(order)).groupBy("rid", "template", "label", "length", "run").agg(
+        F.sum("n").alias("n"), F.min(F.struct("diagonal", "from", "near")).alias("low")
     )
-    # windows that voted, of those that the template has; and no more text than twice the template
-    share = F.least(F.lit(1.0), F.col("n") / (F.col("length") - k + 1))
-    return merged.withColumn("share", share).where((F.col("share") >= verify) & (F.col("end") - F.col("start") <= 2 * F.col("length"))).select("rid", "label", "start", "end", "share")
+    some = runs.where(F.col("n") >= least * (F.col("length") - k + 1)).join(F.broadcast(notices(found.sparkSession)), "template")  # fixed templates
+    seen = some.select("rid", "label", "length", "low.from", _verified(F.col("body"), F.col("low.near"), neighbours).alias("v"))
+    share = F.col("v.words") / F.greatest("length", F.col("v.last") - F.col("v.first") + 1)
+    seen = seen.select("rid", "label", (F.col("from") + F.col("v.first")).alias("start"), (F.col("from") + F.col("v.last") + 1).alias("end"), share.alias("share"))
+    return seen.where(F.col("share") >= verify)
 
 
 def _places(words: Column, phrase: str) -> Column:

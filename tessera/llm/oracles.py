@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .op4_mixing import BUDGET, EPOCHS, LEVELS, SEED, WEIGHTS
 from .op7_secrets import ADDED, DUMMY, KINDS, RANDOM_CHARS, RANDOM_LENGTH, WIDE, WIDE_REPOS
-from .op8_licenses import NEIGHBOURS, PHRASES, TEMPLATES, VERIFY, K
+from .op8_licenses import LEAST, NEIGHBOURS, PHRASES, TEMPLATES, VERIFY, K
 
 
 def _either_case(word: str) -> str:
@@ -39,15 +39,20 @@ def _licenses() -> str:
     notices = ", ".join(f"({n}, '{lb}', '{t}')" for n, (lb, t) in enumerate((lb, t) for lb, ts in TEMPLATES.items() for t in ts))
     gram = lambda n, w, i: " || ' ' || ".join(f"{w}[{i} + {d}]" for d in range(1, n + 1))
     return f"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 u AS (SELECT rid, w, unnest(range(0, len(w))) AS i FROM t), g AS (SELECT rid, i, {gram(2, 'w', 'i')} AS g2, {gram(3, 'w', 'i')} AS g3, {gram(K, 'w', 'i')} AS gk FROM u), b AS ({base}),
 n AS (SELECT template, label, string_split(body, ' ') AS w FROM (VALUES {notices}) AS v(template, label, body)),
 q AS (SELECT template, label, len(w) AS size, j, {gram(K, 'w', 'j')} AS gk FROM (SELECT *, unnest(range(0, len(w) - {K - 1})) AS j FROM n)),
-v AS (SELECT rid, template, label, size, i - j AS d, count(DISTINCT j) AS votes, min(i) AS s, max(i) + {K} AS e FROM g JOIN q ON g.gk = q.gk GROUP BY rid, template, label, size, i - j),
+v AS (SELECT rid, template, label, size, i - j AS d, count(DISTINCT j) AS votes FROM g JOIN q ON g.gk = q.gk GROUP BY rid, template, label, size, i - j),
 l AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY rid, template ORDER BY d) <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new FROM v),
 r AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY d) AS run FROM l),
-m AS (SELECT rid, label, size, least(1.0, CAST(sum(votes) AS DOUBLE) / (size - {K - 1})) AS share, min(s) AS s, max(e) AS e FROM r GROUP BY rid, template, label, size, run),
-f AS (SELECT * FROM m WHERE share >= {VERIFY} AND e - s <= 2 * size), z AS (SELECT rid, max(share) AS share FROM f GROUP BY rid),
+m AS (SELECT rid, template, label, size, run, greatest(min(d) - {NEIGHBOURS}, 0) AS low FROM r GROUP BY rid, template, label, size, run HAVING sum(votes) >= {LEAST} * (size - {K - 1})),
+x AS (SELECT m.*, n.w AS body, t.w[low + 1:low + 2 * (size + {NEIGHBOURS})] AS near FROM m JOIN n ON n.template = m.template JOIN t ON t.rid = m.rid),
+step AS (SELECT rid, template, label, size, run, body, near, 0 AS k, 0 AS p, {NEIGHBOURS} AS missed, 0 AS hits, -1 AS first, -1 AS last FROM x UNION ALL
+  SELECT rid, template, label, size, run, body, near, k + 1, p + pos, CASE WHEN pos > 0 THEN 0 ELSE missed + 1 END, hits + CASE WHEN pos > 0 THEN 1 ELSE 0 END,
+    CASE WHEN pos > 0 AND first < 0 THEN p + pos ELSE first END, CASE WHEN pos > 0 THEN p + pos ELSE last END
+  FROM (SELECT *, CAST(coalesce(list_position(near[p + 1:p + {NEIGHBOURS} + 1 + missed], body[k + 1]), 0) AS INTEGER) AS pos FROM step WHERE k < size)),
+f AS (SELECT rid, label, CAST(hits AS DOUBLE) / greatest(size, last - first + 1) AS share FROM step WHERE k = size AND CAST(hits AS DOUBLE) / greatest(size, last - first + 1) >= {VERIFY}), z AS (SELECT rid, max(share) AS share FROM f GROUP BY rid),
 y AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM f) GROUP BY rid),
 h AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
