@@ -1,7 +1,11 @@
 """From raw documents to a mixed, encoded corpus: five stages, each one operator of ``tessera.llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, extra ones included.
+
+Defined results: a null text counts as empty in every stage (an empty text gets the quality of its features, groups
+with all wordless texts, holds no secret, counts one token, has no ids); a null id keeps its row apart from others;
+repeated rows are one group in near-dedup, so one stays; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash
-from tessera.llm.shared import shared_folder, table
+from tessera.llm.shared import clearing, remove, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result is written to the shared folder and read by the next stage.
+
+    Once a stage's result stands there whole, what it read and its checkpoints are removed; the last result stays,
+    for the returned rows are read from it.
+    """
+    docs, place, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+        with clearing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if before:
+            remove(spark, before)
+        before = f"{place}/{k}"
     return docs

@@ -2,12 +2,13 @@ import base64
 
 import public_tokenizers as public
 import tiktoken
+from conftest_llm import clash
 from oracle import compare
 from test_op4_mixing import brute as mixing
 from test_op9_simhash import components, plain
 
 import corpus_pipeline
-from tessera.llm import op4_mixing, op6_quality, op7_secrets, registry
+from tessera.llm import op4_mixing, op6_quality, op7_secrets, op9_simhash, registry
 
 
 def test_registered():
@@ -47,3 +48,55 @@ def test_empty_tables(spark, small, documents, labels):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def odd(docs_of, documents, labels):
+    """All documents and rows with nulls in each column, repeated rows and ids, empty and long texts, clashing columns."""
+    kept = op6_quality.accepted(documents, labels).where("length(text) > 300 and length(text) < 3000").orderBy("doc_id").limit(6).collect()
+    good = [r["text"] for r in kept]
+    mine = [t[::-1] for t in good]  # texts that no document has
+    texts = [*mine, mine[0], mine[0], mine[1] + " x", None, "", "", mine[2] * 40, f"{good[3]} secret: 9f8e7d6c5b4a39281706f5e4d3c2b1a0"]
+    ids = [*range(10**9, 10**9 + 6), None, None, 1, None, 7, 7, 8, 9]
+    langs, sources = [None if k % 4 == 3 else "en" for k in range(len(texts))], [None if k % 5 == 4 else f"src{k % 2}" for k in range(len(texts))]
+    return clash(documents.unionByName(docs_of(texts, ids=ids, langs=langs, sources=sources))), mine
+
+
+def test_stages_on_odd_rows(spark, small, docs_of, documents, labels):
+    docs, mine = odd(docs_of, documents, labels)
+    columns, same = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
+        assert docs.columns == columns, name
+        after = docs.collect()
+        assert after and (name == "mixing sources to target weights" or len(after) <= len(before))
+        if name == "SimHash near-dedup":
+            prints = {op9_simhash.fingerprint(r["text"]) for r in before}
+            assert len({r["text"] for r in after}) == len(after) and all(op9_simhash.fingerprint(r["text"]) in prints for r in after)
+            assert sum(r["text"] == mine[0] for r in after) <= 1
+        elif name == "secret scans":
+            assert len(after) == len(before) and not any("9f8e7d6c5b" in (r["text"] or "") for r in after)
+        elif name == "quality classifier":
+            fates = {}
+            for r in before:
+                same[r["text"]] = same.get(r["text"], 0) + 1
+            for r in after:
+                fates[r["text"]] = fates.get(r["text"], 0) + 1
+            assert all(n == same[t] for t, n in fates.items())  # equal texts share one fate, whatever their ids
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    assert sorted(r["decoded"] for r in last) == sorted(r["text"] or "" for r in docs.collect())
+
+
+def test_run_leaves_only_its_result(spark, small, docs_of, documents, labels, tmp_path):
+    from pathlib import Path
+
+    docs, _ = odd(docs_of, documents, labels)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(corpus_pipeline.shared_folder(spark).removeprefix("file:"))
+    files = lambda: {p for p in folder.rglob("part-*")}
+    before = files()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    new = files() - before
+    assert new and all("/pipeline-" in str(p) and p.parent.name == "4" for p in new)
+    assert got.count() == len(got.collect())
