@@ -28,6 +28,9 @@ PROSE_EXTS = (".md", ".mdx", ".markdown", ".rst", ".txt", ".adoc", ".org")
 PROSE_PARTS = ("/docs/", "/doc/", "/snapshots/", "/__snapshots__/", "/.archive/", "/adr/", "/rfc/", "/changelog/")
 CODE_EXTS = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh")
 ARCHIVE_DIRS = (".archive", ".archived", ".backup", ".backups", ".bak", ".old", ".deprecated", ".trash", ".next", ".nuxt", ".svelte-kit", ".turbo", ".parcel-cache", ".gradle", ".terraform")
+OUTPUT_DIRS = (
+    "node_modules", "__pycache__", "dist", "build", "out", "target", "vendor", "vendored", "third_party", "thirdparty", "venv", "env", "site-packages", "coverage", "generated",
+)
 NON_CODE_EXTS = (
     ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".properties", ".md", ".mdx", ".rst", ".txt", ".csv", ".tsv", ".lock", ".log",
     ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".pdf", ".html", ".htm", ".css", ".scss", ".sass", ".less",
@@ -37,8 +40,9 @@ FAMILIES = {
     "jvm": (".java", ".kt", ".scala"), "c-cpp": (".c", ".h", ".cc", ".cpp", ".hpp"), "dotnet": (".cs",), "swift": (".swift",), "shell": (".sh", ".bash"),
 }
 FILE_NAMES = (
-    "py pyi ts tsx js jsx mjs cjs go rs java kt rb php cs swift scala c h cpp cc hpp css scss less html vue svelte md mdx rst txt json yaml yml toml ini cfg xml sql sh bash zsh graphql proto"
-).split()
+    "py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "go", "rs", "java", "kt", "rb", "php", "cs", "swift", "scala", "c", "h", "cpp", "cc", "hpp", "css", "scss", "less", "html", "vue", "svelte",
+    "md", "mdx", "rst", "txt", "json", "yaml", "yml", "toml", "ini", "cfg", "xml", "sql", "sh", "bash", "zsh", "graphql", "proto",
+)
 
 
 def segments(path: Column) -> Column:
@@ -97,7 +101,8 @@ def code(path: Column) -> Column:
 
 
 def archived(path: Column) -> Column:
-    return F.exists(directories(path), lambda s: s.isin(*ARCHIVE_DIRS)) | generated_path(path)
+    """In a folder of old copies, of vendored trees or of build output, or generated."""
+    return F.exists(directories(path), lambda s: s.isin(*ARCHIVE_DIRS, *OUTPUT_DIRS)) | generated_path(path)
 
 
 def test_like(path: Column, name: Column) -> Column:

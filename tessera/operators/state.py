@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Engines in their order, reasons that mean "could not ask", served paths, engines by op, ops on live state.
 ENGINES = ("graph", "lsp", "semantic")
 UNREACHABLE = ("engine-unavailable", "boot-failed", "warming", "project-not-indexed", "project-not-indexed-standalone", "error", "timeout")
 KNOWN_PATHS = ("/code/query", "/code/doctor", "/code/status", "/healthz", "/readyz", "/metrics")
@@ -64,13 +66,36 @@ def most_recent(requests: DataFrame, entries: int) -> DataFrame:
     return requests.groupBy("root", "op").agg(F.max("us").alias("last_us"), F.max("event_id").alias("last_id")).orderBy(F.desc("last_us"), F.desc("last_id")).limit(entries)
 
 
+def _slots(cap: int):
+    """Admits a request if one of the root's ``cap`` slots is free when it begins; a refused one takes none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ends = None, []
+        for f in frames:
+            admitted, now = [], []
+            for root, us, end in zip(f["root"].tolist(), f["us"].tolist(), f["end"].tolist()):
+                if root != key:
+                    key, ends = root, []
+                while ends and ends[0] <= us:
+                    heapq.heappop(ends)
+                admitted.append(len(ends) < cap)
+                if admitted[-1]:
+                    heapq.heappush(ends, end)
+                now.append(len(ends))
+            yield f.assign(admitted=admitted, now=pd.Series(now, f.index, "int64"))
+
+    return run
+
+
 def load(requests: DataFrame, seconds: float, cap: int) -> DataFrame:
-    """``root, most, over``: most requests at once by root, and how many began beyond the cap."""
-    begin = requests.select("root", "us", F.lit(1).alias("d"), "event_id")
-    end = requests.select("root", (F.col("us") + F.round(F.col("latency") * seconds * 1_000_000).cast("long")).alias("us"), F.lit(-1).alias("d"), "event_id")
-    at_once = F.sum("d").over(Window.partitionBy("root").orderBy("us", "d", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    both = begin.unionByName(end).withColumn("now", at_once)
-    return both.groupBy("root").agg(F.max("now").alias("most"), F.count_if((F.col("d") == 1) & (F.col("now") > cap)).alias("over"))
+    """``root, most, over``: most admitted requests at once by root, and how many were refused beyond the cap.
+
+    A fold over each root in time order; a task holds one batch and at most ``cap`` ends.
+    """
+    end = F.greatest(F.col("us") + 1, F.col("us") + F.round(F.col("latency") * seconds * 1_000_000).cast("long"))
+    rows = requests.where("root is not null and us is not null").select("event_id", "root", "us", end.alias("end")).repartition("root").sortWithinPartitions("root", "us", "event_id")
+    said = rows.mapInPandas(_slots(cap), "event_id long, root long, us long, end long, admitted boolean, now long")
+    return said.groupBy("root").agg(F.max("now").alias("most"), F.count_if(~F.col("admitted")).alias("over"))
 
 
 def metrics(requests: DataFrame, label: Column, status: Column) -> DataFrame:
@@ -125,9 +150,22 @@ def merged(answers: DataFrame) -> DataFrame:
     return got.select("request", F.when(~none, body).alias("result"), gaps.alias("gaps"), reason.alias("reason"), confidence.alias("confidence"))
 
 
+def rules_of(roles: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``role, ops``: the restricted roles of ``roles(role, ops)`` and of ``tokens(digest, role)``.
+
+    A role that may do ``*`` has no rule. One whose ops are missing may do nothing, nor may one that a token names
+    and nobody defines.
+    """
+    ops = F.coalesce("ops", F.array().cast("array<string>"))
+    named = tokens.select("role").where("role is not null").distinct().join(roles.select("role"), "role", "left_anti")
+    return roles.where(~F.coalesce(F.exists(ops, lambda x: x == "*"), F.lit(False))).select("role", ops.alias("ops")).unionByName(named.withColumn("ops", F.array().cast("array<string>")))
+
+
 def op_allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """``allowed`` for ``requests(role, op, ...)``: a role without a rule may do all, others what ``rules(role, ops)`` lists."""
-    return requests.join(rules, "role", "left").withColumn("allowed", F.coalesce(F.array_contains("ops", F.col("op")), F.lit(True))).drop("ops")
+    """``allowed`` for ``requests(role, op, ...)``: a role without a rule may do all, others what ``rules(role, ops)`` lists; none may do nothing."""
+    listed = F.coalesce(F.exists("ops", lambda x: x == F.col("op")), F.lit(False))
+    said = requests.join(rules.select("role", "ops", F.lit(True).alias("ruled")), "role", "left")
+    return said.withColumn("allowed", F.col("role").isNotNull() & (F.col("ruled").isNull() | listed)).drop("ops", "ruled")
 
 
 def ancestors(path: Column) -> Column:
@@ -152,18 +190,27 @@ def root_allowed(requests: DataFrame, roots: DataFrame) -> DataFrame:
 def resolved(targets: DataFrame, registry: DataFrame) -> DataFrame:
     """``target, name, matched_root, scope``: the project of each path in ``registry(ordinal, name, root_path, nodes)``.
 
-    An exact root wins, of several the one with most nodes; else the longest root above; ties to the first listed.
+    A root that is the path itself wins, of several the one with most nodes; else the longest root above, which may be
+    stored with a slash at its end; ties to the first listed.
     """
-    up = targets.select("target", F.posexplode(F.reverse(ancestors(F.col("target")))).alias("up", "root_path"))
-    hits = up.join(registry.where("coalesce(root_path, '') <> ''"), "root_path")
-    best = Window.partitionBy("target").orderBy("up", F.when(F.col("up") == 0, -F.coalesce("nodes", F.lit(0))), "ordinal")
+    up = targets.select("target", F.posexplode(F.reverse(ancestors(F.col("target")))).alias("up", "above"))
+    known = registry.where("coalesce(root_path, '') <> ''").withColumn("above", F.regexp_replace("root_path", "/+$", ""))
+    hits = up.join(known, "above").where("up > 0 or root_path = target")
+    best = Window.partitionBy("target").orderBy("up", F.when(F.col("up") == 0, -F.coalesce("nodes", F.lit(0))), F.desc(F.length("root_path")), "ordinal")
     first = hits.withColumn("k", F.row_number().over(best)).where("k = 1")
     return first.select("target", "name", F.col("root_path").alias("matched_root"), F.when(F.col("up") == 0, "exact").otherwise("ancestor").alias("scope"))
 
 
+def token_digests(config: DataFrame) -> DataFrame:
+    """``digest, role`` of ``config(token, role)``, where a token stands as itself or as ``sha256:`` and its digest."""
+    marked = F.lower(F.substring("token", 1, 7)) == "sha256:"
+    digest = F.when(marked, F.lower(F.trim(F.expr("substring(token, 8)")))).otherwise(F.sha2("token", 256))
+    return config.where("token is not null").groupBy(digest.alias("digest")).agg(F.max("role").alias("role"))
+
+
 def role_of(requests: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``role`` by the token's sha256 in ``tokens(digest, role)``; a known role or none."""
-    return requests.withColumn("digest", F.when(F.col("token").startswith("sha256:"), F.substring("token", 8, 64)).otherwise(F.sha2("token", 256))).join(tokens, "digest", "left").drop("digest")
+    """``role`` by the sha256 of the presented ``token``, whatever it looks like, in ``tokens(digest, role)``; a known role or none."""
+    return requests.withColumn("digest", F.when(F.col("token") != "", F.sha2("token", 256))).join(tokens, "digest", "left").drop("digest")
 
 
 def setting(value: Column, default: int) -> Column:

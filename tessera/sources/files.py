@@ -6,6 +6,7 @@ Path rules are filters on the path alone and come before those on content.
 from __future__ import annotations
 
 import math
+import re
 import tomllib
 from collections.abc import Iterator
 
@@ -16,29 +17,34 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths
 
-# Folders that never hold a project's own source, anywhere or at its root.
+# Folders that never hold a project's own source: tools' and caches', build output of web tools, old copies;
+# and folders that hold output at a project's root.
 SKIPPED = (
-    "__pycache__", ".git", "node_modules", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", ".cache", ".next", ".nuxt", ".svelte-kit", ".turbo", ".parcel-cache",
+    "__pycache__", ".git", "node_modules", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", ".cache",
+    ".next", ".nuxt", ".svelte-kit", ".turbo", ".parcel-cache",
     ".archive", ".archived", "_archive", "_archived", ".backup", ".backups", ".old", ".deprecated", ".trash",
 )
 SKIPPED_AT_ROOT = ("out", "vendor", "vendored", "third_party", "thirdparty", "site-packages", "coverage", "generated", "dist", "build", "target")
 PACKAGE_MARKERS = ("__init__.py", "package.json", "index.ts", "index.js", "go.mod", "Cargo.toml")
 INDEXED = (*paths.CODE_EXTS, ".md")
-DEFAULTS = {"window": 40, "stride": 20, "max_chunks": 200, "cosine_floor": 0.25, "rerank": "on", "rerank_candidates": 30, "reindex": "auto"}
+# Settings with their defaults, and what the others than numbers may be.
+DEFAULTS = {
+    "backend": "auto", "semantic": "on", "reindex": "on-demand", "window": 20, "stride": 10, "max_chunks": 500, "max_total_chunks": 100_000,
+    "cosine_floor": 0.25, "model": "BAAI/bge-small-en-v1.5", "chunk_strategy": "syntax", "rerank": "on", "rerank_candidates": 30,
+}
+CHOICES = {"backend": ("auto", "graph", "lsp", "semantic"), "semantic": ("on", "off"), "reindex": ("on-demand", "never"), "chunk_strategy": ("syntax", "lines"), "rerank": ("on", "off")}
+_PLAIN_NAME = re.compile(r"^[ \t]*/?(?![#!\s])([^*/\n]*[^*/\s])/?[ \t]*$", re.MULTILINE)
+_MARKED = re.compile(r"^[ \t]*([^#\s]\S*)[^\n]*?\slinguist-(?:generated|vendored)(?:=true)?(?=\s|$)", re.MULTILINE | re.IGNORECASE)
 
 
 def ignored_names(gitignore: str) -> list[str]:
-    """Plain names of an ignore file: comments, negations, globs and paths are left out."""
-    lines = (x.strip() for x in gitignore.splitlines())
-    names = (x.rstrip("/").lstrip("/") for x in lines if x and x[0] not in "#!")
-    return [x for x in dict.fromkeys(names) if x and "*" not in x and "/" not in x]
+    """Plain names of an ignore file, each once: comments, negations, globs and paths are left out."""
+    return list(dict.fromkeys(m[1] for m in _PLAIN_NAME.finditer(gitignore)))
 
 
 def declared_globs(gitattributes: str) -> list[str]:
     """Patterns that the project itself marks as generated or vendored."""
-    marks = {f"linguist-{k}{v}" for k in ("generated", "vendored") for v in ("", "=true")}
-    rows = (x.split() for x in gitattributes.splitlines() if x.strip() and not x.strip().startswith("#"))
-    return [r[0] for r in rows if marks & {a.lower() for a in r[1:]}]
+    return [m[1] for m in _MARKED.finditer(gitattributes)]
 
 
 def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,24 +103,27 @@ def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()
 
 
 def settings(*texts: str) -> dict:
-    """Defaults overlaid by TOML texts, later ones last; unreadable text and unusable values change nothing."""
-    out = dict(DEFAULTS)
+    """Defaults overlaid by TOML texts, later ones last; unreadable text and unusable values leave the default."""
+    given: dict = {}
     for t in texts:
         try:
-            found = tomllib.loads(t)
+            given |= tomllib.loads(t)
         except tomllib.TOMLDecodeError:
             continue
-        out |= {k: v for k, v in found.items() if _usable(k, v)}
-    out["cosine_floor"] = min(1.0, max(0.0, float(out["cosine_floor"])))
-    return out
-
-
-def _usable(key: str, value: object) -> bool:
-    known = DEFAULTS.get(key)
-    if known is None:
-        return True
-    if isinstance(known, str):
-        return isinstance(value, str)
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
-        return False
-    return isinstance(known, float) or (isinstance(value, int) and value > 0)
+    usable = {k: _usable(k, v) for k, v in given.items()}
+    return DEFAULTS | {k: v for k, v in usable.items() if v is not None}
+
+
+def _usable(key: str, value: object) -> object | None:
+    """The value as its setting takes it, or None; unknown keys pass as they are."""
+    kind = type(DEFAULTS.get(key))
+    try:
+        if kind is int:
+            return n if (n := int(value)) > 0 else None
+        if kind is float:
+            return None if math.isnan(x := float(value)) else min(1.0, max(0.0, x))
+    except (TypeError, ValueError, OverflowError):
+        return None
+    if key in CHOICES:
+        return word if (word := str(value).strip().lower()) in CHOICES[key] else None
+    return (str(value).strip() or None) if kind is str else value
