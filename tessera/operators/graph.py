@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import cut
+
 REFERENCES = ("CALLS", "USAGE")
 CAP, SHOWN_FAN_IN, FETCHED_FAN_IN, SHOWN_HOT = 50, 30, 40, 25
 
@@ -107,7 +109,7 @@ def unused_names(definitions: DataFrame, occurrences: DataFrame) -> DataFrame:
     A name is dead only if text shows it no oftener than it is defined.
     """
     have = definitions.groupBy("name").agg(F.count("*").alias("defined"))
-    seen = occurrences.join(have.select("name"), "name", "left_semi").groupBy("name").agg(F.count("*").alias("used"))
+    seen = occurrences.groupBy("name").agg(F.count("*").alias("used"))  # combined map-side before they meet
     return have.join(seen, "name", "left").select("name", "defined", F.coalesce("used", F.lit(0)).alias("used")).where("used <= defined")
 
 
@@ -127,13 +129,17 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, hops: int, back: bool = False, types: tuple[str, ...] = REFERENCES) -> DataFrame:
     """``id, hop``: the fewest hops from ``start(id)``, up to ``hops``.
 
-    Each round extends only ids not met before, so cycles cost nothing; a round is one join on the edges.
+    Each round extends only ids not met before, so cycles cost nothing; a round is one join on the edges and one on
+    the ids met, and is cut, so a plan holds two joins whatever the number of hops. It ends where nothing is new.
     """
     a, b = ("dst", "src") if back else ("src", "dst")
-    steps = edges.where(F.col("type").isin(*types)).select(F.col(a).alias("id"), F.col(b).alias("to")).distinct()
-    front = seen = start.select("id").distinct().withColumn("hop", F.lit(0))
+    steps = edges.where(F.col("type").isin(*types)).select(F.col(a).alias("id"), F.col(b).alias("to"))
+    front = seen = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
     for k in range(1, hops + 1):
-        front = front.select("id").join(steps, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k))
+        met = front.select("id").join(steps, "id").select(F.col("to").alias("id")).distinct()
+        front = cut(met.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -149,8 +155,11 @@ def chain(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def ambiguous(symbols: DataFrame, least: int = 2) -> DataFrame:
-    """``name, candidates, ids``: names that several symbols bear, with up to five of them."""
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    some = symbols.select("name", "id").withColumn("k", rank)
-    return some.groupBy("name").agg(F.count("*").alias("candidates"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("id")))), lambda x: x.cast("string")), ",").alias("ids")).where(F.col("candidates") >= least)
+def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
+    """``name, candidates, ids``: names that several symbols bear, with up to five of them.
+
+    Names are counted and cut to their first ids map-side, in slices of a name, before they meet.
+    """
+    slices = symbols.groupBy("name", F.pmod(F.xxhash64("id"), F.lit(64)).alias("slice")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    some = slices.groupBy("name").agg(F.sum("n").alias("candidates"), F.array_sort(F.flatten(F.collect_list(F.slice("ids", 1, shown)))).alias("ids")).where(F.col("candidates") >= least)
+    return some.select("name", "candidates", F.array_join(F.transform(F.slice("ids", 1, shown), lambda x: x.cast("string")), ",").alias("ids"))

@@ -50,6 +50,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
     """What ``cut`` writes inside is deleted at the end; by then nothing may read it any more."""

@@ -6,7 +6,6 @@ processes what is there and returns the result, so that batch and stream can be
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.storage import exists, is_folder, shared_folder
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -45,27 +46,35 @@ class Debounce(StatefulProcessor):
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream, whether their table is one file or a folder of files."""
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    raw = source.parquet(path) if is_folder(spark, path) else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return raw.select("event_id", us.alias("us"), F.col("user_id").alias("root"), F.col("event_type").alias("op"), F.col("value").alias("latency"))
 
 
+def _result(spark: SparkSession, place: str, schema: str) -> DataFrame:
+    """What a stream wrote; of a table without rows no batch ran."""
+    return spark.read.schema(schema).parquet(f"{place}/out") if exists(spark, f"{place}/out") else spark.createDataFrame([], schema)
+
+
 def debounce_stream(spark: SparkSession, sf_dir: str, window_us: int) -> DataFrame:
-    """``event_id, root, us`` of the events that fire, by ``transformWithState``."""
-    before, place = spark.conf.get(PROVIDER, None), folder(spark)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        fired = events(spark, sf_dir).groupBy("root").transformWithStateInPandas(Debounce(window_us), "event_id long, root long, us long", "Append", "None")
-        fired.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.read.parquet(f"{place}/out")
+    """``event_id, root, us`` of the events that fire, by ``transformWithState``.
+
+    The state store that this needs is set in a session of its own; the caller's session is left alone.
+    """
+    place, own, kind = folder(spark), spark.newSession(), "event_id long, root long, us long"
+    own.conf.set(PROVIDER, ROCKS)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    fired = events(own, sf_dir).where("root is not null and us is not null").groupBy("root").transformWithStateInPandas(Debounce(window_us), kind, "Append", "None")
+    fired.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    return _result(spark, place, kind)
 
 
 def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +83,4 @@ def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = events(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"), F.round(F.sum("latency"), 2).alias("seconds"))
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out")
     sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    return _result(spark, place, "op string, n long, seconds double")
