@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, CAP, CHARS = 40, 20, 200, 200_000
+WINDOW, STRIDE, CAP, CHARS = 20, 10, 500, 200_000
+SYNTAX = (".py",)
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def _starts(a: Column, b: Column, stride: int) -> Column:
@@ -50,12 +52,41 @@ def chunk_text(lines: Column, start: Column, end: Column, closed: Column) -> Col
     return F.concat(F.array_join(F.slice(lines, start + 1, end - start), "\n"), F.when((end < F.size(lines)) | closed, "\n").otherwise(""))
 
 
-def chunks(files: DataFrame, window: int = WINDOW, stride: int = STRIDE, cap: int = CAP, chars: int = CHARS) -> DataFrame:
+def covered(definitions: list[tuple[int, int]], n: int, window: int, stride: int) -> list[tuple[int, int]]:
+    """The gapless cover of one file, as ``cover`` makes it of a table."""
+    out, at = [], 0
+    cut = lambda a, b: [(k, min(k + window, b)) for k in range(a, b, stride)]
+    for start, end in sorted(definitions):
+        start, end = max(start, at), min(end, n)
+        if start < end:
+            out += cut(at, start) + ([(start, end)] if end - start <= 2 * window else cut(start, end))
+            at = end
+    return out + cut(at, n)
+
+
+def _syntax_spans(window: int, stride: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            spans = [[{"start": a, "end": b} for a, b in covered(definitions_of(text, n), n, window, stride)] for text, n in zip(f["text"], f["lines"].map(len))]
+            yield f.drop(columns="text").assign(spans=spans)
+
+    return run
+
+
+def chunks(files: DataFrame, window: int = WINDOW, stride: int = STRIDE, cap: int = CAP, chars: int = CHARS, strategy: str = "syntax") -> DataFrame:
     """``project, path, start, chunk_id, content_hash, content`` of ``files(project, path, lines, closed)``.
 
-    The cap counts all spans of a file, also those that are dropped for holding no letter.
+    By the strategy ``syntax`` Python files are cut at their definitions (one pass, no shuffle), all others and those
+    that don't parse by line windows; by ``lines`` all are windowed. The cap counts all spans of a file, also those
+    that are dropped for holding no letter.
     """
-    spans = windows(files, window, stride).where(F.col("start") < cap * stride)  # span k starts at k * stride
+    files = files.select("project", "path", "lines", "closed")
+    is_code = F.lit(strategy == "syntax") & F.coalesce(F.lower("path").endswith(SYNTAX[0]), F.lit(False))
+    plain = files.where(~is_code).withColumn("spans", spans_between(F.lit(0), F.size("lines"), window, stride))
+    if strategy == "syntax":
+        code = files.where(is_code).withColumn("text", F.concat(F.array_join("lines", "\n"), F.lit("\n")))
+        plain = plain.unionByName(code.mapInPandas(_syntax_spans(window, stride), f"project string, path string, lines array<string>, closed boolean, spans {SPANS}"))
+    spans = plain.select("project", "path", "lines", "closed", F.explode(F.slice("spans", 1, cap)).alias("s")).select("project", "path", "lines", "closed", "s.start", "s.end")
     text = F.substring(chunk_text(F.col("lines"), F.col("start"), F.col("end"), F.col("closed")), 1, chars)
     some = spans.select("project", "path", "start", text.alias("content")).where(F.col("content").rlike(r"\p{L}"))
     return some.withColumn("chunk_id", chunk_id(F.col("project"), F.col("path"), F.col("start"))).withColumn("content_hash", content_hash(F.col("content")))
@@ -115,34 +146,38 @@ def matching_lines(files: DataFrame, pattern: str) -> DataFrame:
     return files.select("path", numbers.alias("at")).where(F.size("at") > 0).select("path", F.size("at").alias("n"), F.array_join(F.transform("at", lambda i: i.cast("string")), ",").alias("lines"))
 
 
+_DEFINES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+
+def _lines(node: ast.stmt) -> tuple[int, int]:
+    """The lines of a definition, its decorators included, from 0, half-open."""
+    return min(x.lineno for x in (node, *node.decorator_list)) - 1, node.end_lineno
+
+
 def python_definitions(source: str, n: int) -> list[tuple[int, int]]:
     """Half-open line spans of top-level functions and, for classes, a header and each member."""
+    out = []
+    for top in (x for x in ast.parse(source).body if isinstance(x, _DEFINES)):
+        inner = [_lines(x) for x in top.body if isinstance(top, ast.ClassDef) and isinstance(x, _DEFINES)]
+        begin, end = _lines(top)
+        out += [(begin, min([end, *(a for a, _ in inner)])), *inner]
+    return sorted((a, min(b, n)) for a, b in out if a < min(b, n))
 
-    def span(node: ast.stmt) -> tuple[int, int]:
-        first = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1
-        return first, min(n, max(first + 1, node.end_lineno))
 
-    functions, out = (ast.FunctionDef, ast.AsyncFunctionDef), []
-    for node in ast.parse(source).body:
-        if isinstance(node, functions):
-            out.append(span(node))
-        elif isinstance(node, ast.ClassDef):
-            (first, last), members = span(node), sorted(span(m) for m in node.body if isinstance(m, (*functions, ast.ClassDef)))
-            out += [(first, max(first + 1, min(members[0][0], last))), *members] if members else [(first, last)]
-    return out
+def definitions_of(source: str, n: int) -> list[tuple[int, int]]:
+    """As ``python_definitions``; text that doesn't parse has none, so windows cover it."""
+    try:
+        return python_definitions(source, n)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
 
 
 def python_spans(files: DataFrame) -> DataFrame:
-    """``path, start, end`` of the definitions in Python ``files(path, text, n)``; text that doesn't parse has none."""
+    """``path, start, end`` of the definitions in Python ``files(path, text, n)``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for path, text, n in zip(f["path"], f["text"], f["n"]):
-                try:
-                    rows += [(path, a, b) for a, b in python_definitions(text, n)]
-                except (SyntaxError, ValueError, RecursionError):
-                    continue  # windows cover it
+            rows = [(path, a, b) for path, text, n in zip(f["path"], f["text"], f["n"]) for a, b in definitions_of(text, n)]
             yield pd.DataFrame(rows, columns=["path", "start", "end"])
 
     return files.select("path", "text", "n").mapInPandas(run, "path string, start int, end int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFINITIONS, REFERENCES = 5, 50
+# How a failure in prose begins.
 ERRORS = ("error executing tool", "exception:", "traceback (most recent call last)", "the language server manager is not initialized")
 REFERENCE_TYPE = "map<string,map<string,array<struct<name_path:string,content_around_reference:string>>>>"
 

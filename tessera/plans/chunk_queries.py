@@ -45,7 +45,7 @@ def page_paths(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat(base, F.element_at(ends, (F.col("page_id") % len(ENDS)).cast("int") + 1)).alias("path"))
 
 
-ENDS = ("/core.py", "/README.md", "/docs/guide.py", "/app.min.js", "/node_modules/x.ts", "/tests/test_a.py", "/.old/x.go", "/data.JSON", "/bazel-out/gen.cc", "/Main.java", "/x_pb2.py", "")
+ENDS = ("/core.py", "/README.md", "/docs/guide.py", "/app.min.js", "/node_modules/x.ts", "/tests/test_a.py", "/.old/x.go", "/data.JSON", "/bazel-out/gen.cc", "/Main.java", "/x_pb2.py", "", "/vendor/lib.py", "/Dist/app.js", "/old/x.py", "/env/a.rb")
 
 
 def _flags(spark, d):
@@ -82,15 +82,21 @@ def _names(spark, d):
     return table(spark, d, "pages").select("page_id", paths.without_project(raw).alias("name"), paths.without_repeats(raw).alias("collapsed"))
 
 
-SNIPPETS = {
-    "plain.py": "import os\n\nX = 1\n\n@wrap\ndef f():\n    return 1\n\nclass A(B):\n    '''doc'''\n    y = 2\n\n    def g(self):\n        pass\n\n    async def h(self):\n        pass\n",
-    "broken.py": "def f(:\n",
-    "flat.py": "x = 1\ny = 2\n",
-}
+def _python_files(spark, d):
+    """Suppliers as Python files: an import, some functions of various lengths and a class with a member; every tenth doesn't parse."""
+    k, body = F.col("s_suppkey"), lambda j: F.repeat(F.lit("    y = 1\n"), ((F.col("s_suppkey") + j) % 30 + 1).cast("int"))
+    functions = F.array_join(F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), lambda j: F.concat(F.lit("def f"), j.cast("string"), F.lit("():\n"), body(j), F.lit("\n"))), "")
+    text = F.concat(F.when(k % 10 == 0, "def (\n").otherwise("import os\n"), F.lit("\n"), functions, F.lit("@wrap\nclass C:\n    z = 1\n\n    def g(self):\n        return 2\n"))
+    docs = table(spark, d, "supplier").select(F.lit("p").alias("project"), F.concat(F.lit("s"), k.cast("string"), F.when(k % 7 == 0, ".txt").otherwise(".py")).alias("path"), text.alias("text"))
+    return text_lines(docs).withColumn("closed", F.lit(True)).withColumn("n", F.size("lines"))
+
 
+def _python_spans(spark, d):
+    return chunking.python_spans(_python_files(spark, d))
 
-def _spans(spark, d):
-    return chunking.python_spans(spark.createDataFrame([(k, v, v.count("\n")) for k, v in SNIPPETS.items()], "path string, text string, n int"))
+
+def _syntax_chunks(spark, d):
+    return chunking.chunks(_python_files(spark, d), 4, 2, 40).select("path", "start", F.length("content").alias("chars"), "content_hash")
 
 
 QUERIES = {
@@ -113,7 +119,8 @@ QUERIES = {
     "redact_text": _redact,
     "loc_render": _loc,
     "qualified_names": _names,
-    "python_spans": _spans,
+    "python_spans": _python_spans,
+    "syntax_chunks": _syntax_chunks,
 }
 
 _LINES = "CASE WHEN {t} = '' THEN [] WHEN {t} LIKE '%' || chr(10) THEN string_split({t}, chr(10))[:-2] ELSE string_split({t}, chr(10)) END"
@@ -141,17 +148,43 @@ _GENERATED_TEXT = (
     f"OR (length(text) > {paths.LARGE} AND length(text) / len(string_split(text, chr(10))) > {paths.LARGE_MEAN}))"
 )
 _PATHS = f"p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', '') || ({list(ENDS)!r})[page_id % {len(ENDS)} + 1] AS path FROM pages)"
-_in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+# Fixed values, written here a second time, so that a slip in the operators' lists shows.
+_GENERATED_DIRS = """('node_modules', 'bower_components', 'jspm_packages', 'site-packages', 'pods', 'venv', '.venv', '__pycache__', '.next', '.nuxt', '.svelte-kit', '.turbo', '.parcel-cache', '.gradle', '.terraform', '.angular',
+  '.docusaurus', '.vercel', '.serverless', '.webpack', '.output', '_build', 'deriveddata', 'htmlcov', '.nyc_output', '_generated', '__generated__', '.archive', '.archived', '_archive', '_archived', '.backup', '.backups', '.bak',
+  '.old', '.deprecated', '.trash')"""
+_ARCHIVE_DIRS = """('.archive', '.archived', '.backup', '.backups', '.bak', '.old', '.deprecated', '.trash', '.next', '.nuxt', '.svelte-kit', '.turbo', '.parcel-cache', '.gradle', '.terraform',
+  'node_modules', '__pycache__', 'dist', 'build', 'out', 'target', 'vendor', 'vendored', 'third_party', 'thirdparty', 'venv', 'env', 'site-packages', 'coverage', 'generated')"""
+_CODE_EXTS = "('.py', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.go', '.rs', '.java', '.c', '.h', '.cpp', '.cc', '.cxx', '.hpp', '.hh')"
+_NON_CODE_EXTS = """('.json', '.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf', '.properties', '.md', '.mdx', '.rst', '.txt', '.csv', '.tsv', '.lock', '.log', '.png', '.jpg', '.jpeg', '.gif', '.svg', '.ico', '.pdf', '.html', '.htm',
+  '.css', '.scss', '.sass', '.less')"""
+_PROSE_EXTS = "('.md', '.mdx', '.markdown', '.rst', '.txt', '.adoc', '.org')"
+_PROSE_PARTS = "['/docs/', '/doc/', '/snapshots/', '/__snapshots__/', '/.archive/', '/adr/', '/rfc/', '/changelog/']"
+_FAMILY = """CASE WHEN ext IN ('.py', '.pyi', '.pyx') THEN 'python' WHEN ext IN ('.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs') THEN 'ts-js' WHEN ext = '.go' THEN 'go' WHEN ext = '.rs' THEN 'rust' WHEN ext = '.rb' THEN 'ruby'
+  WHEN ext = '.php' THEN 'php' WHEN ext IN ('.java', '.kt', '.scala') THEN 'jvm' WHEN ext IN ('.c', '.h', '.cc', '.cpp', '.hpp') THEN 'c-cpp' WHEN ext = '.cs' THEN 'dotnet' WHEN ext = '.swift' THEN 'swift' WHEN ext IN ('.sh', '.bash') THEN 'shell' ELSE '' END"""
 _PARTED = f"""{_PATHS}, s AS (SELECT page_id, path, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS seg FROM p),
   b AS (SELECT *, coalesce(seg[-1], '') AS base, seg[:-2] AS dirs FROM s), x AS (SELECT *, regexp_extract(base, '[^.].*?(\\.[^.]*)$', 1) AS ext FROM b),
-  g AS (SELECT *, len(list_filter(dirs, lambda q: q IN {_in(paths.GENERATED_DIRS)} OR starts_with(q, 'bazel-') OR starts_with(q, 'cmake-build-'))) > 0 OR regexp_matches(base, '{paths.GENERATED_NAME}') AS generated,
-    ext IN {_in(paths.PROSE_EXTS)} OR len(list_filter({list(paths.PROSE_PARTS)!r}, lambda q: contains('/' || ltrim(lower(path), '/'), q))) > 0 AS prose FROM x)"""
-_FAMILY = "CASE " + " ".join(f"WHEN ext IN {_in(v)} THEN '{k}'" for k, v in paths.FAMILIES.items()) + " ELSE '' END"
+  g AS (SELECT *, len(list_filter(dirs, lambda q: q IN {_GENERATED_DIRS} OR starts_with(q, 'bazel-') OR starts_with(q, 'cmake-build-'))) > 0 OR regexp_matches(base, '{paths.GENERATED_NAME}') AS generated,
+    ext IN {_PROSE_EXTS} OR len(list_filter({_PROSE_PARTS}, lambda q: contains('/' || ltrim(lower(path), '/'), q))) > 0 AS prose FROM x)"""
 _RAW = "'/private/home/alice' || path || ' home-alice.pkg.fn /home/alice/x'"
 _RED = f"replace(replace(replace({_RAW}, '/private/home/alice', '~'), '/home/alice', '~'), 'home-alice', '<home>')"
 _QN = "CASE page_id % 3 WHEN 0 THEN 'home-alice-repo.' WHEN 1 THEN 'src.src.' ELSE 'a-b.' END || 'pkg.pkg.v.' || page_id || '.' || page_id || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '.run' END"
 
+_PY = """y AS (SELECT s_suppkey AS k, 's' || s_suppkey || CASE WHEN s_suppkey % 7 = 0 THEN '.txt' ELSE '.py' END AS path, CASE WHEN s_suppkey % 10 = 0 THEN 'def (' ELSE 'import os' END AS head FROM supplier),
+  j AS (SELECT k, path, unnest(range(0, k % 5 + 1)) AS j FROM y), l AS (SELECT k, path, j, (k + j) % 30 + 2 AS own, 2 + coalesce(sum((k + j) % 30 + 3) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM j),
+  c AS (SELECT k, path, max(s + own + 1) AS s FROM l GROUP BY k, path), sp AS (SELECT k, path, s, s + own AS e FROM l UNION ALL SELECT k, path, s, s + 4 FROM c UNION ALL SELECT k, path, s + 4, s + 6 FROM c)"""
+
 ORACLES = {
+    "python_spans": f"""WITH {_PY} SELECT path, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM sp WHERE k % 10 <> 0""",
+    "syntax_chunks": f"""WITH {_PY}, t AS (SELECT y.path, y.k, head || chr(10) || chr(10) || string_agg('def f' || j || '():' || chr(10) || repeat('    y = 1' || chr(10), CAST(own - 1 AS BIGINT)) || chr(10), '' ORDER BY j)
+        || '@wrap' || chr(10) || 'class C:' || chr(10) || '    z = 1' || chr(10) || chr(10) || '    def g(self):' || chr(10) || '        return 2' || chr(10) AS t FROM y JOIN l ON l.k = y.k GROUP BY y.path, y.k, head),
+      f AS (SELECT path, k, string_split(t, chr(10))[:-2] AS lines, len(string_split(t, chr(10))) - 1 AS n FROM t),
+      a AS (SELECT f.path, n, s, e FROM f JOIN sp ON sp.k = f.k WHERE f.k % 10 <> 0 AND f.path LIKE '%.py' UNION ALL SELECT path, n, n, n FROM f),
+      m AS (SELECT *, coalesce(max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM a),
+      o AS (SELECT path, unnest(range(CAST(cur AS BIGINT), CAST(s AS BIGINT), 2)) AS st, s AS lim, 4 AS w FROM m UNION ALL SELECT path, s, e, e - s FROM m WHERE s < e AND e - s <= 8
+        UNION ALL SELECT path, unnest(range(CAST(s AS BIGINT), CAST(e AS BIGINT), 2)), e, 4 FROM m WHERE s < e AND e - s > 8),
+      r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY st) AS i FROM o),
+      x AS (SELECT r.path, st, array_to_string(lines[CAST(st AS BIGINT) + 1:CAST(least(st + w, lim) AS BIGINT)], chr(10)) || chr(10) AS content FROM r JOIN f ON f.path = r.path WHERE i <= 40)
+      SELECT path, CAST(st AS INTEGER) AS start, CAST(length(content) AS INTEGER) AS chars, substr(sha256(content), 1, 16) AS content_hash FROM x WHERE regexp_matches(content, '\\p{{L}}')""",
     "line_windows": f"WITH {_sql_files()} SELECT path, CAST(s AS INTEGER) AS start, CAST(least(s + 10, n) AS INTEGER) AS \"end\" FROM (SELECT path, n, unnest(range(0, n, 10)) AS s FROM f)",
     "cover_running_max": f"""WITH {_sql_files()}, sp AS (SELECT path, n, 3 + 9 * k AS s, least(5 + 9 * k + (k * 5) % 13, n) AS e FROM (SELECT path, n, unnest(range(0, 13)) AS k FROM f)),
       a AS (SELECT * FROM sp WHERE s < e UNION ALL SELECT path, n, n, n FROM f),
@@ -175,9 +208,9 @@ ORACLES = {
     "pattern_lines": f"""WITH {_sql_files()}, l AS (SELECT path, unnest(lines) AS line, unnest(range(1, n + 1)) AS i FROM f)
       SELECT path, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS lines FROM l WHERE regexp_matches(line, '{THE}') GROUP BY path""",
     "generated_text_flags": f"SELECT doc_id, NOT contains(substr(text, 1, {paths.SAMPLE}), chr(10)) AS one_line, {_GENERATED_TEXT} AS generated_text, NOT contains(substr(text, 1, {paths.SAMPLE}), chr(10)) OR {_GENERATED_TEXT} AS generated_file FROM documents",
-    "path_flags": f"""WITH {_PARTED}, h AS (SELECT *, ext IN {_in(paths.CODE_EXTS)} AND NOT prose AND NOT generated AS code, generated OR len(list_filter(dirs, lambda q: q IN {_in(paths.ARCHIVE_DIRS)})) > 0 AS archived,
+    "path_flags": f"""WITH {_PARTED}, h AS (SELECT *, ext IN {_CODE_EXTS} AND NOT prose AND NOT generated AS code, generated OR len(list_filter(dirs, lambda q: q IN {_ARCHIVE_DIRS})) > 0 AS archived,
       regexp_matches(path, '(^|/)tests?/') OR regexp_matches(base, '^test_|_test\\.py$|^conftest\\.py$') AS test FROM g)
-      SELECT page_id, generated, path <> '' AND prose AS prose, code, archived, test, path = '' OR starts_with(path, '<') OR test OR archived AS noise, {_FAMILY} AS family, ext IN {_in(paths.NON_CODE_EXTS)} AS non_code, ext FROM h""",
+      SELECT page_id, generated, path <> '' AND prose AS prose, code, archived, test, path = '' OR starts_with(path, '<') OR test OR archived AS noise, {_FAMILY} AS family, ext IN {_NON_CODE_EXTS} AS non_code, ext FROM h""",
     "prose_partition": f"WITH {_PARTED} SELECT CASE WHEN path <> '' AND prose THEN 'prose' ELSE 'code' END AS corpus, count(*) AS n FROM g GROUP BY 1",
     "snippet_lines": f"""WITH {_sql_files()}, k AS (SELECT path, lines[1:5] AS head FROM f)
       SELECT path, rtrim(array_to_string(head, chr(10)), ' ') AS snippet, coalesce(list_filter(list_transform(head, lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))[1], head[1], '') AS shown FROM k""",

@@ -53,14 +53,20 @@ QUERIES = {
     "reset_dry_run": lambda s, d: sinks.reset_counts(chunking.chunks(files(s, d), 20, 10)),
 }
 
+_RAW = """raw AS (SELECT event_id AS reply, CASE event_id % 5 WHEN 0 THEN ' Error executing tool x' WHEN 1 THEN '[1, ''Exception: y'']' WHEN 2 THEN 'Exception: ' || t ELSE t END AS raw FROM (
+  SELECT event_id, '{"f' || user_id || '.py": {"Function": [{"name_path": " n' || event_id || ' ", "content_around_reference": "  ...  >   ' || (event_id % 97) || ':from"}]}}' AS t FROM events))"""
 _TOP = "t AS (SELECT y.id, name, file, n AS fan_in FROM y JOIN (SELECT dst, count(*) AS n FROM r GROUP BY dst) f ON f.dst = y.id ORDER BY n DESC, y.id LIMIT 40)"
 ORACLES = {
     "symbol_references": f"""WITH {Y}, {E}, d AS (SELECT *, row_number() OVER (ORDER BY file, lines, id) AS k FROM (SELECT * FROM y WHERE name = '{NAME}' ORDER BY file, lines, id LIMIT 5)),
       u AS (SELECT DISTINCT a.file AS path, a.lines AS line, a.name FROM e JOIN d ON d.k = 1 AND e.dst = d.id JOIN y a ON a.id = e.src ORDER BY 1, 2, 3 LIMIT 50)
       SELECT 'definition' AS part, CAST(k AS INTEGER) AS ordinal, file AS path, lines AS start, name AS name_path FROM d UNION ALL SELECT 'reference', CAST(row_number() OVER (ORDER BY path, line, name) AS INTEGER), path, line, name FROM u""",
     "kind_overview": f"WITH {Y} SELECT label AS kind, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM y WHERE file = 'Brand#2' GROUP BY label",
-    "reference_lines": "SELECT event_id AS reply, 'f' || user_id || '.py' AS path, 'Function' AS kind, 'n' || event_id AS name_path, CAST(event_id % 97 AS INTEGER) AS line FROM events WHERE event_id % 5 > 2",
-    "backend_errors": "SELECT event_id AS reply, event_id % 5 IN (0, 2) AS error FROM events",
+    "reference_lines": f"""WITH {_RAW}, f AS (SELECT reply, raw, unnest(json_keys(CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END)) AS path FROM raw),
+      k AS (SELECT reply, path, json_extract(raw, '$."' || path || '"') AS kinds FROM f), e AS (SELECT reply, path, kinds, unnest(json_keys(kinds)) AS kind FROM k),
+      x AS (SELECT reply, path, kind, unnest(CAST(json_extract(kinds, '$."' || kind || '"') AS JSON[])) AS entry FROM e)
+      SELECT reply, path, kind, trim(entry->>'$.name_path') AS name_path, TRY_CAST(regexp_extract(entry->>'$.content_around_reference', '>\\s*(\\d+):', 1) AS INTEGER) AS line FROM x""",
+    "backend_errors": f"""WITH {_RAW}, h AS (SELECT *, lower(regexp_replace(raw, '^\\s+', '')) AS head FROM raw) SELECT reply, left(head, 1) NOT IN ('[', '{{') AND (starts_with(head, 'error executing tool') OR starts_with(head, 'exception:')
+      OR starts_with(head, 'traceback (most recent call last)') OR starts_with(head, 'the language server manager is not initialized')) AS error FROM h""",
     "graph_json": f"""{ALL}, f AS (SELECT * FROM r WHERE type = 'CALLS' ORDER BY src, dst LIMIT 50)
       SELECT 'node' AS part, '{{"id":' || id || ',"name":"' || name || '","file":"' || file || '"}}' AS line FROM y WHERE id IN (SELECT src FROM f UNION SELECT dst FROM f)
       UNION ALL SELECT 'edge', '{{"from":' || src || ',"to":' || dst || ',"type":"' || type || '"}}' FROM f""",

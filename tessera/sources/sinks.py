@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -21,16 +22,20 @@ def write_map(path: str, text: str) -> bool:
     return True
 
 
+_BLOCK = re.compile(re.escape(START) + "(?:.*?" + re.escape(END) + ")?", re.DOTALL)
+
+
 def injected(content: str, block: str) -> tuple[str, str]:
-    """``content`` with the marked block, and what was done: updated, repaired or appended. Repeating changes nothing."""
-    full, start = START + block + END, content.find(START)
-    end = content.find(END, start) if start >= 0 else -1
-    if end >= 0:
-        return content[:start] + full + content[end + len(END) :], "updated"
-    if start >= 0 and END in content:
-        return content[:start] + full, "repaired"
-    gap = "\n" if content.endswith("\n") else "\n\n"
-    return content + gap + full, "appended"
+    """``content`` with the marked block, and what was done: updated, repaired or appended. Repeating changes nothing.
+
+    The first start mark and what follows up to its end mark give way to the block. A start mark without an end after
+    it, while an end stands before it, is repaired: the block takes the rest of the content.
+    """
+    full, found = f"{START}{block}{END}", _BLOCK.search(content)
+    whole = bool(found) and found[0].endswith(END)
+    if whole or (found and END in content):
+        return content[: found.start()] + full + (content[found.end() :] if whole else ""), "updated" if whole else "repaired"
+    return re.sub(r"(\n?)\Z", "\n\n", content, count=1) + full, "appended"
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -80,12 +80,9 @@ def test_cover_is_gapless(spark, spans, n):
     assert sorted((r["start"], r["end"]) for r in got.collect()) == plain()
 
 
-def test_python_spans_and_lines(spark, small):
-    from tessera.plans.chunk_queries import QUERIES
+def test_text_lines(spark):
     from tessera.sources.views import text_lines
 
-    rows = {(r["path"], r["start"], r["end"]) for r in QUERIES["python_spans"](spark, small).collect()}
-    assert rows == {("plain.py", 4, 7), ("plain.py", 8, 12), ("plain.py", 12, 14), ("plain.py", 15, 17)}
     t = spark.createDataFrame([("a\r\nb\rc\n",), ("",), ("x",), ("\n\n",)], "text string")
     assert [r["lines"] for r in text_lines(t).collect()] == [["a", "b", "c"], [], ["x"], ["", ""]]
 
@@ -177,7 +174,9 @@ def test_file_walk(spark, tmp_path):
 
 def test_settings():
     got = files.settings("window = 10\nextra = 1\ncosine_floor = 7.0\n", "= broken", "stride = -1\nrerank = 3\n")
-    assert (got["window"], got["extra"], got["cosine_floor"], got["stride"], got["rerank"]) == (10, 1, 1.0, 20, "on")
+    assert (got["window"], got["extra"], got["cosine_floor"], got["stride"], got["rerank"]) == (10, 1, 1.0, 10, "on")
+    got = files.settings('max_chunks = "12"\nreindex = " NEVER "\nbackend = "other"\ncosine_floor = nan\nstride = inf\nmodel = ""\nchunk_strategy = "lines"\n')
+    assert (got["max_chunks"], got["reindex"], got["backend"], got["cosine_floor"], got["stride"], got["model"], got["chunk_strategy"]) == (12, "never", "auto", 0.25, 10, files.DEFAULTS["model"], "lines")
 
 
 def test_sinks(tmp_path):
@@ -187,3 +186,109 @@ def test_sinks(tmp_path):
     p = tmp_path / "map.md"
     assert sinks.write_map(str(p), "real") and not sinks.write_map(str(p), sinks.STUB) and p.read_text() == "real"
     assert "</" not in sinks.graph_page({"a": "</script>"}, "__DATA__") and sinks.escaped("<&") == "&lt;&amp;"
+
+
+def test_tokens_and_roles(spark):
+    import hashlib
+
+    digest = hashlib.sha256(b"key").hexdigest()
+    tokens = state.token_digests(spark.createDataFrame([(f"SHA256: {digest.upper()}", "reader"), ("plain", "ghost"), ("all", "admin"), (None, "x")], "token string, role string"))
+    asked = spark.createDataFrame([("key",), (f"sha256:{digest}",), (digest,), ("plain",), ("all",), ("",), (None,)], "token string")
+    got = {r["token"]: r["role"] for r in state.role_of(asked, tokens).collect()}
+    assert got == {"key": "reader", f"sha256:{digest}": None, digest: None, "plain": "ghost", "all": "admin", "": None, None: None}
+    roles = spark.createDataFrame([("reader", ["view", None]), ("admin", ["*"]), ("broken", None)], "role string, ops array<string>")
+    rules = state.rules_of(roles, tokens)
+    assert {r["role"]: r["ops"] for r in rules.collect()} == {"reader": ["view", None], "broken": [], "ghost": []}
+    rows = spark.createDataFrame([(r, op) for r in ("reader", "admin", "broken", "ghost", "", None) for op in ("view", "drop")], "role string, op string")
+    allowed = {(r["role"], r["op"]) for r in state.op_allowed(rows, rules).collect() if r["allowed"]}
+    assert allowed == {("reader", "view"), ("admin", "view"), ("admin", "drop"), ("", "view"), ("", "drop")}
+
+
+def test_registry_roots_with_a_slash(spark):
+    reg = spark.createDataFrame([(0, "parent", "/p", 9), (1, "child", "/p/c/", 3), (2, "top", "/", 1)], "ordinal int, name string, root_path string, nodes int")
+    t = spark.createDataFrame([("/p/c",), ("/p/c/d",), ("/p/cx",), ("/q",)], "target string")
+    assert {r["target"]: r["name"] for r in state.resolved(t, reg).collect()} == {"/p/c": "parent", "/p/c/d": "child", "/p/cx": "parent", "/q": "top"}
+
+
+def test_refused_requests_take_no_slot(spark):
+    rows = [(1, 1, 0, 10.0), (2, 1, 1_000_000, 100.0), (3, 1, 11_000_000, 1.0), (4, 2, 0, 1.0), (5, 2, 1_000_000, 1.0), (6, None, 5, 1.0)]
+    got = {r["root"]: (r["most"], r["over"]) for r in state.load(spark.createDataFrame(rows, "event_id long, root long, us long, latency double"), 1.0, 1).collect()}
+    assert got == {1: (1, 1), 2: (1, 0)}
+
+
+def test_archived_paths(spark):
+    x = F.col("x")
+    assert values(spark, paths.archived(x), ["a/dist/x.js", "Vendor/x.go", "env/x.py", "src/distant/x.py", "dist.py", "a/.old/x.py"]) == [True, True, True, False, False, True]
+
+
+def test_reach_has_a_bounded_plan(spark):
+    e = spark.createDataFrame([(k, k + 1, "CALLS") for k in range(12)], EDGES)
+    sizes = []
+    for hops in (2, 10):
+        found = graph.reach(e, spark.createDataFrame([(0,)], "id long"), hops)
+        assert {r["id"]: r["hop"] for r in found.collect()} == {k: k for k in range(hops + 1)}
+        sizes.append(found._jdf.queryExecution().analyzed().toString().count("Join"))
+    assert sizes == [0, 0]
+
+
+def test_ambiguous_names(spark):
+    y = spark.createDataFrame([("a", k) for k in range(500)] + [("b", 1), ("c", 7), ("c", 3)], "name string, id long")
+    assert {(r["name"], r["candidates"], r["ids"]) for r in graph.ambiguous(y).collect()} == {("a", 500, "0,1,2,3,4"), ("c", 2, "3,7")}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 60)), max_size=8), st.integers(0, 50))
+def test_cover_of_one_file(spans, n):
+    got = sorted(chunking.covered(spans, n, 4, 2))
+    assert (got == []) == (n == 0) and all(0 <= a < b <= n and b - a <= 8 for a, b in got)
+    assert set(range(n)) == {k for a, b in got for k in range(a, b)} and len({a for a, _ in got}) == len(got)
+
+
+def test_python_definitions():
+    text = "import os\n\n@a\n@b(\n  1)\nclass C(D):\n    x = 1\n    @p\n    def f(self): pass\n    class E:\n        def g(self):\n            pass\nasync def h():\n    pass\ndef one(): pass\nclass Lone: y = 2\n"
+    assert chunking.python_definitions(text, text.count("\n")) == [(2, 7), (7, 9), (9, 12), (12, 14), (14, 15), (15, 16)]
+    assert chunking.definitions_of("def (", 1) == [] == chunking.definitions_of("x\0", 1)
+
+
+def test_chunks_by_strategy(spark):
+    body = "def a():\n    return 1\n\n\ndef b():\n    return 2\n"
+    rows = [("p", f"{name}", body.split("\n")[:-1], True) for name in ("a.py", "b.txt", "C.PY")] + [("p", "broken.py", ["def (", "x", "y"], True), ("p", "empty.py", [], True)]
+    files_ = spark.createDataFrame(rows, "project string, path string, lines array<string>, closed boolean")
+    starts = lambda **how: {(r["path"], r["start"]) for r in chunking.chunks(files_, 4, 4, **how).collect()}
+    assert starts() == {("a.py", 0), ("a.py", 4), ("C.PY", 0), ("C.PY", 4), ("b.txt", 0), ("b.txt", 4), ("broken.py", 0)}
+    assert starts(cap=1) == {("a.py", 0), ("C.PY", 0), ("b.txt", 0), ("broken.py", 0)} and starts(strategy="lines") == starts()
+
+
+@pytest.mark.parametrize("shape", ["file", "folder", "empty"])
+def test_streams_of_files_folders_and_empty_tables(spark, small, tmp_path, shape):
+    import shutil
+
+    from tessera.plans.state_queries import DAY
+    from tessera.sources.views import requests
+    from tessera.streaming import replay
+
+    rows = spark.read.parquet(f"{small}/events.parquet")
+    if shape == "file":
+        shutil.copy(f"{small}/events.parquet", tmp_path / "events.parquet")
+        shutil.copy(f"{small}/orders.parquet", tmp_path / "orders.parquet")
+    else:
+        rows.where("false" if shape == "empty" else "true").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get(replay.PROVIDER, None)
+    got = {tuple(r) for r in replay.debounce_stream(spark, str(tmp_path), DAY).collect()}
+    assert spark.conf.get(replay.PROVIDER, None) == before
+    log = requests(spark, str(tmp_path))
+    assert got == {tuple(r) for r in state.debounced(log, DAY).where("fired").select("event_id", "root", "us").collect()}
+    want = {tuple(r) for r in log.groupBy("op").agg(F.count("*"), F.round(F.sum("latency"), 2)).collect()}
+    assert {tuple(r) for r in replay.metrics_stream(spark, str(tmp_path)).collect()} == want and (shape == "empty") == (not want)
+
+
+def test_index_follows_its_source(spark, small, tmp_path):
+    from tessera.sources import views
+
+    item = spark.read.parquet(f"{small}/lineitem.parquet")
+    item.limit(2000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    one = views.edges(spark, str(tmp_path))
+    assert one.exceptAll(views.built_edges(spark, str(tmp_path))).count() == 0
+    item.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    two = views.edges(spark, str(tmp_path))
+    assert two.count() == views.built_edges(spark, str(tmp_path)).count() > 0

@@ -11,7 +11,7 @@ def test_query_equals_sql(spark, small, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"python_spans"}
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
