@@ -13,8 +13,9 @@ their own. A data row goes to a block only if its cell is needed there and the r
 distance to its pivot) reaches the block's lowest threshold. Blocks are solved locally by matrix products and
 the partial results are merged. All pruning is by bounds with slack for rounding, so the result is exact.
 
-Scale: a cell or block may hold a third of all rows, so data is dealt out by block and a salt, ``DATA_BLOCK``
-rows or so together; partial results are at most K rows for each query and salt. Clustered data is pruned to a
+Scale: a cell or block may hold a third of all rows, so data is dealt out by block and a salt, at most about
+``DATA_BLOCK`` rows together (a block gets salts by the rows of the cells it needs); partial results are at most K
+rows for each query and salt. Clustered data is pruned to a
 few cells; for rows without structure no bound prunes and the join is the blocked product of all queries with
 all rows, which any exact method needs there.
 
@@ -38,7 +39,7 @@ from .shared import cut, join_counted
 
 K, SCALE, EVERY = 10, 1024, 100
 SAMPLE, PIVOTS, ROUNDS = 4096, 64, 6
-QUERY_BLOCK, DATA_BLOCK, TILE = 1024, 100_000, 4096
+QUERY_BLOCK, DATA_BLOCK, TILE = 1024, 4096, 4096
 
 
 def quantized(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -190,8 +191,8 @@ def best(query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarra
     return pd.DataFrame({"query_id": query_ids[at], "vec_id": vec, "score": np.array(score, np.int64)})
 
 
-def nearest(queries: DataFrame, data: DataFrame, k: int = K, pivot_count: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best rows of ``data(vec_id, v)`` for each of ``queries(vec_id, v)``."""
+def dealt(queries: DataFrame, data: DataFrame, k: int = K, pivot_count: int = PIVOTS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, Coder] | None:
+    """``asking(block, salt, query_id, v, least)`` and ``sent(block, salt, vec_id, v)``: what each block solves; None without queries."""
     shape = data.unionByName(queries).agg(F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)"))))).alias("top")).first()
     coder = Coder(shape["dim"] or 0, int(shape["top"] or 0))
     some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # at most ``sample`` rows
@@ -208,15 +209,27 @@ def nearest(queries: DataFrame, data: DataFrame, k: int = K, pivot_count: int =
         blocks[r["home"]] = (offset, n := -(-r["count"] // QUERY_BLOCK))
         offset += n
     if not blocks:
-        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     place = F.create_map(*[x for h, (o, n) in blocks.items() for x in (F.lit(h), F.struct(F.lit(o).alias("o"), F.lit(n).alias("n")))])[F.col("home")]
     asked = asked.withColumn("block", place["o"] + F.pmod(F.xxhash64("query_id"), place["n"]).cast("int"))
     needed = asked.select("block", "size", "least", F.explode("needs").alias("c")).groupBy("block", "c.cell").agg(F.max("c.dot").alias("dot"), F.max("size").alias("size"), F.min("least").alias("least"))
+    held = F.create_map(*[F.lit(x) for c in cells for x in (c["cell"], c["n"])])[F.col("cell")] if cells else F.lit(0)
+    salts = cut(needed.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(held) / DATA_BLOCK)).cast("int").alias("salts")))
+    needed = cut(needed.join(salts, "block"))
     reach = F.least(F.col("dot") + F.col("size") * F.col("r"), F.col("size") * F.col("norm"))
     slack = 1 + 1e-9 * F.col("size") * (F.col("norm") + F.lit(float(np.sqrt((p**2).sum(axis=1)).max())))
-    salts = max(1, -(-sum(c["n"] for c in cells) // DATA_BLOCK))
-    sent = join_counted(rows, cut(needed), ["cell"], "vec_id").where(reach + slack >= F.col("least")).select("block", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), "vec_id", "v")
-    asking = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "query_id", "v", "least")
+    salt = F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt")
+    sent = join_counted(rows, needed, ["cell"], "vec_id").where(reach + slack >= F.col("least")).select("block", salt, "vec_id", "v")
+    asking = asked.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "query_id", "v", "least")
+    return asking, sent, coder
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int = K, pivot_count: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k best rows of ``data(vec_id, v)`` for each of ``queries(vec_id, v)``."""
+    got = dealt(queries, data, k, pivot_count, sample)
+    if got is None:
+        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asking, sent, coder = got
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("vec_id")

@@ -66,3 +66,22 @@ def test_clashing_columns(spark, small):
 def test_small_integer_vectors(spark, vectors):
     rows = [(i * 5, [float(x) for x in v]) for i, v in enumerate(vectors)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Of clustered rows a block gets its own cluster; without structure it gets all rows, over several salts."""
+    monkeypatch.setattr(op, "DATA_BLOCK", 500)
+    rng = np.random.default_rng(2)
+    centre = 10 * np.eye(16)[:8]
+    rows = [(i, (centre[i % 8] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(4000)]
+    noise = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(4000)]
+    shares = []
+    for some in (rows, noise):
+        data = op.quantized(spark.createDataFrame([(i, v, 0) for i, v in some], KIND))
+        asking, sent, _ = op.dealt(data.where("vec_id % 50 = 0"), data)
+        blocks = asking.select("block").distinct().count()
+        shares.append(sent.count() / (4000 * blocks))
+        sizes = [r["count"] for r in sent.groupBy("block", "salt").count().collect()]
+        assert max(sizes) <= 700
+    assert shares[0] <= 0.2 and shares[1] >= 0.5
+    assert run(spark, rows, every=50) == brute(rows, every=50)
