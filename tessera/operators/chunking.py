@@ -146,6 +146,19 @@ def matching_lines(files: DataFrame, pattern: str) -> DataFrame:
     return files.select("path", numbers.alias("at")).where(F.size("at") > 0).select("path", F.size("at").alias("n"), F.array_join(F.transform("at", lambda i: i.cast("string")), ",").alias("lines"))
 
 
+def matches_by_symbol(files: DataFrame, definitions: DataFrame, pattern: str) -> DataFrame:
+    """``path, name, start, n, lines``: matching lines of ``files(path, lines)`` by the innermost of ``definitions(path, name, start, end)``.
+
+    Lines outside any definition have no name. Lines are numbered from 1; only matching ones are joined.
+    """
+    hit = files.select("path", F.posexplode("lines").alias("i", "line")).where(F.col("line").rlike(pattern)).select("path", "i")
+    own = definitions.select("path", "name", "start", "end")
+    inside = hit.join(own, "path").where("start <= i and i < end").groupBy("path", "i").agg(F.max(F.struct("start", -F.col("end"), "name")).alias("d"))
+    named = hit.join(inside, ["path", "i"], "left").select("path", "i", F.coalesce("d.name", F.lit("")).alias("name"), F.col("d.start").alias("start"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("i") + 1)), lambda x: x.cast("string")), ",")
+    return named.groupBy("path", "name", "start").agg(F.count("*").alias("n"), lines.alias("lines"))
+
+
 _DEFINES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 

@@ -163,3 +163,72 @@ def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
     slices = symbols.groupBy("name", F.pmod(F.xxhash64("id"), F.lit(64)).alias("slice")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
     some = slices.groupBy("name").agg(F.sum("n").alias("candidates"), F.array_sort(F.flatten(F.collect_list(F.slice("ids", 1, shown)))).alias("ids")).where(F.col("candidates") >= least)
     return some.select("name", "candidates", F.array_join(F.transform(F.slice("ids", 1, shown), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry_points: bool = True, limit: int = 200) -> DataFrame:
+    """``id, name, file, label, complexity, lines, in_degree, out_degree`` of symbols by label and references to them, in order of id.
+
+    ``entry_points`` false leaves out those that call and are never referred to.
+    """
+    rows = symbols.join(degrees(symbols, edges), "id").where(F.col("in_degree") >= least)
+    rows = rows if label is None else rows.where(F.col("label") == label)
+    rows = rows if most is None else rows.where(F.col("in_degree") <= most)
+    rows = rows if entry_points else rows.where(~((F.col("in_degree") == 0) & (F.col("out_degree") > 0)))
+    return rows.orderBy("id").limit(limit).select("id", "name", "file", "label", "complexity", "lines", "in_degree", "out_degree")
+
+
+def label_line(name: Column, file: Column, edge: Column) -> Column:
+    """``- name [EDGE] (file)``; the file is left out where it is the name, the edge where there is none."""
+    badge = F.when(F.trim(F.coalesce(edge, F.lit(""))) != "", F.concat(F.lit(" ["), F.trim(edge), F.lit("]"))).otherwise("")
+    tail = F.when((F.coalesce(file, F.lit("")) != "") & (file != name), F.concat(F.lit(" ("), file, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("- "), F.coalesce(F.nullif(name, F.lit("")), F.lit("?")), badge, tail)
+
+
+def capped(lines: DataFrame, order: list, shown: int) -> DataFrame:
+    """``place, line`` of ``lines(line)``: the first ``shown`` in ``order``, then one that says how many more there are."""
+    top = lines.orderBy(*order).limit(shown)
+    place = F.row_number().over(Window.orderBy(*order))  # of ``shown`` rows at most
+    more = lines.agg(F.count("*").alias("n")).where(F.col("n") > shown).select(F.lit(shown + 1).alias("place"), F.concat(F.lit("… (+"), (F.col("n") - shown).cast("string"), F.lit(" more)")).alias("line"))
+    return top.select(place.alias("place"), "line").unionByName(more)
+
+
+def payload_nodes(symbols: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """``id, name, file, complexity, lines, in_degree, out_degree`` of both ends of the ``kept`` edges; what is unknown is 0."""
+    ends = kept.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = ends.join(symbols, "id", "left").join(degrees(symbols, edges), "id", "left")
+    return rows.select("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("file", F.lit("")).alias("file"), zero("complexity"), zero("lines"), zero("in_degree"), zero("out_degree"))
+
+
+def changed(files: DataFrame, impacted: DataFrame, code: str, shown: int = 40) -> DataFrame:
+    """``section, place, line`` of changed ``files(path)`` and ``impacted(label, path)`` symbols: a head, then files, then symbols.
+
+    Each file and symbol counts once. Files that ``code`` (a condition on ``path``) denies are left out, and symbols
+    with such a file; symbols without a file stay, bare file markers (the label is the path) don't. Nothing left reads as a clean
+    tree, or as changes that are none of source.
+    """
+    all_files = files.where("coalesce(path, '') <> ''").select("path").distinct()
+    sources = all_files.where(code)
+    real = impacted.withColumn("label", F.trim("label")).withColumn("path", F.coalesce("path", F.lit(""))).where("coalesce(label, '') <> '' and label <> path").distinct()
+    symbols = real.where(f"path = '' or ({code})")
+    n = all_files.agg(F.count("*").alias("all")).join(sources.agg(F.count("*").alias("files")), how="cross").join(symbols.agg(F.count("*").alias("symbols")), how="cross").join(real.agg(F.count("*").alias("real")), how="cross")  # one row each
+    dropped = (F.col("all") - F.col("files") + F.col("real") - F.col("symbols")).cast("string")
+    head = F.when(F.col("files") + F.col("symbols") > 0, F.concat(F.col("files").cast("string"), F.lit(" files, "), F.col("symbols").cast("string"), F.lit(" symbols")))
+    head = head.when(dropped != "0", F.concat(F.lit("no source changes: "), dropped, F.lit(" of other files"))).otherwise("clean")
+    tail = F.when(F.col("path") != "", F.concat(F.lit("  ("), F.col("path"), F.lit(")"))).otherwise("")
+    one = capped(sources.select(F.concat(F.lit("- "), "path").alias("line")), ["line"], shown)
+    two = capped(symbols.select(F.concat(F.lit("- "), F.col("label"), tail).alias("line")), ["line"], shown)
+    return n.select(F.lit("head").alias("section"), F.lit(0).alias("place"), head.alias("line")).unionByName(one.select(F.lit("files").alias("section"), "place", "line")).unionByName(two.select(F.lit("symbols").alias("section"), "place", "line"))
+
+
+def deadcode(symbols: DataFrame, edges: DataFrame, noise: str, words: DataFrame | None = None, fetched: int = 200, shown: int = 30) -> DataFrame:
+    """``id, name, file, lines, state``: the longest functions that nothing refers to and no text names more often than it is defined.
+
+    ``words(name, used)`` counts each word of the source texts; without it candidates are ``raw``, with it ``verified``.
+    """
+    rows = listing(symbols, edges, "Function", most=0, entry_points=False, limit=fetched).where(f"not ({noise})")
+    if words is not None:
+        defined = rows.groupBy("name").agg(F.count("*").alias("defined"))
+        live = words.join(defined, "name").where("used > defined").select("name")
+        rows = rows.join(live, "name", "left_anti")
+    return rows.orderBy(F.desc("lines"), "id").limit(shown).select("id", "name", "file", "lines", F.lit("raw" if words is None else "verified").alias("state"))

@@ -99,3 +99,27 @@ def within_bytes(ranked: DataFrame, line: Column, order: list, budget: int) -> D
     """The longest prefix of a bounded ranking whose UTF-8 lines fit the budget, line ends included."""
     sized = ranked.withColumn("line", line).withColumn("bytes", F.sum(F.octet_length("line") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     return sized.where(F.col("bytes") <= budget)
+
+
+def answer(catalogue: DataFrame, query: list[float], text: str, project: str, prose: str, k: int = DISPLAY, floor: float = FLOOR, rerank: object = "on", candidates: int = 30) -> DataFrame:
+    """``place, corpus, vec_id, path, line, score, snippet``: the answer to a search in one project.
+
+    ``catalogue(project, path, start, next, vec_id, embedding, lines)``: stored chunks with the lines of their file and
+    the start of the file's next chunk. The project is filtered before any distance. With rerank on, more candidates
+    than shown are fetched and fused with their lexical ranks; with it off, or of a lone candidate, cosine decides.
+    """
+    fuse = str(rerank).strip().lower() not in ("off", "false", "0", "no", "none")
+    mine = catalogue.where(F.col("project") == project).withColumn("score", cosine("embedding", query)).drop("embedding")
+    near = mine.where(F.col("score") >= floor).orderBy(F.desc("score"), "vec_id").limit(max(k, min(candidates, FETCH)) if fuse else k)
+    rows = numbered(near).withColumn("own", owned_text(F.col("lines"), F.col("start"), F.col("next")))
+    if fuse:
+        words = [r for r in dict.fromkeys(_tokens_of(near, text))]
+        rows = fused(rows, lexical(F.col("own"), words), symbol_boost(F.col("own"), text)).withColumn("i", F.col("place") - 1).drop("place")
+    top = rows.where(F.col("i") < k)
+    placed = quota(top, prose, k).select("place", "corpus", "vec_id")
+    head = F.slice("lines", F.col("start") + 1, F.lit(SNIPPET))
+    return placed.join(top, "vec_id").select("place", "corpus", "vec_id", "path", (F.col("start") + 1).alias("line"), F.round("score", 6).alias("score"), F.rtrim(F.array_join(head, "\n")).alias("snippet")).orderBy("place")
+
+
+def _tokens_of(near: DataFrame, text: str) -> list[str]:
+    return near.sparkSession.createDataFrame([(text,)], "text string").select(tokens(F.col("text")).alias("t")).first()["t"]
