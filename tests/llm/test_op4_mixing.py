@@ -88,3 +88,43 @@ def test_mixed_takes_rows_without_ids_as_planned(docs_of):
     for budget in (300, 1400):
         want = op.mix(docs, budget=budget).agg(F.sum("copies"), F.sum(F.col("copies") * F.col("n_tokens"))).first()
         assert tuple(op.mixed(clash(docs), budget=budget).agg(F.count("*"), F.sum(op.tokens_of(F.col("text")))).first()) == tuple(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_budgets_of_many_siblings(spark, monkeypatch, seed):
+    """Water levels over many siblings, also equal and nearly equal ones, against repeated passes."""
+    import random
+
+    from tessera import storage
+
+    monkeypatch.setattr(storage, "HOT", 5)
+    rng = random.Random(seed)
+    size = lambda: rng.choice([rng.randrange(1, 50), 1000, 1000 + rng.randrange(3), rng.randrange(1, 10**9), 10**9 + rng.randrange(5)])
+    leaves = {(d, lg, f"s{k}"): size() for d in ("web", "reference") for lg in ("en", "de") for k in range(rng.randrange(1, 150))}
+    weights = {"web": 3, **{f"web/en/s{k}": rng.randrange(1, 9) for k in range(0, 150, 7)}}
+    rows = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "domain string, language string, source string, tokens long")
+    tree = defaultdict(int)
+    for p, n in leaves.items():
+        for k in range(4):
+            tree[p[:k]] += n
+    for total in (1, sum(leaves.values()) // 7, sum(leaves.values()) * 2):
+        give = {(): total}
+        for depth in range(3):
+            for parent in [p for p in tree if len(p) == depth]:
+                give |= share([(p, tree[p] * 3, weights.get("/".join(p), 1)) for p in tree if len(p) == depth + 1 and p[:depth] == parent], give[parent])
+        got = {(r["domain"], r["language"], r["source"]): r["budget"] for r in op.budgets(rows, weights, F.lit(total)).collect()}
+        assert got == {p: give[p] for p in leaves}
+
+
+def test_hot_ids_are_split(docs_of, monkeypatch):
+    from tessera import storage
+
+    monkeypatch.setattr(storage, "HOT", 3)
+    monkeypatch.setattr(op, "SLICES", 4)
+    n = 120
+    docs = docs_of([" ".join(["w"] * (2 + (i % 3 == 0))) for i in range(n)], ids=[None if i % 2 else i for i in range(n)])
+    rows = [(r["doc_id"], "web", "en", "s", len(r["text"].split())) for r in docs.collect()]
+    for budget in (420, 1700):
+        want = brute(rows, op.WEIGHTS, sum(r[4] for r in rows) * budget // 1000)
+        got = sorted((r["doc_id"] or -1, r["n_tokens"], r["copies"]) for r in op.planned(docs, budget=budget).collect())
+        assert got == sorted((rows[i][0] or -1, rows[i][4], c) for i, c in want.items())
