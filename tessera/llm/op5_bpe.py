@@ -1,13 +1,11 @@
 """Byte-level BPE encoding and decoding with the ``tokenizers`` library over Arrow batches.
 
 A text is cut by the pre-tokenizer's pattern; every match is encoded on its own by the library (its regex
-step is off: the pattern has cut already), and the token ids of a piece are kept in a bounded cache of each
-Python worker, as little-endian bytes. Where every space stands alone between non-spaces, no match crosses
-a space, so such texts are cut at spaces first and the pattern runs only on pieces not seen before.
-Decoding looks ids up in the reversed byte-to-character table, so characters split over tokens come back
+step is off: the pattern has cut already), and the token ids of a match are kept in a bounded cache of each
+Python worker, as little-endian bytes. Decoding looks ids up in the reversed byte-to-character table, so characters split over tokens come back
 whole once the bytes are joined. Offsets of a token: its bytes, and the characters that those bytes touch.
 
-One narrow pass without a shuffle. A worker holds the vocabulary (a few MB) and at most ``CACHE`` pieces.
+One narrow pass without a shuffle. A worker holds the vocabulary (a few MB) and at most ``CACHE`` matches.
 
 Defined results: a null text counts as empty (no ids; decoded bytes empty); strings of special tokens in a
 text are ordinary text; null ids and repeated rows pass through; extra columns are ignored.
@@ -17,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +25,9 @@ from pyspark.sql import functions as F
 
 #: Where the vocabulary is, if the caller names none: the public package's files.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps; further ones are encoded each time.
+#: Matches that a worker keeps; further ones are encoded each time.
 CACHE = 400_000
-#: Pieces that are handed to the library at once, and the longest piece that is kept.
+#: Matches that are handed to the library at once, and the longest match that is kept.
 AT_ONCE, KEPT = 2000, 64
 
 
@@ -60,7 +57,6 @@ class Codec:
             self.bytes[i] = bytes(table[c] for c in token)
         self.widths = np.array([len(b) for b in self.bytes])
         self.known: dict[str, bytes] = {}
-        self.beside = re.compile(r"\s | \s").search
 
     def _encode(self, matches: list[str]) -> list[bytes]:
         out = []
@@ -68,30 +64,18 @@ class Codec:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(matches[k : k + AT_ONCE], add_special_tokens=False)]
         return out
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        """Ids of ``pieces`` joined; a piece is one match or several that nothing outside it can change."""
-        known = self.known
+    def encode(self, text: str) -> bytes:
+        """Token ids as little-endian unsigned 32-bit integers."""
+        matches, known = self.find(text), self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(known.__getitem__, matches))
         except KeyError:
             pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        cuts = [self.find(p) for p in new]
-        flat = list(dict.fromkeys(m for c in cuts for m in c))
-        ids = dict(zip(flat, self._encode(flat)))
-        fresh = {p: b"".join(map(ids.__getitem__, c)) for p, c in zip(new, cuts)}
+        new = [m for m in dict.fromkeys(matches) if m not in known]
+        fresh = dict(zip(new, self._encode(new)))
         if len(known) < CACHE:
-            known.update((p, b) for p, b in fresh.items() if len(p) <= KEPT)
-        return b"".join([fresh[p] if p in fresh else known[p] for p in pieces])
-
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.beside(text):
-            return self._pieces(self.find(text))
-        first, *rest = text.split(" ")
-        return self._pieces([first] * bool(first) + [" " + p for p in rest])
+            known.update((m, ids) for m, ids in fresh.items() if len(m) <= KEPT)
+        return b"".join([fresh[m] if m in fresh else known[m] for m in matches])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
