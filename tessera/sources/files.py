@@ -6,9 +6,11 @@ Path rules are filters on the path alone and come before those on content.
 from __future__ import annotations
 
 import math
+import os
 import re
 import tomllib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -58,20 +60,53 @@ def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``full, path`` (below the root) of every file.
-
-    Names are listed by the folder's file system on the driver; ``contents`` reads on the executors. Spark's own
-    file sources leave out names that begin with an underscore, which source trees are full of.
+def _listed(skip: tuple[str, ...]):
+    """Files below each folder of ``top, folder`` (below ``top``, percent-encoded), a folder at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for top, folder in zip(f["top"], f["folder"]):
+                system, root = fs.FileSystem.from_uri(top)
+                local = isinstance(system, fs.LocalFileSystem)
+                real, todo, seen = os.path.realpath(root), [unquote(folder)], set()
+                while todo:
+                    here, rows = todo.pop(), []
+                    for x in system.get_file_info(fs.FileSelector(f"{root}/{here}", allow_not_found=True)):
+                        path = f"{here}/{x.base_name}"
+                        if local and (target := os.path.realpath(x.path)) != x.path and os.path.commonpath([real, target]) != real:
+                            continue  # a link out of the tree
+                        if x.type == fs.FileType.File:
+                            rows.append((f"{top}/{quote(path)}", path))
+                        elif x.type == fs.FileType.Directory and x.base_name not in skip and not (local and target in seen):
+                            todo.append(path)
+                            seen.update([target] if local else [])
+                    yield pd.DataFrame(rows, columns=["full", "path"])
+
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """``full, path`` (below the root) of every file outside folders named in ``skip``.
+
+    Only the root's own entries are listed on the driver; the folders below are listed by tasks, and ``contents`` reads there.
+    Links that lead out of the tree are left out. Spark's own file sources leave out names that begin with an underscore, which
+    source trees are full of.
     """
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    top, found, rows = system.makeQualified(base).toUri().toString().rstrip("/"), system.listFiles(base, True), []
-    while found.hasNext():
-        full = found.next().getPath().toUri().toString()
-        rows.append((full if "://" in full else full.replace(":/", ":///", 1), full[len(top) + 1 :]))
-    return spark.createDataFrame(rows, "full string, path string")
+    top = system.makeQualified(base).toUri().toString().rstrip("/")
+    top = top if "://" in top else top.replace(":/", ":///", 1)
+    entries = [(x.getPath().getName(), x.isDirectory()) for x in system.listStatus(base)]
+    own = [n for n, is_folder in entries if not is_folder and not _leads_out(top, n)]
+    folders = [(top, quote(n)) for n, is_folder in entries if is_folder and n not in skip and not _leads_out(top, n)]
+    files = spark.createDataFrame([(f"{top}/{quote(n)}", n) for n in own], "full string, path string")
+    return files.unionByName(spark.createDataFrame(folders, "top string, folder string").repartition(F.col("folder")).mapInPandas(_listed(tuple(skip)), "full string, path string"))
+
+
+def _leads_out(top: str, name: str) -> bool:
+    system, root = fs.FileSystem.from_uri(top) if top.startswith("file:") else (None, "")
+    return isinstance(system, fs.LocalFileSystem) and os.path.commonpath([os.path.realpath(root), os.path.realpath(f"{root}/{name}")]) != os.path.realpath(root)
 
 
 def contents(listed: DataFrame) -> DataFrame:

@@ -292,3 +292,24 @@ def test_index_follows_its_source(spark, small, tmp_path):
     item.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     two = views.edges(spark, str(tmp_path))
     assert two.count() == views.built_edges(spark, str(tmp_path)).count() > 0
+
+
+def test_walk_of_links_and_odd_names(spark, tmp_path):
+    tree, out = tmp_path / "tree", tmp_path / "out"
+    for p in ("a b/ü%20.py", "a b/_c/d.py", "top.py", "node_modules/x.py", "deep/1/2/3/e.py"):
+        (tree / p).parent.mkdir(parents=True, exist_ok=True)
+        (tree / p).write_text(f"# {p}\nx\n")
+    out.mkdir()
+    (out / "secret.py").write_text("y\n")
+    (tree / "leak").symlink_to(out)
+    (tree / "deep" / "leak").symlink_to(out)
+    (tree / "deep" / "leak.py").symlink_to(out / "secret.py")
+    (tree / "leak.py").symlink_to(out / "secret.py")
+    (tree / "deep" / "loop").symlink_to(tree / "deep")
+    listed = files.list_tree(spark, str(tree))
+    want = {"a b/ü%20.py", "a b/_c/d.py", "top.py", "deep/1/2/3/e.py"}
+    got = {r["path"]: bytes(r["content"]).decode() for r in files.contents(listed).collect()}
+    assert {p for p in got if "loop" not in p} == want and all(got[p] == f"# {p}\nx\n" for p in want)
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert files.list_tree(spark, str(empty)).count() == 0
