@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import cut
+
 WINDOW, STRIDE, CAP, CHARS = 20, 10, 500, 200_000
 SYNTAX = (".py",)
 SPANS = "array<struct<start:int,end:int>>"
@@ -55,13 +57,13 @@ def chunk_text(lines: Column, start: Column, end: Column, closed: Column) -> Col
 def covered(definitions: list[tuple[int, int]], n: int, window: int, stride: int) -> list[tuple[int, int]]:
     """The gapless cover of one file, as ``cover`` makes it of a table."""
     out, at = [], 0
-    cut = lambda a, b: [(k, min(k + window, b)) for k in range(a, b, stride)]
+    windowed = lambda a, b: [(k, min(k + window, b)) for k in range(a, b, stride)]
     for start, end in sorted(definitions):
         start, end = max(start, at), min(end, n)
         if start < end:
-            out += cut(at, start) + ([(start, end)] if end - start <= 2 * window else cut(start, end))
+            out += windowed(at, start) + ([(start, end)] if end - start <= 2 * window else windowed(start, end))
             at = end
-    return out + cut(at, n)
+    return out + windowed(at, n)
 
 
 def _syntax_spans(window: int, stride: int):
@@ -121,6 +123,23 @@ def difference(stored: DataFrame, produced: DataFrame, live: DataFrame) -> DataF
     return known.select("chunk_id", "path", status.alias("status"))
 
 
+def index_pass(stored: DataFrame, produced: DataFrame, live: DataFrame, most: int) -> DataFrame:
+    """``chunk_id, path, content_hash, status``: the catalogue after a pass over ``live(path)`` files; catalogues as in ``difference``.
+
+    New and changed chunks are written, the first ``most`` by path and start; a file of which some were cut off is not
+    complete: it keeps what was stored of it, and only complete files lose chunks that they no longer produce. Deleted files lose all.
+    """
+    told = difference(stored, produced, live)
+    fresh = produced.join(told.where(F.col("status").isin("new", "changed")), ["chunk_id", "path"])
+    kept = cut(ceiling(fresh, most).join(fresh, ["path", "start"]).select("chunk_id", "path", "content_hash", "status", "complete"))
+    late = fresh.join(kept.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "path")
+    partial = late.select("path").distinct()
+    same = stored.join(told.where("status = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "path", "content_hash", F.lit("unchanged").alias("status"))
+    stale = stored.join(late.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "path", "content_hash", F.lit("stale").alias("status"))
+    left = stored.join(told.where("status = 'orphan'").select("chunk_id"), "chunk_id", "left_semi").join(partial, "path", "left_semi").select("chunk_id", "path", "content_hash", F.lit("orphan").alias("status"))
+    return kept.drop("complete").unionByName(same).unionByName(stale).unionByName(left)
+
+
 def orphans(stored: DataFrame, produced: DataFrame, complete: DataFrame) -> DataFrame:
     """Stored chunks that a fully processed file no longer produces."""
     return stored.join(complete.select("path").distinct(), "path", "left_semi").join(produced.select("chunk_id"), "chunk_id", "left_anti")

@@ -165,15 +165,15 @@ def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
     return some.select("name", "candidates", F.array_join(F.transform(F.slice("ids", 1, shown), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry_points: bool = True, limit: int = 200) -> DataFrame:
+def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry: str | None = None, limit: int = 200) -> DataFrame:
     """``id, name, file, label, complexity, lines, in_degree, out_degree`` of symbols by label and references to them, in order of id.
 
-    ``entry_points`` false leaves out those that call and are never referred to.
+    ``entry``, a condition on a symbol, tells the entry points that are left out.
     """
     rows = symbols.join(degrees(symbols, edges), "id").where(F.col("in_degree") >= least)
     rows = rows if label is None else rows.where(F.col("label") == label)
     rows = rows if most is None else rows.where(F.col("in_degree") <= most)
-    rows = rows if entry_points else rows.where(~((F.col("in_degree") == 0) & (F.col("out_degree") > 0)))
+    rows = rows if entry is None else rows.where(f"not ({entry})")
     return rows.orderBy("id").limit(limit).select("id", "name", "file", "label", "complexity", "lines", "in_degree", "out_degree")
 
 
@@ -211,7 +211,8 @@ def changed(files: DataFrame, impacted: DataFrame, code: str, shown: int = 40) -
     sources = all_files.where(code)
     real = impacted.withColumn("label", F.trim("label")).withColumn("path", F.coalesce("path", F.lit(""))).where("coalesce(label, '') <> '' and label <> path").distinct()
     symbols = real.where(f"path = '' or ({code})")
-    n = all_files.agg(F.count("*").alias("all")).join(sources.agg(F.count("*").alias("files")), how="cross").join(symbols.agg(F.count("*").alias("symbols")), how="cross").join(real.agg(F.count("*").alias("real")), how="cross")  # one row each
+    tagged = [x.select(F.lit(k).alias("k")) for k, x in (("all", all_files), ("files", sources), ("real", real), ("symbols", symbols))]
+    n = reduce(DataFrame.unionByName, tagged).agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("all", "files", "real", "symbols")])
     dropped = (F.col("all") - F.col("files") + F.col("real") - F.col("symbols")).cast("string")
     head = F.when(F.col("files") + F.col("symbols") > 0, F.concat(F.col("files").cast("string"), F.lit(" files, "), F.col("symbols").cast("string"), F.lit(" symbols")))
     head = head.when(dropped != "0", F.concat(F.lit("no source changes: "), dropped, F.lit(" of other files"))).otherwise("clean")
@@ -221,14 +222,34 @@ def changed(files: DataFrame, impacted: DataFrame, code: str, shown: int = 40) -
     return n.select(F.lit("head").alias("section"), F.lit(0).alias("place"), head.alias("line")).unionByName(one.select(F.lit("files").alias("section"), "place", "line")).unionByName(two.select(F.lit("symbols").alias("section"), "place", "line"))
 
 
-def deadcode(symbols: DataFrame, edges: DataFrame, noise: str, words: DataFrame | None = None, fetched: int = 200, shown: int = 30) -> DataFrame:
+def deadcode(symbols: DataFrame, edges: DataFrame, noise: str, entry: str | None = None, words: DataFrame | None = None, fetched: int = 200, shown: int = 30) -> DataFrame:
     """``id, name, file, lines, state``: the longest functions that nothing refers to and no text names more often than it is defined.
 
     ``words(name, used)`` counts each word of the source texts; without it candidates are ``raw``, with it ``verified``.
     """
-    rows = listing(symbols, edges, "Function", most=0, entry_points=False, limit=fetched).where(f"not ({noise})")
+    rows = listing(symbols, edges, "Function", most=0, entry=entry, limit=fetched).where(f"not ({noise})")
     if words is not None:
         defined = rows.groupBy("name").agg(F.count("*").alias("defined"))
         live = words.join(defined, "name").where("used > defined").select("name")
         rows = rows.join(live, "name", "left_anti")
     return rows.orderBy(F.desc("lines"), "id").limit(shown).select("id", "name", "file", "lines", F.lit("raw" if words is None else "verified").alias("state"))
+
+
+def code_map(symbols: DataFrame, edges: DataFrame, noise: str, budget: int, shown: int = SHOWN_FAN_IN) -> DataFrame:
+    """``section, place, line``: overview, ranked symbols and entry points in at most ``budget`` bytes, line ends included.
+
+    What does not fit is cut from the end of the ranking, and a notice says so; overview and entry points stay.
+    """
+    top = fan_in(symbols, edges, noise, shown=shown)  # each part is a few dozen rows at most, so are the windows over them
+    ranked = top.select(F.lit("ranked").alias("section"), F.row_number().over(Window.orderBy(F.desc("fan_in"), "id")).alias("place"), F.concat(F.lit("| `"), "name", F.lit("` | "), "file", F.lit(" | "), F.col("fan_in").cast("string"), F.lit(" |")).alias("line"))
+    lone = entry_points(symbols, edges)
+    entry = lone.select(F.lit("entry").alias("section"), F.row_number().over(Window.orderBy("id")).alias("place"), F.concat(F.lit("- `"), "name", F.lit("` ("), "file", F.lit(")")).alias("line"))
+    head = overview(symbols, edges).select(F.lit("overview").alias("section"), F.row_number().over(Window.orderBy("section", "key")).alias("place"), F.concat(F.lit("- "), F.concat_ws(" ", "section", F.nullif(F.col("key"), F.lit(""))), F.lit(": "), F.col("n").cast("string")).alias("line"))
+    notice = F.concat(F.lit("> Truncated to fit "), F.lit(str(budget)), F.lit(" bytes."))
+    size = F.octet_length("line") + 1
+    every = Window.partitionBy(F.lit(1))  # of a few dozen rows
+    rows = head.unionByName(entry).unionByName(ranked).withColumn("own", F.when(F.col("section") == "ranked", size).otherwise(0))
+    rows = rows.withColumn("all", F.sum(size).over(every)).withColumn("fixed", F.col("all") - F.sum("own").over(every)).withColumn("upto", F.sum("own").over(every.orderBy("place", "section")))
+    fits = F.col("all") <= budget
+    some = rows.where((F.col("section") != "ranked") | fits | (F.col("fixed") + F.octet_length(notice) + 1 + F.col("upto") <= budget))
+    return some.select("section", "place", "line").unionByName(rows.where(~fits).select(F.lit("notice").alias("section"), F.lit(1).alias("place"), notice.alias("line")).distinct())

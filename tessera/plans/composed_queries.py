@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chunking, gateway, graph, search, state
 from tessera.sources.views import edges, requests, symbols, table
 
-from .chunk_queries import THE, _sql_files, files
+from .chunk_queries import _CATALOGUES, THE, _catalogues, _sql_files, files
 from .graph_queries import ALL, NOISE, D
 from .state_queries import _Q
 
@@ -64,7 +64,7 @@ def _changed(spark, d):
 def _deadcode(spark, d, verified):
     y = symbols(spark, d).withColumn("name", F.concat(F.lit("n"), (F.col("id") % 50).cast("string")))
     words = table(spark, d, "events").select(F.concat(F.lit("n"), (F.col("event_id") % 40).cast("string")).alias("name")).where("length(name) = 3").groupBy("name").agg(F.count("*").alias("used"))
-    return graph.deadcode(y, edges(spark, d), NOISE, words if verified else None)
+    return graph.deadcode(y, edges(spark, d), NOISE, "id % 10 = 0", words if verified else None)
 
 
 def _search(spark, d, rerank):
@@ -99,7 +99,15 @@ def _keys(spark, d):
     return gateway.cache_key(asked, stored)
 
 
+def _index_pass(spark, d):
+    old, new, live = _catalogues(spark, d)
+    return chunking.index_pass(old, new, live, 60)
+
+
 QUERIES = {
+    "index_pass": _index_pass,
+    "code_map_budget": lambda s, d: graph.code_map(symbols(s, d), edges(s, d), NOISE, 1000),
+    "code_map_whole": lambda s, d: graph.code_map(symbols(s, d), edges(s, d), NOISE, 32_768),
     "gateway_answers": _gateway,
     "pattern_by_symbol": lambda s, d: chunking.matches_by_symbol(files(s, d), _definitions(s, d), THE),
     "changed_report": _changed,
@@ -125,7 +133,7 @@ def _fires(seconds: int, where: str, root: str) -> str:
 
 _ASKED = f"""{_Q}, rq AS (SELECT event_id AS request, ['callers', 'overview', 'search', 'context'][event_id % 4 + 1] AS op, ['auto', 'auto', 'auto', 'graph', 'all', 'none', 'semantic'][event_id % 7 + 1] AS engine,
   CASE WHEN root % 13 <> 0 THEN 'role' || (root % 4) END AS role, CASE WHEN root % 11 = 0 THEN ' ' ELSE '/r' || (root % 5) || CASE WHEN event_id % 2 = 0 THEN '/sub' ELSE '' END END AS root FROM q)"""
-_DEAD = f"""{ALL}, {D}, z AS (SELECT y.* REPLACE ('n' || (y.id % 50) AS name), in_degree, out_degree FROM y JOIN d ON d.id = y.id WHERE label = 'Function' AND in_degree = 0 AND NOT out_degree > 0 ORDER BY y.id LIMIT 200),
+_DEAD = f"""{ALL}, {D}, z AS (SELECT y.* REPLACE ('n' || (y.id % 50) AS name), in_degree, out_degree FROM y JOIN d ON d.id = y.id WHERE label = 'Function' AND in_degree = 0 AND y.id % 10 <> 0 ORDER BY y.id LIMIT 200),
   w AS (SELECT name, count(*) AS used FROM (SELECT 'n' || (event_id % 40) AS name FROM events) WHERE length(name) = 3 GROUP BY name), k AS (SELECT * FROM z WHERE file <> 'Brand#1')"""
 _WORDS = r"""list_distinct(list_transform(list_concat(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), regexp_extract_all(regexp_replace({t}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')), lambda x: lower(x)))"""
 
@@ -143,7 +151,26 @@ def _found(fuse: bool) -> str:
       SELECT CAST(row_number() OVER (ORDER BY corpus, k) AS INTEGER) AS place, corpus, vec_id, path, start + 1 AS line, round(score, 6) AS score, rtrim(array_to_string(lines[start + 1:start + 5], chr(10)), ' ') AS snippet FROM x"""
 
 
+def _map(budget: int) -> str:
+    return f"""{ALL}, {D}, t AS (SELECT y.id, name, file, n FROM y JOIN (SELECT dst, count(*) AS n FROM r GROUP BY dst) f ON f.dst = y.id ORDER BY n DESC, y.id LIMIT 40),
+      a AS (SELECT 'ranked' AS section, row_number() OVER (ORDER BY n DESC, id) AS place, '| `' || name || '` | ' || file || ' | ' || n || ' |' AS line FROM (SELECT * FROM t WHERE file <> 'Brand#1' ORDER BY n DESC, id LIMIT 30)),
+      b AS (SELECT 'entry' AS section, row_number() OVER (ORDER BY id) AS place, '- `' || name || '` (' || file || ')' AS line FROM (SELECT y.* FROM y JOIN d ON d.id = y.id WHERE in_degree = 0 AND out_degree > 0 ORDER BY y.id LIMIT 10)),
+      o AS (SELECT 'nodes' AS s, '' AS k, count(*) AS n FROM y UNION ALL SELECT 'label', label, count(*) FROM y GROUP BY label UNION ALL SELECT 'family', family, count(*) FROM y GROUP BY family
+        UNION ALL SELECT 'edges', '', count(*) FROM e UNION ALL SELECT 'edge_type', type, count(*) FROM e GROUP BY type),
+      c AS (SELECT 'overview' AS section, row_number() OVER (ORDER BY s, k) AS place, '- ' || s || CASE WHEN k <> '' THEN ' ' || k ELSE '' END || ': ' || n AS line FROM o),
+      f AS (SELECT * FROM b UNION ALL SELECT * FROM c), g AS (SELECT sum(octet_length(encode(line)) + 1) AS fixed FROM f), h AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (ORDER BY place) AS upto, sum(octet_length(encode(line)) + 1) OVER () AS whole FROM a)
+      SELECT section, CAST(place AS INTEGER) AS place, line FROM f UNION ALL SELECT section, CAST(place AS INTEGER), line FROM h, g WHERE fixed + whole <= {budget} OR fixed + length('> Truncated to fit {budget} bytes.') + 1 + upto <= {budget}
+      UNION ALL SELECT 'notice', 1, '> Truncated to fit {budget} bytes.' FROM g WHERE fixed + (SELECT sum(octet_length(encode(line)) + 1) FROM a) > {budget}"""
+
+
 ORACLES = {
+    "index_pass": f"""{_CATALOGUES}, s AS (SELECT new.*, CASE WHEN old.chunk_id IS NULL THEN 'new' WHEN old.content_hash = new.content_hash THEN 'unchanged' ELSE 'changed' END AS status FROM new LEFT JOIN old ON old.chunk_id = new.chunk_id),
+      n AS (SELECT *, row_number() OVER (ORDER BY path, start) AS k FROM s WHERE status <> 'unchanged'), p AS (SELECT DISTINCT path FROM n WHERE k > 60)
+      SELECT chunk_id, path, content_hash, status FROM n WHERE k <= 60 UNION ALL SELECT chunk_id, path, content_hash, status FROM s WHERE status = 'unchanged'
+      UNION ALL SELECT old.chunk_id, old.path, old.content_hash, 'stale' FROM old JOIN n ON n.chunk_id = old.chunk_id WHERE k > 60
+      UNION ALL SELECT chunk_id, path, content_hash, 'orphan' FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) AND path IN (SELECT path FROM live) AND path IN (SELECT path FROM p)""",
+    "code_map_budget": _map(1000),
+    "code_map_whole": _map(32_768),
     "gateway_answers": f"""WITH {_ASKED}, g AS (SELECT *, CASE WHEN role IS NULL OR role = 'role3' OR (role = 'role1' AND op NOT IN ('callers', 'context')) OR (role = 'role2' AND op NOT IN ('overview', 'search', 'context')) THEN 'op-not-allowed-for-role'
         WHEN NOT (role = 'role0' OR (role = 'role1' AND (root IN ('/r0', '/r1') OR starts_with(root, '/r0/') OR starts_with(root, '/r1/'))) OR (role = 'role2' AND (root = '/r2' OR starts_with(root, '/r2/')))) THEN 'root-not-allowed-for-role'
         WHEN engine = 'none' THEN 'unknown-engine' END AS refusal FROM rq),
