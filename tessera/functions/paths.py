@@ -6,6 +6,7 @@ import fnmatch
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names and patterns that decide the classes.
 GENERATED_DIRS = (
@@ -131,8 +132,9 @@ def non_code(path: Column) -> Column:
 
 
 def contained(path: Column, root: Column) -> Column:
-    """The path is the root or lies below it, separator included."""
-    return (path == root) | path.startswith(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/")))
+    """The path is the root or lies below it, separator included; slashes at the end don't count."""
+    clean = lambda c: F.regexp_replace(c, "/+$", "")
+    return (clean(path) == clean(root)) | path.startswith(F.concat(clean(root), F.lit("/")))
 
 
 def without_project(name: Column) -> Column:
@@ -150,8 +152,15 @@ def without_repeats(name: Column) -> Column:
 
 
 def line_label(path: Column, line: Column) -> Column:
-    """``path:line``, lines counted from 1; a negative or missing line shows the path alone."""
-    return F.when(line >= 0, F.concat(path, F.lit(":"), (line + 1).cast("string"))).otherwise(path)
+    """``path:line``, lines counted from 1; a negative or missing line shows the path alone, a missing path a question mark."""
+    shown = F.coalesce(F.nullif(F.trim(path), F.lit("")), F.lit("?"))
+    return F.when(line >= 0, F.concat(shown, F.lit(":"), (line + 1).cast("string"))).otherwise(shown)
+
+
+def span_label(path: Column, start: Column, end: Column) -> Column:
+    """``path:start-end``, lines counted from 1; without a usable end the start alone, without a start the path alone."""
+    head = line_label(path, start)
+    return F.when((start >= 0) & (end >= 0), F.concat(head, F.lit("-"), (end + 1).cast("string"))).otherwise(head)
 
 
 def redacted(text: Column, home: str) -> Column:
@@ -161,6 +170,24 @@ def redacted(text: Column, home: str) -> Column:
     return F.replace(out, F.lit(flat), F.lit("<home>"))
 
 
+def redacted_within(value: Column, kind: T.DataType, home: str) -> Column:
+    """``value`` of type ``kind`` with every text in its arrays, maps and fields redacted; keys and field names stay."""
+    if isinstance(kind, T.StringType):
+        return redacted(value, home)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redacted_within(x, kind.elementType, home))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: redacted_within(x, kind.valueType, home))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[redacted_within(value.getField(f.name), f.dataType, home).alias(f.name) for f in kind]))
+    return value
+
+
+def escaped(text: Column) -> Column:
+    """``text`` that HTML shows as it is."""
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
 def leaks(text: Column) -> Column:
     return text.rlike(r"/(Users|home)/[^/\s]+/")
 

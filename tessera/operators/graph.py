@@ -158,11 +158,13 @@ def chain(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
     """``name, candidates, ids``: names that several symbols bear, with up to five of them.
 
-    Names are counted and cut to their first ids map-side, in slices of a name, before they meet.
+    Symbols without a name don't count. Names are counted map-side; the window's limit is applied in each task before ids are dealt out, so no task
+    holds more of a name than ``shown`` ids from each other.
     """
-    slices = symbols.groupBy("name", F.pmod(F.xxhash64("id"), F.lit(64)).alias("slice")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
-    some = slices.groupBy("name").agg(F.sum("n").alias("candidates"), F.array_sort(F.flatten(F.collect_list(F.slice("ids", 1, shown)))).alias("ids")).where(F.col("candidates") >= least)
-    return some.select("name", "candidates", F.array_join(F.transform(F.slice("ids", 1, shown), lambda x: x.cast("string")), ",").alias("ids"))
+    some = symbols.groupBy("name").agg(F.count("*").alias("candidates")).where(F.col("candidates") >= least)
+    first = symbols.select("name", "id", F.row_number().over(Window.partitionBy("name").orderBy("id")).alias("k")).where(F.col("k") <= shown)
+    ids = first.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return some.join(ids, "name").select("name", "candidates", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry: str | None = None, limit: int = 200) -> DataFrame:

@@ -75,6 +75,8 @@ def _listed(skip: tuple[str, ...]):
                         path = f"{here}/{x.base_name}"
                         if local and (target := os.path.realpath(x.path)) != x.path and os.path.commonpath([real, target]) != real:
                             continue  # a link out of the tree
+                        if local and x.type == fs.FileType.File and os.stat(x.path).st_nlink > 1:
+                            continue  # may be a file from outside under a second name
                         if x.type == fs.FileType.File:
                             rows.append((f"{top}/{quote(path)}", path))
                         elif x.type == fs.FileType.Directory and x.base_name not in skip and not (local and target in seen):
@@ -89,7 +91,7 @@ def list_tree(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED) -
     """``full, path`` (below the root) of every file outside folders named in ``skip``.
 
     Only the root's own entries are listed on the driver; the folders below are listed by tasks, and ``contents`` reads there.
-    Links that lead out of the tree are left out. Spark's own file sources leave out names that begin with an underscore, which
+    Links that lead out of the tree are left out, as are files with several hard links. Spark's own file sources leave out names that begin with an underscore, which
     source trees are full of.
     """
     jvm = spark._jvm
@@ -105,8 +107,12 @@ def list_tree(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED) -
 
 
 def _leads_out(top: str, name: str) -> bool:
+    """An entry of a local root that links out of it, or a file with a second name, which may lie outside."""
     system, root = fs.FileSystem.from_uri(top) if top.startswith("file:") else (None, "")
-    return isinstance(system, fs.LocalFileSystem) and os.path.commonpath([os.path.realpath(root), os.path.realpath(f"{root}/{name}")]) != os.path.realpath(root)
+    if not isinstance(system, fs.LocalFileSystem):
+        return False
+    real, target = os.path.realpath(root), os.path.realpath(f"{root}/{name}")
+    return os.path.commonpath([real, target]) != real or (os.path.isfile(target) and os.stat(target).st_nlink > 1)
 
 
 def contents(listed: DataFrame) -> DataFrame:
@@ -119,8 +125,8 @@ def _folders(path: Column) -> Column:
     return F.slice(s, F.lit(1), F.greatest(F.lit(0), F.size(s) - 1))
 
 
-def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()) -> DataFrame:
-    """``path, text`` of the files worth indexing of a listing: path rules first, then binary and generated content.
+def worth_reading(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()) -> DataFrame:
+    """The files of a listing that path rules let through.
 
     A folder name that means output at the root is kept if the folder is itself a package (has a marker file).
     """
@@ -132,9 +138,14 @@ def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()
         fine = fine & ~paths.glob(p, g)
     own = tree.where(F.element_at(F.split(p, "/"), -1).isin(*PACKAGE_MARKERS) & (F.size(F.split(p, "/")) == 2)).select(F.element_at(F.split(p, "/"), 1).alias("top")).distinct()
     kept = tree.where(fine).withColumn("top", F.get(folders, F.lit(0)))
-    kept = kept.join(own.withColumn("own", F.lit(True)), "top", "left").where(~F.coalesce(F.lower("top").isin(*SKIPPED_AT_ROOT), F.lit(False)) | F.coalesce("own", F.lit(False)))
+    output = F.coalesce(F.lower("top").isin(*SKIPPED_AT_ROOT), F.lit(False))
+    return kept.join(own.withColumn("own", F.lit(True)), "top", "left").where(~output | F.coalesce("own", F.lit(False))).select(*tree.columns)
+
+
+def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()) -> DataFrame:
+    """``path, text`` of the files worth indexing of a listing: path rules first, then binary and generated content."""
     text = F.decode(F.col("content"), "UTF-8")
-    return contents(kept).where(~paths.binary(F.col("content"))).select("path", text.alias("text")).where(~paths.generated_file(F.col("text")))
+    return contents(worth_reading(tree, ignored, globs)).where(~paths.binary(F.col("content"))).select("path", text.alias("text")).where(~paths.generated_file(F.col("text")))
 
 
 def settings(*texts: str) -> dict:

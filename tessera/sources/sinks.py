@@ -6,7 +6,7 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<!-- code-map:start -->", "<!-- code-map:end -->"
@@ -38,6 +38,18 @@ def injected(content: str, block: str) -> tuple[str, str]:
     return re.sub(r"(\n?)\Z", "\n\n", content, count=1) + full, "appended"
 
 
+def spliced(content: Column, block: str) -> tuple[Column, Column]:
+    """``injected`` for a column of contents: the new content, and what was done. A null counts as empty."""
+    content, full = F.coalesce(content, F.lit("")), F.lit(f"{START}{block}{END}")
+    past = lambda text, mark: F.substr(text, F.length(F.substring_index(text, mark, 1)) + 1 + len(mark))
+    before, after = F.substring_index(content, START, 1), past(content, START)
+    opened = F.contains(content, F.lit(START))
+    whole = opened & F.contains(after, F.lit(END))
+    stray = opened & F.contains(content, F.lit(END))
+    text = F.when(whole, F.concat(before, full, past(after, END))).when(stray, F.concat(before, full)).otherwise(F.concat(F.regexp_replace(content, r"\n\z", ""), F.lit("\n\n"), full))
+    return text, F.when(whole, "updated").when(stray, "repaired").otherwise("appended")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, line``: nodes and edges as JSON that is safe inside a script element."""
     safe = lambda c: F.replace(F.to_json(c), F.lit("</"), F.lit("<\\/"))
@@ -62,6 +74,11 @@ def without_project(catalogue: DataFrame, project: str) -> DataFrame:
     return catalogue.where(F.col("project") != project)
 
 
+def of_present(catalogue: DataFrame, roots: DataFrame) -> DataFrame:
+    """The catalogue without the projects that are not in ``roots(project)``: whose root is gone is forgotten."""
+    return catalogue.join(roots.select("project").distinct(), "project", "left_semi")
+
+
 def reset_counts(catalogue: DataFrame) -> DataFrame:
     """What a reset of each project would remove, without removing it."""
     return catalogue.groupBy("project").agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files"))
