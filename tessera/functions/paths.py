@@ -203,4 +203,4 @@ def substance(text: Column) -> Column:
 
 def binary(content: Column) -> Column:
     """A zero byte among the first 8192 bytes."""
-    return F.regexp_like(F.hex(F.substring(content, 1, SAMPLE)), F.lit("^(..)*?00"))
+    return F.contains(F.substring(content, 1, SAMPLE), F.lit(b"\0"))
