@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg, oracles
+from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg, op12_middle, oracles
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": lambda spark, d: op8_licenses.licenses(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: op9_simhash.near_duplicates(table(spark, d, "documents")),
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
+    "op12_middle": lambda spark, d: op12_middle.digests(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op4_mixing": oracles.MIXING, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES}
+ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op4_mixing": oracles.MIXING, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES, "op12_middle": op12_middle.ORACLE}
