@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg, op11_minimax, op12_middle, oracles
+from . import op1_voronoi, op2_language, op3_toxicity, op4_mixing, op5_bpe, op6_quality, op7_secrets, op8_licenses, op9_simhash, op10_ogg, op11_minimax, op12_middle, op13_trie, oracles
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ogg": lambda spark, d: op10_ogg.media(table(spark, d, "documents")),
     "op11_minimax": lambda spark, d: op11_minimax.assigned(table(spark, d, "documents")),
     "op12_middle": lambda spark, d: op12_middle.digests(table(spark, d, "documents")),
+    "op13_trie": lambda spark, d: op13_trie.trie(table(spark, d, "conversations")),
 }
 
-ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op4_mixing": oracles.MIXING, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES, "op11_minimax": op11_minimax.ORACLE, "op12_middle": op12_middle.ORACLE}
+ORACLES: dict[str, str] = {"op1_voronoi": op1_voronoi.ORACLE, "op4_mixing": oracles.MIXING, "op7_secrets": oracles.SECRETS, "op8_licenses": oracles.LICENSES, "op11_minimax": op11_minimax.ORACLE, "op12_middle": op12_middle.ORACLE, "op13_trie": op13_trie.ORACLE}
