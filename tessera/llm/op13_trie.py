@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import cut, join_hot
 
 #: A bucket of at most so many turns is finished by one task.
-LOCAL = 16_384
+LOCAL = 2048
 #: Ids that are joined into one piece before a node's digest is streamed over the pieces.
 PIECE = 512
 #: Conversations in a block share the beginning of the block's first one, up to fewer than ``HEAD`` turns.
@@ -208,12 +208,12 @@ def _round(active: DataFrame, buckets: DataFrame, total: int, local: int) -> tup
 def nodes(sequences_: DataFrame, local: int = LOCAL, piece: int = PIECE) -> DataFrame:
     """The trie's nodes, the columns of ``NODE``, of ``sequences(conv, seq, words)``."""
     spark = sequences_.sparkSession
-    root = sequences_.agg(F.min("conv").alias("top"), F.count("*").alias("n")).first()
+    active = cut(sequences_.select(F.lit("root").alias("bucket"), "conv", "seq", "words"))
+    root = active.agg(F.min("conv").alias("top"), F.count("*").alias("n")).first()
     if not root["n"]:
         return spark.createDataFrame([], NODE)
-    key = f"{root['top']}:0"
-    buckets = spark.createDataFrame([(key, root["top"], None, None, 0, root["n"])], "bucket string, top long, up string, up_conv long, depth long, n long")
-    active, rounds, locals_, ended = sequences_.withColumn("bucket", F.lit(key)), [], [], []
+    buckets = spark.createDataFrame([("root", root["top"], None, None, 0, root["n"])], "bucket string, top long, up string, up_conv long, depth long, n long")
+    rounds, locals_, ended = [], [], []
     total = root["n"]
     while total:
         told, rows, made = _round(active, buckets, total, local)
@@ -257,7 +257,7 @@ def _chain(got: DataFrame) -> DataFrame:
 
 def trie(conversations: DataFrame, local: int = LOCAL, piece: int = PIECE) -> DataFrame:
     """The contract's rows: one for each node of the trie of rebuilt conversations."""
-    return nodes(cut(sequences(conversations)), local, piece)
+    return nodes(sequences(conversations), local, piece)
 
 
 #: Prefixes spelled out: a node is the digest of a sequence; sums run over the prefixes of each node's smallest member.
