@@ -23,7 +23,9 @@ Defined results: a vector that is null or holds null or non-finite components ta
 without an id; an empty vector scores 0 with every row; shorter vectors count as filled up with zeros; of
 repeated ids one row (the least vector) asks, every row but those of the query's id is a candidate; ties go to
 the smaller vec_id; with fewer candidates all come; an empty table gives an empty result; extra columns are
-ignored. Scores are exact in 64 bits; beyond, they are clipped to the largest 64-bit integers.
+ignored. Scores are exact in 64 bits: where doubles don't hold them, products are made of integers and
+thresholds are rounded down, so that no row falls under the threshold that it set itself. Beyond 64 bits scores are clipped
+to the largest 64-bit integers.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class Coder:
     def __init__(self, dim: int, largest: int):
         self.dim, self.type = max(1, dim), "<i4" if largest < 1 << 31 else "<i8"
         self.exact = largest * largest * max(1, dim) < 1 << 53  # doubles hold every partial sum
+        self.float = np.float64 if largest < 1 << 53 else np.longdouble  # either way components stay as they are
 
     def pack(self, vectors) -> list[bytes]:
         out = np.zeros((len(vectors), self.dim), self.type)
@@ -65,7 +68,11 @@ class Coder:
 
     def unpack(self, column) -> np.ndarray:
         x = np.frombuffer(b"".join(column), self.type).reshape(-1, self.dim)
-        return x.astype(np.float64)
+        return x.astype(self.float)
+
+    def below(self, score: np.ndarray) -> np.ndarray:
+        """A double at or under each exact score of which ``score`` is the nearest double."""
+        return score if self.exact else np.nextafter(score, -np.inf)
 
     def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.exact:
@@ -82,7 +89,7 @@ def pivots(sample: np.ndarray, count: int = PIVOTS, rounds: int = ROUNDS, seed:
     found = [sample[rng.integers(len(sample))]]
     gap = ((sample - found[0]) ** 2).sum(axis=1)
     while len(found) < count and gap.max() > 0:
-        found.append(sample[rng.choice(len(sample), p=gap / gap.sum())])
+        found.append(sample[rng.choice(len(sample), p=(gap / gap.sum()).astype(np.float64))])
         gap = np.minimum(gap, ((sample - found[-1]) ** 2).sum(axis=1))
     p = np.array(found)
     for _ in range(rounds):
@@ -103,7 +110,7 @@ def _assigned(coder: Coder, p: np.ndarray):
             if len(f):
                 x = coder.unpack(packed := coder.pack(f["v"].tolist()))
                 cell, r = _nearest(x, p)
-                yield pd.DataFrame({"vec_id": f["vec_id"], "v": packed, "cell": cell.astype(np.int32), "r": r, "norm": np.sqrt((x * x).sum(axis=1))})
+                yield pd.DataFrame({"vec_id": f["vec_id"], "v": packed, "cell": cell.astype(np.int32), "r": r.astype(np.float64), "norm": np.sqrt((x * x).sum(axis=1)).astype(np.float64)})
 
     return run
 
@@ -136,7 +143,7 @@ class Summary:
         """Of each query the threshold, q.p of each cell, and which cells it needs."""
         s = np.array(self.coder.products(q, self.rows), dtype=np.float64)
         s[ids[:, None] == self.ids[None, :]] = -np.inf
-        least = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
+        least = self.coder.below(np.sort(s, axis=1)[:, -k]) if s.shape[1] >= k else np.full(len(q), -np.inf)
         size = np.sqrt((q * q).sum(axis=1))[:, None]
         dots = q @ self.p.T
         most = np.minimum(dots + size * self.radius, size * self.norm)
@@ -152,7 +159,7 @@ def _asking(summary: Summary, k: int):
                 least, dots, need = summary.bounds(f["vec_id"].to_numpy(), q, k)
                 wide = need.sum(axis=1) > len(summary.p) / 2
                 yield pd.DataFrame({
-                    "query_id": f["vec_id"].to_numpy(), "v": f["v"].tolist(), "size": np.sqrt((q * q).sum(axis=1)), "least": least, "home": np.where(wide, -1, f["cell"]).astype(np.int32),
+                    "query_id": f["vec_id"].to_numpy(), "v": f["v"].tolist(), "size": np.sqrt((q * q).sum(axis=1)).astype(np.float64), "least": least, "home": np.where(wide, -1, f["cell"]).astype(np.int32),
                     "needs": [[(int(j), float(d[j])) for j in np.flatnonzero(n)] for n, d in zip(need, dots)],
                 })
 
@@ -172,7 +179,7 @@ def best(query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarra
         start = np.searchsorted(at, np.arange(len(q)))
         keep = np.arange(len(at)) - start[at] < k
         kth = np.arange(len(at)) - start[at] == k - 1
-        least[at[kth]] = np.maximum(least[at[kth]], score[kth].astype(np.float64))
+        least[at[kth]] = np.maximum(least[at[kth]], coder.below(score[kth].astype(np.float64)))
         found[:] = [(at[keep], score[keep], vec[keep])]
         held = int(keep.sum())
 

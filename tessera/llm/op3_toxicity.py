@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .shared import TRAIN_ROWS, cut, fold, labelled_sample, logistic
+from .shared import TRAIN_ROWS, cut, fold, labelled_sample, labelled_texts, logistic
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 #: A learned stem: its lengths, how sure a sign it is at the corpus's rate of labels, the evidence for it in nats
@@ -290,7 +290,7 @@ def _families(found: dict[str, int]) -> dict[str, int]:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[list[str], list[str]], np.ndarray]:
     """Learned stems and weights from labelled rows outside the held-out fold."""
     ids = labelled_sample(labels, "toxic", FOLDS, HELD, rows)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text")  # at most ``rows`` ids
+    sample = cut(labelled_texts(docs, ids))
     sizes = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return ([], []), prior()
@@ -302,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[t
         for f in frames:
             yield pd.DataFrame({"y": f["y"], "x": [machine.features(t) for t in f["text"]]})
 
-    got = sample.mapInPandas(run, "y int, x array<double>").groupBy("y", "x").count().toPandas()  # few distinct rows
+    got = sample.mapInPandas(run, "y int, x array<double>").groupBy("y", "x").count().toPandas()  # at most ``rows``
     if got["y"].nunique() < 2:
         return words, prior()
     x, y, n = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["count"].to_numpy(float)

@@ -6,9 +6,8 @@ aggregated over the whole corpus by distinct owner and repository. A value held
 owner-specific and live-looking. The base spans always stay; the method adds the provider tokens that it finds
 owner-specific.
 
-``secrets`` judges randomness as its SQL does (``looks_live``: 16 characters, a digit, no ``DUMMY`` word anywhere).
-``redacted`` masks by ``leaks``: any length, entropy relative to what the length and the kind's alphabet allow, and
-only values that are placeholders as a whole are left in clear text.
+One rule decides what looks random, for ``secrets`` and for what ``redacted`` masks (``leaks``): any length, entropy
+relative to what the length and the kind's alphabet allow; only values that are placeholders as a whole don't count.
 
 Scale: candidates are few, so the corpus text is never shuffled; their places are running sums over the rows of
 one text. The distinct counts go through three map-side combined aggregations (owner and repository, owner, value),
@@ -22,8 +21,6 @@ table gives an empty result; extra columns are ignored, also those named like th
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +36,12 @@ KINDS = {
 BASE, ADDED = ("assign", "access", "hex"), ("provider",)
 #: A literal without which a kind can't match: texts without it skip the pattern.
 NEEDS = {"access": ("AKIA",), "provider": ("gh", "xox", "k_live_", "AIza", "eyJ")}
-DUMMY = "example|changeme|dummy|sample|placeholder|password|xxxx|0000|1234"
 #: Owners from which on a value is a widely copied example.
 WIDE = 5
 #: Repositories from which on a value is a widely copied example, even of one owner.
 WIDE_REPOS = 50
 #: Characters of a text that are cut out together when spans are masked.
 BLOCK = 4096
-#: Least distinct characters and length of a value that looks random.
-RANDOM_CHARS, RANDOM_LENGTH = 8, 16
 #: Characters that a random value of the kind is drawn from, and the least share of the greatest possible entropy.
 ALPHABET, RANDOM_SHARE = {"assign": 64, "access": 32, "hex": 16, "provider": 64}, 0.6
 #: What placeholders are put together from; a value of which nothing else is left is one as a whole.
@@ -110,11 +104,6 @@ def located(rows: DataFrame) -> DataFrame:
     return each.select("rid", "owner", "repo", "kind", "rank", "start", "end", value.alias("value")).where(F.length("value") >= least)
 
 
-def looks_live(value: Column) -> Column:
-    chars = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= RANDOM_LENGTH) & (chars >= RANDOM_CHARS) & value.rlike("[0-9]") & ~F.lower(value).rlike(DUMMY)
-
-
 def placeholder(value: Column) -> Column:
     """True for values that are placeholders as a whole, not for those that merely contain such a word."""
     rest = F.regexp_replace(F.lower(F.regexp_replace(value, PREFIX, "")), FILLER, "")
@@ -126,7 +115,7 @@ def leaks(value: Column, kind: Column) -> Column:
     n, alphabet = F.length(value), F.create_map(*[F.lit(x) for kv in ALPHABET.items() for x in kv])[kind]
     counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: (n - F.length(F.replace(value, c, F.lit("")))).cast("double"))
     entropy = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - c / n * F.log2(c / n))
-    return (entropy >= RANDOM_SHARE * F.log2(F.least(n, alphabet))) & ~placeholder(value)
+    return (F.round(entropy, 9) >= F.round(RANDOM_SHARE * F.log2(F.least(n, alphabet)), 9)) & ~placeholder(value)
 
 
 def ownership(candidates: DataFrame, wide: int = WIDE, wide_repos: int = WIDE_REPOS) -> DataFrame:
@@ -137,13 +126,13 @@ def ownership(candidates: DataFrame, wide: int = WIDE, wide_repos: int = WIDE_RE
     return known.withColumn("copied", (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos))
 
 
-def judged(rows: DataFrame, wide: int = WIDE, random: Callable[[Column, Column], Column] = lambda value, kind: looks_live(value), wide_repos: int = WIDE_REPOS) -> DataFrame:
-    """``(rid, kind, rank, start, end, live, copied)`` for each candidate of ``rows(rid, owner, repo, found)``; ``random`` judges value and kind."""
+def judged(rows: DataFrame, wide: int = WIDE, wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """``(rid, kind, rank, start, end, live, copied)`` for each candidate of ``rows(rid, owner, repo, found)``."""
     each = cut(located(rows).withColumn("hash", F.sha2("value", 256)))
     known = cut(ownership(each, wide, wide_repos))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     said = join_hot(each, known, "hash", "n", total, "copied")
-    return said.select("rid", "kind", "rank", "start", "end", "copied", (~F.col("copied") & random(F.col("value"), F.col("kind"))).alias("live"))
+    return said.select("rid", "kind", "rank", "start", "end", "copied", (~F.col("copied") & leaks(F.col("value"), F.col("kind"))).alias("live"))
 
 
 def _joined(which: Column) -> Column:
@@ -155,7 +144,7 @@ def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide:
     """The contract's rows and, for each document, how many of its values are live-looking or widely copied."""
     rows = cut(scan(docs, F.col("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")))
     base = F.col("kind").isin(*BASE)
-    said = judged(rows, wide, wide_repos=wide_repos).groupBy("rid").agg(
+    said = judged(rows, wide, wide_repos).groupBy("rid").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE], _joined(base).alias("base"), _joined(base | F.col("live")).alias("spans"), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied")
     )
     zero, none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c), lambda c: F.coalesce(c, F.lit(""))
@@ -179,7 +168,7 @@ def redacted(docs: DataFrame, owner: str = "source", repo: str = "doc_id", wide:
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c) for c in {"text", owner, repo}])
     held = cut(scan(packed, F.col("row"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo")))
-    live = judged(held.drop("row"), wide, leaks, wide_repos).where("live").select("rid", "start", "end")
+    live = judged(held.drop("row"), wide, wide_repos).where("live").select("rid", "start", "end")
     order = Window.partitionBy("rid").orderBy("start", "end")
     reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     live = live.withColumn("new", (F.col("start") >= reach).cast("int")).withColumn("at", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

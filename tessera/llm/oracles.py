@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .op4_mixing import BUDGET, EPOCHS, LEVELS, SEED, WEIGHTS
-from .op7_secrets import ADDED, DUMMY, KINDS, RANDOM_CHARS, RANDOM_LENGTH, WIDE, WIDE_REPOS
 from .op8_licenses import LEAST, NEIGHBOURS, PHRASES, TEMPLATES, VERIFY, K
 
 
@@ -13,21 +12,28 @@ def _either_case(word: str) -> str:
 
 def _secrets() -> str:
     names = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
-    patterns = {k: p for k, (p, _, _) in KINDS.items()} | {"assign": rf"({names})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"}
+    assign = rf"({names})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    provider = r"(?:gh[opsu]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+    patterns = {"assign": assign, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "provider": provider}
+    words = "example changeme change dummy sample placeholder password passwd secret token value string default insert replace redacted undefined hidden access api key your my test here null none true false todo"
+    same = "|".join(("\\" + c if c in "+/_.=-" else c) + "{4,}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-")  # RE2 knows no way back
+    filler = "|".join(words.split()) + f"|deadbeef|qwerty|0123456789abcdef|0?1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?|123|abcdef|abcd|{same}|[+/_.=-]"
     found = " UNION ALL ".join(f"SELECT rid, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM t" for i, (k, p) in enumerate(patterns.items()))
     shown = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank"
-    added = ", ".join(f"'{k}'" for k in ADDED)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents), x AS ({found}),
 s AS (SELECT rid, kind, rank, m, g, unnest(range(1, len(m) + 1)) AS i FROM x),
 p AS (SELECT rid, kind, rank, m[i] AS match, list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS start,
-  CASE WHEN kind = 'assign' THEN regexp_extract(m[i], '{patterns['assign']}', 2) ELSE m[i] END AS value FROM s),
-c AS (SELECT rid, kind, rank, value, CAST(start AS BIGINT) AS start, CAST(start + length(match) AS BIGINT) AS stop FROM p WHERE length(value) >= CASE WHEN kind = 'assign' THEN {KINDS['assign'][2]} ELSE 0 END),
-o AS (SELECT value, count(DISTINCT owner) >= {WIDE} OR count(DISTINCT struct_pack(a := owner, b := coalesce(CAST(doc_id AS VARCHAR), ''))) >= {WIDE_REPOS} AS copied FROM c JOIN t ON t.rid = c.rid GROUP BY value),
-j AS (SELECT c.*, copied, NOT copied AND length(c.value) >= {RANDOM_LENGTH} AND len(list_distinct(string_split(c.value, ''))) >= {RANDOM_CHARS}
-  AND regexp_matches(c.value, '[0-9]') AND NOT regexp_matches(lower(c.value), '{DUMMY}') AS live FROM c JOIN o ON o.value = c.value),
+  CASE WHEN kind = 'assign' THEN regexp_extract(m[i], '{assign}', 2) ELSE m[i] END AS value FROM s),
+c AS (SELECT rid, kind, rank, value, CAST(start AS BIGINT) AS start, CAST(start + length(match) AS BIGINT) AS stop FROM p WHERE length(value) >= CASE kind WHEN 'assign' THEN 6 WHEN 'access' THEN 20 WHEN 'hex' THEN 24 ELSE 14 END),
+o AS (SELECT value, count(DISTINCT owner) >= 5 OR count(DISTINCT struct_pack(a := owner, b := coalesce(CAST(doc_id AS VARCHAR), ''))) >= 50 AS copied FROM c JOIN t ON t.rid = c.rid GROUP BY value),
+v AS (SELECT value, kind, CAST(length(value) AS DOUBLE) AS n, list_transform(list_distinct(string_split(value, '')), lambda y: CAST(length(value) - length(replace(value, y, '')) AS DOUBLE)) AS counts,
+  regexp_replace(lower(regexp_replace(value, '^(?:AKIA|gh[opsu]_|xox[abprs]-|[sr]k_live_|AIza)', '')), '{filler}', '', 'g') = '' OR length(value) >= 20 AND (regexp_matches(value, 'EXAMPLE(?:KEY)?$')
+    OR len(list_filter(range(1, 17), lambda y: length(value) % y = 0 AND length(value) > y AND value = repeat(value[1:y], length(value) // y))) > 0) AS filler FROM (SELECT DISTINCT value, kind FROM c)),
+e AS (SELECT value, kind, NOT filler AND round(-list_sum(list_transform(counts, lambda y: y / n * log2(y / n))), 9) >= round(0.6 * log2(least(n, CASE kind WHEN 'access' THEN 32 WHEN 'hex' THEN 16 ELSE 64 END)), 9) AS random FROM v),
+j AS (SELECT c.*, copied, NOT copied AND random AS live FROM c JOIN o ON o.value = c.value JOIN e ON e.value = c.value AND e.kind = c.kind),
 a AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE copied) AS n_copied,
-  string_agg({shown}) FILTER (WHERE kind NOT IN ({added})) AS base, string_agg({shown}) FILTER (WHERE kind NOT IN ({added}) OR live) AS spans FROM j GROUP BY rid)
+  string_agg({shown}) FILTER (WHERE kind <> 'provider') AS base, string_agg({shown}) FILTER (WHERE kind <> 'provider' OR live) AS spans FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN a ON a.rid = t.rid
 """

@@ -13,6 +13,8 @@ from tessera.storage import BROADCAST_ROWS, clearing, cut, join_hot, remove, sha
 
 #: At most so many labelled rows train a classifier; a documented bound, the same at every input size.
 TRAIN_ROWS = 4000
+#: Tasks that training rows are dealt out to.
+TRAIN_PARTS = 24
 
 
 #: Copies of the other side that a larger small side is joined through, so that a hot key is spread.
@@ -55,6 +57,16 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, held: int, rows:
     return one.where("y = 0").orderBy(*order).limit(rows // 2).unionByName(one.where("y = 1").orderBy(*order).limit(rows // 2))
 
 
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``y, text``: of each sampled id of ``ids(doc_id, y)`` one document, the one whose text has the smallest hash.
+
+    Documents of one id are reduced to one in each task, so no more rows come out than ids go in, however often an id occurs.
+    """
+    mine = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # a bounded sample
+    one = mine.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y")).alias("m"))
+    return one.repartition(TRAIN_PARTS).select("m.y", "m.text")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, prior: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
     """Newton's method for logistic loss with a Gaussian prior (mean ``prior``) on every coefficient."""
     n, d = x.shape

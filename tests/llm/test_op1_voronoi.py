@@ -85,3 +85,20 @@ def test_clusters_are_pruned(spark, monkeypatch):
         assert max(sizes) <= 700
     assert shares[0] <= 0.2 and shares[1] >= 0.5
     assert run(spark, rows, every=50) == brute(rows, every=50)
+
+
+def test_scores_beyond_doubles(spark):
+    """More candidates than places, scores at 2**54 and beyond that differ by less than doubles tell apart."""
+    rng = np.random.default_rng(4)
+    near = [(0, [1.5e5, 1.5e5])] + [(i, [1.5e5, float(np.float32(1.5e5 + (i % 13) / 64))]) for i in range(1, 90)]
+    assert run(spark, near) == brute(near)
+    wild = [(i, (4.0e5 * rng.normal(size=3)).astype(np.float32).tolist()) for i in range(0, 400, 4)]
+    assert run(spark, wild) == brute(wild)
+    assert any(abs(s) > 1 << 53 for *_, s in brute(near))
+
+
+def test_components_beyond_doubles(spark):
+    big = 1 << 61
+    data = spark.createDataFrame([(i, [big + i, 1]) for i in range(30)], "vec_id long, v array<long>")
+    ask = spark.createDataFrame([(100, [1, 0])], "vec_id long, v array<long>")
+    assert [(r["vec_id"], r["score"]) for r in op.nearest(ask, data).orderBy("rank").collect()] == [(i, big + i) for i in range(29, 19, -1)]
