@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, gateway, graph, search, state
-from tessera.sources.views import edges, requests, symbols, table
+from tessera.sources.views import edges, requests, symbols, table, vectors
 
 from .chunk_queries import _CATALOGUES, THE, _catalogues, _sql_files, files
 from .graph_queries import ALL, NOISE, D
@@ -67,13 +67,15 @@ def _deadcode(spark, d, verified):
     return graph.deadcode(y, edges(spark, d), NOISE, "id % 10 = 0", words if verified else None)
 
 
-def _search(spark, d, rerank):
-    docs = files(spark, d).select(F.col("doc_id").alias("vec_id"), "project", "path", "lines", "n")
-    stored = table(spark, d, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
+def _search(spark, d, rerank, how=search.answer, floor=0.05):
+    """One vector a document, at one of its first lines; in a tenth of the even documents English stands for code, all others are prose."""
+    project = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("project")
     start = (F.col("vec_id") % 3).cast("int")
-    cat = stored.select(F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("project"), "path", start.alias("start"), F.when(F.col("vec_id") % 5 != 0, start + 4).alias("next"), "vec_id", "embedding", "lines")
+    path = F.concat(F.lit("doc"), F.col("vec_id").cast("string")).alias("path")
+    stored = vectors(spark, d).select(project, path, start.alias("start"), F.when(F.col("vec_id") % 5 != 0, start + 4).alias("next"), "vec_id", "embedding", "norm")
+    texts = table(spark, d, "documents").withColumnRenamed("doc_id", "vec_id").select(project, path, "text")
     query = list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
-    return search.answer(cat, query, TEXT, "even", "vec_id % 4 = 0", floor=0.05, rerank=rerank)
+    return how(stored, texts, query, TEXT, "even", "vec_id % 10 <> 0", floor=floor, rerank=rerank)
 
 
 def _nodes(spark, d):
@@ -115,6 +117,8 @@ QUERIES = {
     "deadcode_raw": lambda s, d: _deadcode(s, d, False),
     "search_answer": lambda s, d: _search(s, d, "on"),
     "search_answer_plain": lambda s, d: _search(s, d, " OFF "),
+    "search_envelope": lambda s, d: _search(s, d, "on", search.envelope),
+    "search_below_floor": lambda s, d: _search(s, d, "on", search.envelope, floor=1.5),
     "symbol_listing": lambda s, d: graph.listing(symbols(s, d), edges(s, d), "Method", 2, 6),
     "payload_nodes": _nodes,
     "label_lines": _labels,
@@ -138,17 +142,24 @@ _DEAD = f"""{ALL}, {D}, z AS (SELECT y.* REPLACE ('n' || (y.id % 50) AS name), i
 _WORDS = r"""list_distinct(list_transform(list_concat(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), regexp_extract_all(regexp_replace({t}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')), lambda x: lower(x)))"""
 
 
-def _found(fuse: bool) -> str:
+def _found(fuse: bool, floor: float = 0.05) -> str:
+    """Sixty hits over the floor, in cosine order or fused; then six places for code and four for prose if both have hits."""
     tokens = _WORDS.format(t=f"'{TEXT}'")
-    rank = "SELECT *, i AS p FROM o" if not fuse else f"""SELECT * REPLACE (i AS i), row_number() OVER (ORDER BY 1.0::DOUBLE / (60 + i) + 1.0::DOUBLE / (60 + lr) DESC, i) - 1 AS p FROM (
+    rank = "SELECT *, i AS p FROM o" if not fuse else f"""SELECT *, row_number() OVER (ORDER BY 1.0::DOUBLE / (60 + i) + 1.0::DOUBLE / (60 + lr) DESC, i) - 1 AS p FROM (
       SELECT *, row_number() OVER (ORDER BY lex DESC, i) - 1 AS lr FROM (SELECT *, len(list_intersect({tokens}, {_WORDS.format(t='own')})) / len({tokens}) AS lex FROM o))"""
-    return f"""WITH {_sql_files()}, c AS (SELECT e.vec_id, f.path, f.lines, CAST(e.vec_id % 3 AS INTEGER) AS start, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS score
-        FROM embeddings e JOIN f ON f.doc_id = e.vec_id WHERE e.vec_id % 2 = 0),
-      n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS i FROM c WHERE score >= 0.05), o AS (SELECT *, array_to_string(lines[start + 1:start + CASE WHEN vec_id % 5 <> 0 THEN 4 ELSE 40 END], chr(10)) AS own FROM n WHERE i < {30 if fuse else 10}),
-      r AS ({rank}), t AS (SELECT *, CASE WHEN vec_id % 4 = 0 THEN 'prose' ELSE 'code' END AS corpus FROM r WHERE p < 10),
+    return f"""WITH {_sql_files()}, c AS (SELECT e.vec_id, 'doc' || e.vec_id AS path, coalesce(f.lines, []) AS lines, CAST(e.vec_id % 3 AS INTEGER) AS start, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS score
+        FROM embeddings e LEFT JOIN f ON f.doc_id = e.vec_id WHERE e.vec_id % 2 = 0),
+      n AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS i FROM c WHERE score >= {floor}), o AS (SELECT *, array_to_string(lines[start + 1:start + CASE WHEN vec_id % 5 <> 0 THEN 4 ELSE 40 END], chr(10)) AS own FROM n WHERE i < 60),
+      r AS ({rank}), t AS (SELECT *, CASE WHEN vec_id % 10 <> 0 THEN 'prose' ELSE 'code' END AS corpus, lines[start + 1:start + 5] AS head FROM r),
       h AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY p) AS k, count(*) FILTER (WHERE corpus = 'code') OVER () AS nc, count(*) FILTER (WHERE corpus = 'prose') OVER () AS np FROM t),
-      x AS (SELECT * FROM h WHERE k <= CASE WHEN nc = 0 OR np = 0 THEN 10 WHEN corpus = 'code' THEN least(nc, 6) ELSE 10 - least(nc, 6) END)
-      SELECT CAST(row_number() OVER (ORDER BY corpus, k) AS INTEGER) AS place, corpus, vec_id, path, start + 1 AS line, round(score, 6) AS score, rtrim(array_to_string(lines[start + 1:start + 5], chr(10)), ' ') AS snippet FROM x"""
+      x AS (SELECT *, path || ':' || (start + 1) || ' | ' || coalesce(list_filter(list_transform(head, lambda y: trim(y, ' ')), lambda y: regexp_matches(y, '[\\p{{L}}\\p{{N}}]'))[1], head[1], '') AS shown FROM h WHERE k <= CASE WHEN nc = 0 OR np = 0 THEN 10 WHEN corpus = 'code' THEN least(nc, 6) ELSE 10 - least(nc, 6) END),
+      y AS (SELECT CAST(row_number() OVER (ORDER BY corpus, k) AS INTEGER) AS place, * FROM x)"""
+
+
+_HITS = " SELECT place, corpus, vec_id, path, start + 1 AS line, round(score, 6) AS score, rtrim(array_to_string(head, chr(10)), ' ') AS snippet, shown FROM y"
+_ENVELOPE = """, z AS (SELECT count(*) AS n, string_agg(shown, chr(10) ORDER BY place) AS lines, max(nc) AS nc, max(np) AS np FROM y)
+  SELECT lines AS result, CASE WHEN n > 0 AND nc = 0 THEN 'no-code-matches' WHEN np > nc THEN 'prose-heavy' ELSE '' END AS gap, CASE WHEN (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) = 0 THEN 'no-index' WHEN n = 0 THEN 'below-floor' END AS reason,
+  CASE WHEN n > 0 THEN CASE WHEN nc = 0 OR np > nc THEN 'partial' ELSE 'complete' END END AS confidence FROM z"""
 
 
 def _map(budget: int) -> str:
@@ -199,8 +210,10 @@ ORACLES = {
       UNION ALL SELECT 'head', 0, CASE WHEN files + syms > 0 THEN files || ' files, ' || syms || ' symbols' WHEN dropped > 0 THEN 'no source changes: ' || dropped || ' of other files' ELSE 'clean' END FROM m""",
     "deadcode_report": f"""{_DEAD} SELECT id, name, file, lines, 'verified' AS state FROM k WHERE name NOT IN (SELECT w.name FROM w JOIN (SELECT name, count(*) AS defined FROM k GROUP BY name) x ON x.name = w.name WHERE used > defined) ORDER BY lines DESC, id LIMIT 30""",
     "deadcode_raw": f"{_DEAD} SELECT id, name, file, lines, 'raw' AS state FROM k ORDER BY lines DESC, id LIMIT 30",
-    "search_answer": _found(True),
-    "search_answer_plain": _found(False),
+    "search_answer": _found(True) + _HITS,
+    "search_answer_plain": _found(False) + _HITS,
+    "search_envelope": _found(True) + _ENVELOPE,
+    "search_below_floor": _found(True, 1.5) + _ENVELOPE,
     "symbol_listing": f"{ALL}, {D} SELECT y.id, name, file, label, complexity, lines, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree FROM y JOIN d ON d.id = y.id WHERE label = 'Method' AND in_degree BETWEEN 2 AND 6 ORDER BY y.id LIMIT 200",
     "payload_nodes": f"""{ALL}, {D}, f AS (SELECT * FROM r WHERE type = 'CALLS' ORDER BY src, dst LIMIT 50), n AS (SELECT src AS id FROM f UNION SELECT dst FROM f)
       SELECT n.id, coalesce(name, '') AS name, coalesce(file, '') AS file, coalesce(complexity, 0) AS complexity, coalesce(lines, 0) AS lines, CAST(CASE WHEN n.id % 9 = 0 THEN 0 ELSE in_degree END AS BIGINT) AS in_degree, CAST(CASE WHEN n.id % 9 = 0 THEN 0 ELSE out_degree END AS BIGINT) AS out_degree

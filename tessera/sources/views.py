@@ -71,6 +71,13 @@ def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item.where("l_quantity >= 40 and dst is not null and src <> dst").select("src", "dst", "type").distinct()
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with their ``norm``, which a catalogue keeps with each."""
+    e = F.col("embedding")
+    square = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.sqrt(square).alias("norm"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, us, root, op, latency, generation``: a request log; ``us`` is microseconds since 1970."""
     e = table(spark, sf_dir, "events")
