@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import intervals
 from tessera.storage import cut
 
 WINDOW, STRIDE, CAP, CHARS = 20, 10, 500, 200_000
@@ -165,17 +166,34 @@ def matching_lines(files: DataFrame, pattern: str) -> DataFrame:
     return files.select("path", numbers.alias("at")).where(F.size("at") > 0).select("path", F.size("at").alias("n"), F.array_join(F.transform("at", lambda i: i.cast("string")), ",").alias("lines"))
 
 
-def matches_by_symbol(files: DataFrame, definitions: DataFrame, pattern: str) -> DataFrame:
+def matching_places(files: DataFrame, pattern: str) -> DataFrame:
+    """``path, i``: a row for each matching line of ``files(path, lines)``, from 0. Lines are tested where they lie; no text is shuffled."""
+    found = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
+    return files.select("path", F.explode(found).alias("i"))
+
+
+def matches_by_symbol(files: DataFrame, definitions: DataFrame, pattern: str, width: int = intervals.WIDTH) -> DataFrame:
     """``path, name, start, n, lines``: matching lines of ``files(path, lines)`` by the innermost of ``definitions(path, name, start, end)``.
 
-    Lines outside any definition have no name. Lines are numbered from 1; only matching ones are joined.
+    Lines outside any definition have no name. Lines are numbered from 1. A file is cut into runs of ``width`` lines, so many
+    matches and definitions of one file are many tasks' work, linear in both but for a logarithm.
     """
-    hit = files.select("path", F.posexplode("lines").alias("i", "line")).where(F.col("line").rlike(pattern)).select("path", "i")
-    own = definitions.select("path", "name", "start", "end")
-    inside = hit.join(own, "path").where("start <= i and i < end").groupBy("path", "i").agg(F.max(F.struct("start", -F.col("end"), "name")).alias("d"))
-    named = hit.join(inside, ["path", "i"], "left").select("path", "i", F.coalesce("d.name", F.lit("")).alias("name"), F.col("d.start").alias("start"))
+    named = intervals.innermost(matching_places(files, pattern), definitions, "path", "i", width=width).withColumn("name", F.coalesce("name", F.lit("")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("i") + 1)), lambda x: x.cast("string")), ",")
-    return named.groupBy("path", "name", "start").agg(F.count("*").alias("n"), lines.alias("lines"))
+    return named.groupBy("path", "name", F.col("start").cast("int").alias("start")).agg(F.count("*").alias("n"), lines.alias("lines"))
+
+
+def pattern_lines(files: DataFrame, definitions: DataFrame, pattern: str) -> DataFrame:
+    """``place, line``: the answer to a pattern: a head with the number of symbols, then one line each; or that nothing matched.
+
+    A symbol's line names its file and first line (from 1) and the matching lines; what lies outside any definition goes by its file alone.
+    """
+    got = matches_by_symbol(files, definitions, pattern)
+    label = F.concat(F.col("path"), F.when(F.col("start").isNotNull(), F.concat(F.lit(":"), (F.col("start") + 1).cast("string"))).otherwise(""))
+    line = F.concat(F.lit("- "), F.when(F.col("name") != "", F.concat("name", F.lit(" "))).otherwise(""), label, F.lit("  (lines "), F.replace(F.col("lines"), F.lit(","), F.lit(", ")), F.lit(")"))
+    body = got.select(line.alias("line"))
+    head = body.agg(F.count("*").alias("n")).withColumn("head", F.concat(F.lit(f'## Pattern matches for "{pattern}"'), F.when(F.col("n") > 0, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit("\n(no matches)"))))
+    return head.select(F.lit(0).alias("place"), F.col("head").alias("line")).unionByName(body.select(F.lit(1).alias("place"), "line"))
 
 
 _DEFINES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
