@@ -54,23 +54,29 @@ def impact(symbols: DataFrame, edges: DataFrame, name: str, cap: int = CAP) -> D
     return up.unionByName(down)
 
 
-def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, in_degree, out_degree`` over references; one pass over the edges, both ends exploded."""
-    ends = _references(edges).select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
-    sums = ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
+def degrees(symbols: DataFrame, edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """``id, in_degree, out_degree`` over references: from ``kept(id, type, i, o)``, where an index keeps them, else in one pass over the edges."""
+    if kept is not None:
+        sums = kept.where(F.col("type").isin(*REFERENCES)).groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    else:
+        ends = _references(edges).select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
+        sums = ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
     return symbols.select("id").join(sums, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def fan_in(symbols: DataFrame, edges: DataFrame, skip: str, fetched: int = FETCHED_FAN_IN, shown: int = SHOWN_FAN_IN) -> DataFrame:
-    """The most referred-to symbols: the first ``fetched`` by edges, then without ``skip``, then ``shown`` of them."""
-    n = _references(edges).groupBy("dst").agg(F.count("*").alias("fan_in"))
+def fan_in(symbols: DataFrame, edges: DataFrame, skip: str, fetched: int = FETCHED_FAN_IN, shown: int = SHOWN_FAN_IN, kept: DataFrame | None = None) -> DataFrame:
+    """The most referred-to symbols: the first ``fetched`` by edges, then without ``skip``, then ``shown`` of them. ``kept`` as in ``degrees``."""
+    if kept is not None:
+        n = kept.where(F.col("type").isin(*REFERENCES) & (F.col("i") > 0)).groupBy(F.col("id").alias("dst")).agg(F.sum("i").alias("fan_in"))
+    else:
+        n = _references(edges).groupBy("dst").agg(F.count("*").alias("fan_in"))
     top = symbols.join(n, symbols["id"] == n["dst"]).orderBy(F.desc("fan_in"), "id").limit(fetched)
     return top.where(f"not ({skip})").orderBy(F.desc("fan_in"), "id").limit(shown).select("id", "name", "file", "fan_in")
 
 
-def entry_points(symbols: DataFrame, edges: DataFrame, cap: int = 10) -> DataFrame:
+def entry_points(symbols: DataFrame, edges: DataFrame, cap: int = 10, kept: DataFrame | None = None) -> DataFrame:
     """Symbols that call but are never referred to."""
-    flagged = degrees(symbols, edges).where("in_degree = 0 and out_degree > 0")
+    flagged = degrees(symbols, edges, kept).where("in_degree = 0 and out_degree > 0")
     return symbols.join(flagged, "id").orderBy("id").limit(cap).select("id", "name", "file", "out_degree")
 
 
@@ -82,9 +88,9 @@ def overview(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return named.unionByName(links.select(F.when(F.col("g") == 1, "edges").otherwise("edge_type").alias("section"), F.coalesce("type", F.lit("")).alias("key"), "n"))
 
 
-def hotspots(symbols: DataFrame, edges: DataFrame, noise: str, shown: int = SHOWN_HOT, fetched: int = 2000) -> DataFrame:
+def hotspots(symbols: DataFrame, edges: DataFrame, noise: str, shown: int = SHOWN_HOT, fetched: int = 2000, kept: DataFrame | None = None) -> DataFrame:
     """The most complex referred-to functions and methods: ``fetched`` of each label by complexity, noise dropped, ranked."""
-    ranked = symbols.join(degrees(symbols, edges).where("in_degree >= 1"), "id")
+    ranked = symbols.join(degrees(symbols, edges, kept).where("in_degree >= 1"), "id")
     slices = [ranked.where(F.col("label") == lb).orderBy(F.desc("complexity"), F.desc("in_degree"), "id").limit(fetched) for lb in ("Function", "Method")]
     both = reduce(DataFrame.unionByName, slices).where(f"not ({noise})")
     return both.orderBy(F.desc("complexity"), F.desc("in_degree"), "label", "id").limit(shown).select("id", "name", "file", "label", "family", "complexity", "in_degree")
@@ -167,12 +173,12 @@ def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
     return some.join(ids, "name").select("name", "candidates", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry: str | None = None, limit: int = 200) -> DataFrame:
+def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry: str | None = None, limit: int = 200, kept: DataFrame | None = None) -> DataFrame:
     """``id, name, file, label, complexity, lines, in_degree, out_degree`` of symbols by label and references to them, in order of id.
 
     ``entry``, a condition on a symbol, tells the entry points that are left out.
     """
-    rows = symbols.join(degrees(symbols, edges), "id").where(F.col("in_degree") >= least)
+    rows = symbols.join(degrees(symbols, edges, kept), "id").where(F.col("in_degree") >= least)
     rows = rows if label is None else rows.where(F.col("label") == label)
     rows = rows if most is None else rows.where(F.col("in_degree") <= most)
     rows = rows if entry is None else rows.where(f"not ({entry})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
-from tessera.sources.views import edges, symbols, table
+from tessera.sources.views import edge_index, edges, symbols, table
 
 NAME = "red widget"
 Y = """y AS (
@@ -34,6 +34,16 @@ def _both(ask):
     return lambda spark, d: ask(symbols(spark, d), edges(spark, d))
 
 
+def _kept(ask):
+    """Questions whose degrees the index keeps."""
+
+    def run(spark, d):
+        index = edge_index(spark, d).open()
+        return ask(symbols(spark, d), index.edges, index.degrees)
+
+    return run
+
+
 def _dead(y, e):
     return graph.dead(y, e, NOISE).orderBy(F.desc("lines"), "id").limit(200)
 
@@ -56,12 +66,12 @@ QUERIES = {
     "callers_topn": _both(lambda y, e: graph.callers(y, e, NAME)),
     "callees_collision_filter": _both(lambda y, e: graph.callees(y, e, NAME)),
     "impact_union": _both(lambda y, e: graph.impact(y, e, NAME)),
-    "fan_in_top": _both(lambda y, e: graph.fan_in(y, e, NOISE)),
-    "entry_points": _both(graph.entry_points),
+    "fan_in_top": _kept(lambda y, e, k: graph.fan_in(y, e, NOISE, kept=k)),
+    "entry_points": _kept(lambda y, e, k: graph.entry_points(y, e, kept=k)),
     "overview_counts": _both(graph.overview),
-    "degree_in_out": _both(graph.degrees),
-    "hotspots_rank": _both(lambda y, e: graph.hotspots(y, e, NOISE)),
-    "language_coverage": _both(lambda y, e: graph.coverage(graph.hotspots(y, e, NOISE, shown=30), "family")),
+    "degree_in_out": _kept(graph.degrees),
+    "hotspots_rank": _kept(lambda y, e, k: graph.hotspots(y, e, NOISE, kept=k)),
+    "language_coverage": _kept(lambda y, e, k: graph.coverage(graph.hotspots(y, e, NOISE, shown=30, kept=k), "family")),
     "deadcode_anti": _both(_dead),
     "deadcode_verified": _names,
     "graph_payload_edges": _both(lambda y, e: graph.payload(y, e, 200, NOISE)),

@@ -7,13 +7,10 @@ are a request log.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import exists, shared_folder
+from tessera.sources.snapshots import EdgeIndex
 
 #: Types that stand for a language family; PROMO is unknown, SMALL is a file that can't define symbols.
 FAMILIES = {"ECONOMY": "python", "STANDARD": "ts-js", "MEDIUM": "go", "LARGE": "jvm"}
@@ -43,32 +40,31 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` that ``build`` derives from the table ``source``, kept in the shared folder as an index is.
-
-    It is built by the first question and again when the source's path, size, files or time of change differ.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size, status = system.getContentSummary(path), system.getFileStatus(path)
-    state = f"{status.getPath().toString()}:{size.getLength()}:{size.getFileCount()}:{status.getModificationTime()}"
-    place = f"{shared_folder(spark)}/index/{name}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
-    if not exists(spark, f"{place}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(place)
-    return spark.read.parquet(place)
+def edge_index(spark: SparkSession, sf_dir: str) -> EdgeIndex:
+    """The index of call edges: the first question builds it, later ones read it and follow the changes of the table."""
+    items = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")]
+    return EdgeIndex(spark, "edges", f"{sf_dir}/lineitem.parquet", items, _neighbours, "l_orderkey")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, type``, distinct: a part and the next part of its order, for large quantities. An index of the graph."""
-    return stored(spark, sf_dir, "edges", "lineitem", lambda: built_edges(spark, sf_dir))
+    """``src, dst, type``, distinct: a part and the next part of its order, for large quantities."""
+    return edge_index(spark, sf_dir).open().edges
+
+
+def kept_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, type, i, o``: distinct edges into and out of each node, which the index keeps."""
+    return edge_index(spark, sf_dir).open().degrees
 
 
 def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edges`` without the index."""
+    return _neighbours(table(spark, sf_dir, "lineitem")).distinct()
+
+
+def _neighbours(items: DataFrame) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    item = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), lookup(EDGE_TYPES, F.col("l_returnflag"), "TESTS").alias("type"), "l_quantity"
-    )
-    return item.where("l_quantity >= 40 and dst is not null and src <> dst").select("src", "dst", "type").distinct()
+    item = items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), lookup(EDGE_TYPES, F.col("l_returnflag"), "TESTS").alias("type"), "l_quantity")
+    return item.where("l_quantity >= 40 and dst is not null and src <> dst").select("src", "dst", "type")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
