@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, gateway, graph, search, state
+from tessera.sources import catalogue
 from tessera.sources.views import edges, requests, symbols, table, vectors
+from tessera.storage import cut, shared_folder
+from tessera.streaming import index_stream, replay
 
-from .chunk_queries import _CATALOGUES, THE, _catalogues, _sql_files, files
+from .chunk_queries import _CATALOGUES, LIVE, NEW_TEXT, PRODUCED, STORED, THE, _catalogues, _sql_files, files
+from .chunk_queries import ORACLES as _CHUNKS
 from .graph_queries import ALL, NOISE, D
 from .state_queries import _Q
 
@@ -106,8 +112,33 @@ def _index_pass(spark, d):
     return chunking.index_pass(old, new, live, 60)
 
 
+def _committed(spark, d):
+    """The catalogue as readers find it after two commits: what was stored, and what a pass over the live files changed."""
+    old, new, live = _catalogues(spark, d)
+    columns = ["project", "path", "chunk_id", "content_hash"]
+    store = catalogue.Catalogue(spark, f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}")
+    store.commit(old.select(*columns))
+    came, gone = catalogue.changes(old, cut(chunking.index_pass(old, new, live, 60)))
+    store.commit(came.join(new.select("chunk_id", "project"), "chunk_id").select(*columns), gone)
+    return store.read().select("chunk_id", "path", "content_hash")
+
+
+def _index_stream(spark, d):
+    """Documents as they were stored, then as they are now, as a stream of file changes; what the second pass says of each chunk."""
+    old, new = files(spark, d, where=STORED), files(spark, d, NEW_TEXT, PRODUCED)
+    dead = files(spark, d, where=f"{STORED} and not ({LIVE})")
+    first = index_stream.changes_of(old, 1)
+    second = index_stream.changes_of(new, 2).unionByName(index_stream.deletions_of(dead, 2))
+    place = replay.folder(spark)
+    first.write.parquet(f"{place}/in/1")
+    second.write.parquet(f"{place}/in/2")
+    return index_stream.run(spark, f"{place}/in/*", place).where("at = 2").select("chunk_id", "path", "status")
+
+
 QUERIES = {
     "index_pass": _index_pass,
+    "catalogue_committed": _committed,
+    "index_stream": _index_stream,
     "code_map_budget": lambda s, d: graph.code_map(symbols(s, d), edges(s, d), NOISE, 1000),
     "code_map_whole": lambda s, d: graph.code_map(symbols(s, d), edges(s, d), NOISE, 32_768),
     "gateway_answers": _gateway,
@@ -180,6 +211,7 @@ ORACLES = {
       SELECT chunk_id, path, content_hash, status FROM n WHERE k <= 60 UNION ALL SELECT chunk_id, path, content_hash, status FROM s WHERE status = 'unchanged'
       UNION ALL SELECT old.chunk_id, old.path, old.content_hash, 'stale' FROM old JOIN n ON n.chunk_id = old.chunk_id WHERE k > 60
       UNION ALL SELECT chunk_id, path, content_hash, 'orphan' FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) AND path IN (SELECT path FROM live) AND path IN (SELECT path FROM p)""",
+    "index_stream": _CHUNKS["index_diff_status"],
     "code_map_budget": _map(1000),
     "code_map_whole": _map(32_768),
     "gateway_answers": f"""WITH {_ASKED}, g AS (SELECT *, CASE WHEN role IS NULL OR role = 'role3' OR (role = 'role1' AND op NOT IN ('callers', 'context')) OR (role = 'role2' AND op NOT IN ('overview', 'search', 'context')) THEN 'op-not-allowed-for-role'
@@ -227,3 +259,4 @@ ORACLES = {
     "cache_keys": """WITH k AS (SELECT event_id AS request, '/r' || (event_id % 4) AS root, 'p' || (event_id % 300) AS name FROM events), t AS (SELECT *, CASE request % 3 WHEN 0 THEN name WHEN 1 THEN root || '/' || name ELSE './' || name END AS target FROM k)
       SELECT request, 'overview|' || target || '|lsp|' || root || '|' || coalesce(sha256(html), sha256(target)) AS key FROM t LEFT JOIN pages ON name = 'p' || page_id AND root = '/r' || (page_id % 4)""",
 }
+ORACLES["catalogue_committed"] = f"SELECT chunk_id, path, content_hash FROM ({ORACLES['index_pass']})"

@@ -29,7 +29,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import cut, exists, remove, shared_folder
+from tessera.sources import manifests
+from tessera.storage import cut, remove, shared_folder
 
 #: States that stay, and seconds for which any state stays, because a reader may still be at it.
 KEPT, GRACE = 2, 3600
@@ -87,47 +88,9 @@ class EdgeIndex:
         self.place = f"{shared_folder(spark)}/index/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
         self.made: list[str] = []
 
-    # files
-
-    def _system(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.place)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _read(self, path: str) -> dict | None:
-        """A manifest, or None where it went meanwhile."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not exists(self.spark, path):
-            return None
-        stream = self._system().open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
     def manifests(self) -> list[tuple[float, str]]:
         """Times and paths of all states of this source, the newest first."""
-        if not exists(self.spark, self.place):
-            return []
-        found = self._system().listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.place))
-        names = [(s.getModificationTime() / 1000, f"{self.place}/{s.getPath().getName()}") for s in found if s.getPath().getName().endswith(".json")]
-        return sorted(names, reverse=True)
-
-    def _publish(self, manifest: dict, state: str) -> bool:
-        """Whether this manifest is the one of its state; another session may have been first."""
-        jvm, draft, final = self.spark._jvm, f"{self.place}/draft-{uuid.uuid4().hex}", f"{self.place}/{state}.json"
-        out = self._system().create(jvm.org.apache.hadoop.fs.Path(draft), False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._system().getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(context.makeQualified(jvm.org.apache.hadoop.fs.Path(draft)), context.makeQualified(jvm.org.apache.hadoop.fs.Path(final)), none)
-            return True
-        except Exception:
-            if not exists(self.spark, final):
-                raise
-            remove(self.spark, draft)
-            return False
+        return manifests.listed(self.spark, self.place)
 
     def _folder(self, kind: str) -> str:
         self.made.append(f"{self.place}/{kind}-{uuid.uuid4().hex}")
@@ -138,8 +101,6 @@ class EdgeIndex:
         (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.parquet(folder)
         return folder
 
-    # contents
-
     def _items(self, manifest: dict, parts: set[str]) -> DataFrame | None:
         """The items of some parts, read from the folders that hold them."""
         folders = {f for p, f in manifest["items"].items() if p in parts}
@@ -212,14 +173,14 @@ class EdgeIndex:
         parts = parts_of(self.spark, self.path)
         state = state_of(parts)
         final = f"{self.place}/{state}.json"
-        if (found := self._read(final)) is not None:
+        if (found := manifests.read(self.spark, final)) is not None:
             return found
         self.made = []
-        older = [m for _, path in self.manifests()[:1] if (m := self._read(path)) is not None]
+        older = [m for _, path in self.manifests()[:1] if (m := manifests.read(self.spark, path)) is not None]
         try:
             made = self._after(older[0], parts) if older and set(older[0]["parts"]) & set(parts) else self._whole(parts)
             moved = parts_of(self.spark, self.path) != parts
-            mine = not moved and self._publish(made, state)
+            mine = not moved and manifests.publish(self.spark, made, final)
         except Exception:
             for folder in self.made:
                 remove(self.spark, folder)
@@ -227,7 +188,7 @@ class EdgeIndex:
         if not mine:
             for folder in self.made:
                 remove(self.spark, folder)
-            return self.manifest() if moved else self._read(final)  # changed while it was read: once more
+            return self.manifest() if moved else manifests.read(self.spark, final)  # changed while it was read: once more
         used = {*made["edges"], *made["degrees"], *made["items"].values()}
         for folder in self.made:  # sums that were folded away at once
             if folder not in used:
@@ -239,7 +200,7 @@ class EdgeIndex:
         """Removes states beyond the newest ``kept`` that are older than ``grace`` seconds, and what only they name."""
         all_ = self.manifests()
         old = [path for at, path in all_[self.kept :] if at <= time.time() - self.grace]
-        named = lambda paths: {f for p in paths if (m := self._read(p)) for f in (*m["edges"], *m["degrees"], *m["items"].values())}
+        named = lambda paths: {f for p in paths if (m := manifests.read(self.spark, p)) for f in (*m["edges"], *m["degrees"], *m["items"].values())}
         gone = named(old)
         for path in old:
             remove(self.spark, path)
