@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import firing, intervals
+
+#: Microseconds.
+HOUR = 3_600_000_000
 # Engines in their order, reasons that mean "could not ask", served paths, engines by op, ops on live state.
 ENGINES = ("graph", "lsp", "semantic")
 UNREACHABLE = ("engine-unavailable", "boot-failed", "warming", "project-not-indexed", "project-not-indexed-standalone", "error", "timeout")
@@ -20,35 +24,24 @@ ROUTES = {
 UNCACHED = ("changed", "changes")
 
 
-def _fold(window: int):
-    """Fires when ``window`` has passed since the key's last firing; keys come one after another in time order."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, generation = None, None, 0
-        for f in frames:
-            fired, gens, lasts = [], [], []
-            for root, us in zip(f["root"].tolist(), f["us"].tolist()):
-                if root != key:
-                    key, last, generation = root, None, 0
-                fire = last is None or us - last >= window
-                if fire:
-                    last, generation = us, generation + 1
-                fired.append(fire)
-                gens.append(generation)
-                lasts.append(last)
-            yield f.assign(fired=fired, generation=pd.Series(gens, f.index, "int64"), last_fired=pd.Series(lasts, f.index, "int64"))
+def debounced(events: DataFrame, window_us: int, lasts: str | None = None) -> DataFrame:
+    """``event_id, root, us, fired, generation, last_fired`` of ``events(event_id, root, us)``.
 
-    return run
+    Firing compares with the last *fired* time, and waits for the end of that firing where ``lasts`` says how long it takes.
+    """
+    return firing.fired(events, window_us, lasts)
 
 
-def debounced(events: DataFrame, window_us: int) -> DataFrame:
-    """``event_id, root, us, fired, generation, last_fired`` of ``events(event_id, root, us)``.
+def reindexing(events: DataFrame, window_us: int, lasts: str, width: int = HOUR) -> DataFrame:
+    """``event_id, root, reindexing``: whether a pass of the root runs when an event comes, its own included.
 
-    Firing compares with the last *fired* time, so it is a fold over each key in time order. Rows stream
-    through in sorted runs; a task holds one batch and three numbers, never a whole key.
+    Passes are the firings of ``events(event_id, root, us, lasts)``; each runs for its own ``lasts`` microseconds. A pass that takes no
+    time is over when it begins.
     """
-    rows = events.where("root is not null and us is not null").select("event_id", "root", "us").repartition("root").sortWithinPartitions("root", "us", "event_id")
-    return rows.mapInPandas(_fold(window_us), "event_id long, root long, us long, fired boolean, generation long, last_fired long")
+    passes = debounced(events, window_us, lasts).where("fired").select("event_id", "root", "us")
+    spans = passes.join(events.select("event_id", lasts), "event_id").select("root", F.col("us").alias("start"), (F.col("us") + F.col(lasts)).alias("end"), F.lit("").alias("name"))
+    found = intervals.innermost(events.select("event_id", "root", "us"), spans, "root", "us", "event_id", width=width)
+    return found.select("event_id", "root", F.col("start").isNotNull().alias("reindexing"))
 
 
 def cache_replay(requests: DataFrame, uncached: tuple[str, ...], empty: tuple[str, ...]) -> DataFrame:

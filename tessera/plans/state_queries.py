@@ -96,10 +96,16 @@ def _settings(spark, d):
     return table(spark, d, "events").select("event_id", state.setting(raw, 30).alias("k"))
 
 
+def _passes(spark, d):
+    """Requests that begin a pass if they fire; it takes an hour for each unit of latency."""
+    return requests(spark, d).select("event_id", "root", "us", F.round(F.greatest("latency", F.lit(0.0)) * HOUR).cast("long").alias("lasts"))
+
+
 QUERIES = {
     "debounce_fold": lambda s, d: state.debounced(requests(s, d), DAY).where("fired").select("event_id", "root", "us"),
     "generation_counter": lambda s, d: state.debounced(requests(s, d), DAY).select("event_id", "generation"),
-    "inflight_flag": lambda s, d: state.debounced(requests(s, d), DAY).select("event_id", (F.col("us") - F.col("last_fired") < 4 * HOUR).alias("reindexing")),
+    "inflight_flag": lambda s, d: state.reindexing(_passes(s, d), DAY, "lasts").select("event_id", "reindexing"),
+    "debounce_passes": lambda s, d: state.debounced(_passes(s, d), DAY, "lasts").where("fired").select("event_id", "root", "us", "generation"),
     "negative_cache": lambda s, d: state.debounced(requests(s, d).where("op = 'error'"), HALF).select("event_id", (~F.col("fired")).alias("served")),
     "cache_replay": lambda s, d: state.cache_replay(requests(s, d), ("purchase",), ("error",)).select("event_id", "hit"),
     "lru_recent": lambda s, d: state.most_recent(requests(s, d), 100).select("root", "op", "last_us"),
@@ -132,6 +138,10 @@ def _folded(window: int, where: str = "true") -> str:
         FROM f JOIN n ON n.root = f.root AND n.k = f.k + 1)"""
 
 
+_RUNS = f"""WITH RECURSIVE {_Q}, n AS (SELECT *, CAST(round(greatest(latency, 0) * {HOUR}) AS BIGINT) AS lasts, row_number() OVER (PARTITION BY root ORDER BY us, event_id) AS k FROM q),
+  f AS (SELECT event_id, root, us, k, true AS fired, us + lasts AS fin, us + greatest(lasts, {DAY}) AS ready, CAST(1 AS BIGINT) AS generation FROM n WHERE k = 1 UNION ALL
+    SELECT n.event_id, n.root, n.us, n.k, n.us >= ready, CASE WHEN n.us >= ready THEN n.us + lasts ELSE fin END, CASE WHEN n.us >= ready THEN n.us + greatest(lasts, {DAY}) ELSE ready END, f.generation + CASE WHEN n.us >= ready THEN 1 ELSE 0 END
+    FROM f JOIN n ON n.root = f.root AND n.k = f.k + 1)"""
 _ANSWERS = f"""{_Q}, g AS (SELECT *, row_number() OVER (PARTITION BY root, op ORDER BY us, event_id) AS k FROM q WHERE op IN ('view', 'click', 'purchase')),
   a AS (SELECT root AS request, CASE op WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place, CASE op WHEN 'view' THEN 'graph' WHEN 'click' THEN 'lsp' ELSE 'semantic' END AS engine, CASE WHEN latency >= 20 THEN 'e' || event_id END AS result,
     CASE WHEN latency < 20 THEN CASE WHEN generation % 2 = 0 THEN 'no-result' ELSE 'engine-unavailable' END END AS reason FROM g WHERE k = 1),
@@ -151,7 +161,8 @@ _PROBES = f"""p AS (SELECT CASE s_suppkey WHEN 1 THEN 'graph' ELSE 'e' || s_supp
 ORACLES = {
     "debounce_fold": f"{_folded(DAY)} SELECT event_id, root, us FROM f WHERE fired",
     "generation_counter": f"{_folded(DAY)} SELECT event_id, generation FROM f",
-    "inflight_flag": f"{_folded(DAY)} SELECT event_id, us - last_fired < {4 * HOUR} AS reindexing FROM f",
+    "inflight_flag": f"{_RUNS} SELECT event_id, us < fin AS reindexing FROM f",
+    "debounce_passes": f"{_RUNS} SELECT event_id, root, us, generation FROM f WHERE fired",
     "negative_cache": _folded(HALF, "op = 'error'") + " SELECT event_id, NOT fired AS served FROM f",
     "cache_replay": f"WITH {_Q} SELECT event_id, coalesce(op NOT IN ('purchase', 'error') AND lag(generation) OVER (PARTITION BY root, op ORDER BY us, event_id) = generation, false) AS hit FROM q",
     "lru_recent": f"WITH {_Q} SELECT root, op, last_us FROM (SELECT root, op, max(us) AS last_us, max(event_id) AS last_id FROM q GROUP BY root, op) ORDER BY last_us DESC, last_id DESC LIMIT 100",
