@@ -83,10 +83,14 @@ def generated_file(text: Column) -> Column:
 
 
 def glob(path: Column, pattern: str) -> Column:
-    """fnmatch of the path or of any tail of it, or the pattern names a directory above it."""
+    """A shell pattern on the path or any tail of it; one without a star at its end also names a file, or a folder with all below.
+
+    Slashes at the beginning don't count on either side, and a backslash in the path is a slash.
+    """
     as_java = lambda p: fnmatch.translate(p).replace("(?s:", "(?s:^").replace(r"\Z", "$")
-    bare = pattern.rstrip("/")
-    return path.rlike(as_java(pattern)) | path.rlike(as_java(f"*/{pattern}")) | path.startswith(f"{bare}/")
+    plain, wanted = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", ""), pattern.lstrip("/")
+    found = plain.rlike(as_java(wanted)) | plain.rlike(as_java(f"*/{wanted}"))
+    return found if wanted.endswith("*") else found | (plain == wanted) | plain.startswith(wanted.rstrip("/") + "/")
 
 
 def prose(path: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,15 +57,15 @@ def chunk_text(lines: Column, start: Column, end: Column, closed: Column) -> Col
 
 
 def covered(definitions: list[tuple[int, int]], n: int, window: int, stride: int) -> list[tuple[int, int]]:
-    """The gapless cover of one file, as ``cover`` makes it of a table."""
-    out, at = [], 0
-    windowed = lambda a, b: [(k, min(k + window, b)) for k in range(a, b, stride)]
-    for start, end in sorted(definitions):
-        start, end = max(start, at), min(end, n)
-        if start < end:
-            out += windowed(at, start) + ([(start, end)] if end - start <= 2 * window else windowed(start, end))
-            at = end
-    return out + windowed(at, n)
+    """``cover`` of one file: between the running maximum of ends and the next start lies a gap, and what a definition adds to that maximum is its own."""
+    spans = np.array(sorted((a, min(b, n)) for a, b in definitions if a < min(b, n)), dtype=int).reshape(-1, 2)
+    edges = np.concatenate([[0], np.maximum.accumulate(spans[:, 1])]) if len(spans) else np.array([0])
+    starts = np.maximum(spans[:, 0], edges[:-1])
+    adds = starts < spans[:, 1]
+    runs = [(a, b, False) for a, b in zip(np.append(edges[:-1][adds], edges[-1]), np.append(starts[adds], n))] + [(a, b, True) for a, b in zip(starts[adds], spans[adds, 1])]
+    whole = [(int(a), int(b)) for a, b, own in runs if own and b - a <= 2 * window]
+    cut_up = [(k, min(k + window, int(b))) for a, b, own in runs if not (own and b - a <= 2 * window) for k in range(int(a), int(b), stride)]
+    return sorted(whole + cut_up)
 
 
 def _syntax_spans(window: int, stride: int):

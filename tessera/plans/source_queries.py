@@ -21,7 +21,7 @@ MIDS = ("", "a/", "skip/", "tests/", "__pycache__/")
 ENDS = (".py", ".md", ".min.js", ".json", ".ts", ".lock", "_pb2.py")
 GITIGNORE = "# tools\n!keep\n*.log\na/b\nskip/\n"
 GITATTRIBUTES = "gen/*.ts linguist-generated=true\n*.x text\nold/a/* linguist-vendored\n*.md linguist-generated=false\n"
-GLOBS = {"ending": "*.py", "below": "gen/*", "folder": "vendor", "set": "[bd]*/a/*", "one": "src/?ests/*"}
+GLOBS = {"ending": "*.py", "below": "gen/*", "folder": "vendor", "set": "[bd]*/a/*", "one": "src/?ests/*", "rooted": "/gen/*.py", "closed": "/old/a/", "star": "dist*"}
 BLOCK = " map "
 
 
@@ -36,6 +36,12 @@ def _tree(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(i % 500 == 1, F.lit("build/__init__.py")).otherwise(path).alias("path"))
 
 
+def _odd_path() -> Column:
+    """Some paths of the tree begin with slashes, some have backslashes."""
+    p, i = F.col("path"), F.col("doc_id")
+    return F.when(i % 3 == 0, F.concat(F.lit("//"), p)).when(i % 4 == 0, F.replace(p, F.lit("/"), F.lit("\\"))).otherwise(p)
+
+
 def _walk(spark, d):
     return trees.worth_reading(_tree(spark, d), trees.ignored_names(GITIGNORE), trees.declared_globs(GITATTRIBUTES))
 
@@ -83,7 +89,7 @@ def _forgotten(spark, d):
 
 QUERIES = {
     "walk_paths": _walk,
-    "glob_matches": lambda s, d: _tree(s, d).select("doc_id", *[paths.glob(F.col("path"), g).alias(k) for k, g in GLOBS.items()]),
+    "glob_matches": lambda s, d: _tree(s, d).select("doc_id", *[paths.glob(_odd_path(), g).alias(k) for k, g in GLOBS.items()]),
     "binary_flags": _binary,
     "contained_paths": _contained,
     "block_injection": _injected,
@@ -100,7 +106,10 @@ _FULL = f"{_START} || ' map ' || {_END}"
 ORACLES = {
     "walk_paths": f"""WITH {_T} SELECT doc_id, path FROM t WHERE regexp_matches(path, '\\.(py|md|ts)$') AND NOT regexp_matches(path, '_pb2\\.py$') AND NOT regexp_matches(path, '(^|/)(node_modules|\\.git|__pycache__|skip|[^/]*\\.egg-info)/')
       AND NOT path GLOB 'gen/*.ts' AND NOT path GLOB 'old/a/*' AND (NOT regexp_matches(path, '^(build|dist|vendor)/') OR split_part(path, '/', 1) IN (SELECT split_part(path, '/', 1) FROM t WHERE path GLOB '*/__init__.py'))""",
-    "glob_matches": f"WITH {_T} SELECT doc_id, " + ", ".join(f"path GLOB '{g}' OR path GLOB '*/{g}' OR starts_with(path, '{g}/') AS \"{k}\"" for k, g in {"ending": "*.py", "below": "gen/*", "folder": "vendor", "set": "[bd]*/a/*", "one": "src/?ests/*"}.items()) + " FROM t",
+    "glob_matches": f"WITH {_T} SELECT doc_id, " + ", ".join(
+        f"path GLOB '{g}' OR path GLOB '*/{g}'" + ("" if g.endswith("*") else f" OR path = '{g}' OR starts_with(path, '{g.rstrip('/')}/')") + f' AS "{k}"'
+        for k, g in {"ending": "*.py", "below": "gen/*", "folder": "vendor", "set": "[bd]*/a/*", "one": "src/?ests/*", "rooted": "gen/*.py", "closed": "old/a/", "star": "dist*"}.items()
+    ) + " FROM t",
     "binary_flags": "SELECT doc_id, contains(left(repeat('x', doc_id * 37 % 10000) || CASE WHEN doc_id % 3 = 0 THEN chr(0) ELSE '' END || coalesce(text, ''), 8192), chr(0)) AS \"binary\" FROM documents",
     "contained_paths": """WITH x AS (SELECT doc_id, '/r/' || doc_id % 7 AS base FROM documents), p AS (SELECT doc_id, base AS root, CASE doc_id % 5 WHEN 0 THEN base WHEN 1 THEN base || '/x/f' WHEN 2 THEN base || '-secret/f' WHEN 3 THEN base || '/' ELSE '/q/f' END AS path FROM x)
       SELECT doc_id, starts_with(rtrim(path, '/') || '/', root || '/') AS inside FROM p""",

@@ -10,6 +10,7 @@ import os
 import re
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import quote, unquote
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
+from tessera.storage import cut
 
 # Folders that never hold a project's own source: tools' and caches', build output of web tools, old copies;
 # and folders that hold output at a project's root.
@@ -55,68 +57,82 @@ def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             where, name = fs.FileSystem.from_uri(full)
             try:
                 with where.open_input_stream(name) as stream:
-                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
-            except FileNotFoundError:  # gone since it was listed
+                    content = stream.read()
+            except OSError:  # gone since it was listed, or not ours to read
                 continue
+            yield pd.DataFrame({"path": [path], "content": [content]})
 
 
-def _listed(skip: tuple[str, ...]):
-    """Files below each folder of ``top, folder`` (below ``top``, percent-encoded), a folder at a time."""
+#: Folders that a task lists before it hands on those that it met.
+FOLDERS = 256
+#: Tasks over which the folders of a round are dealt out.
+ROUND_TASKS = 64
+
+
+def _listed(top: str, skip: tuple[str, ...], most: int):
+    """``full, path, is_folder``: the files below each given folder of ``top``, and the folders that are left over after ``most`` were listed.
+
+    Folders that can't be listed, or are gone, hold nothing.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for top, folder in zip(f["top"], f["folder"]):
-                system, root = fs.FileSystem.from_uri(top)
-                local = isinstance(system, fs.LocalFileSystem)
-                real, todo, seen = os.path.realpath(root), [unquote(folder)], set()
-                while todo:
-                    here, rows = todo.pop(), []
-                    for x in system.get_file_info(fs.FileSelector(f"{root}/{here}", allow_not_found=True)):
-                        path = f"{here}/{x.base_name}"
-                        if local and (target := os.path.realpath(x.path)) != x.path and os.path.commonpath([real, target]) != real:
-                            continue  # a link out of the tree
-                        if local and x.type == fs.FileType.File and os.stat(x.path).st_nlink > 1:
-                            continue  # may be a file from outside under a second name
-                        if x.type == fs.FileType.File:
-                            rows.append((f"{top}/{quote(path)}", path))
-                        elif x.type == fs.FileType.Directory and x.base_name not in skip and not (local and target in seen):
-                            todo.append(path)
-                            seen.update([target] if local else [])
-                    yield pd.DataFrame(rows, columns=["full", "path"])
+        system, root = fs.FileSystem.from_uri(top)
+        local = isinstance(system, fs.LocalFileSystem)
+        real = os.path.realpath(root) if local else root
+        todo = [unquote(f) for frame in frames for f in frame["folder"]]  # of one round, dealt out over tasks
+        for _ in range(most):
+            if not todo:
+                return
+            here, rows = todo.pop(), []
+            try:
+                entries = system.get_file_info(fs.FileSelector(f"{root}/{here}" if here else root, allow_not_found=True))
+            except OSError:
+                continue
+            for x in entries:
+                path = f"{here}/{x.base_name}" if here else x.base_name
+                target = os.path.realpath(x.path) if local else ""
+                if local and os.path.commonpath([real, target]) != real:
+                    continue  # a link out of the tree
+                if x.type == fs.FileType.File:
+                    if not local or os.stat(x.path).st_nlink == 1:  # else it may be a file from outside under a second name
+                        rows.append((f"{top}/{quote(path)}", path, False))
+                elif x.type == fs.FileType.Directory and x.base_name not in skip and not (local and _is_loop(real, target, path)):
+                    todo.append(path)
+            yield pd.DataFrame(rows, columns=["full", "path", "is_folder"])
+        yield pd.DataFrame([("", quote(f), True) for f in todo], columns=["full", "path", "is_folder"])
 
     return run
 
 
-def list_tree(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+def _is_loop(root: str, target: str, path: str) -> bool:
+    """A link to a folder that it lies in, or to one that is listed under its own name."""
+    return target != os.path.normpath(f"{root}/{path}")
+
+
+def list_tree(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED, folders: int = FOLDERS) -> DataFrame:
     """``full, path`` (below the root) of every file outside folders named in ``skip``.
 
-    Only the root's own entries are listed on the driver; the folders below are listed by tasks, and ``contents`` reads there.
-    Links that lead out of the tree are left out, as are files with several hard links. Spark's own file sources leave out names that begin with an underscore, which
-    source trees are full of.
+    Listed in rounds: a task lists up to ``folders`` folders below those that it was given, and what is left is dealt out again, so a tree
+    whose files all lie below one folder is many tasks' work, and a small one a single round. ``contents`` reads where ``full`` says.
+    Links that lead out of the tree are left out, as are links to folders (those have names of their own) and files with several hard links.
+    Spark's own file sources leave out names that begin with an underscore, which source trees are full of.
     """
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
     top = system.makeQualified(base).toUri().toString().rstrip("/")
     top = top if "://" in top else top.replace(":/", ":///", 1)
-    entries = [(x.getPath().getName(), x.isDirectory()) for x in system.listStatus(base)]
-    own = [n for n, is_folder in entries if not is_folder and not _leads_out(top, n)]
-    folders = [(top, quote(n)) for n, is_folder in entries if is_folder and n not in skip and not _leads_out(top, n)]
-    files = spark.createDataFrame([(f"{top}/{quote(n)}", n) for n in own], "full string, path string")
-    return files.unionByName(spark.createDataFrame(folders, "top string, folder string").repartition(F.col("folder")).mapInPandas(_listed(tuple(skip)), "full string, path string"))
-
-
-def _leads_out(top: str, name: str) -> bool:
-    """An entry of a local root that links out of it, or a file with a second name, which may lie outside."""
-    system, root = fs.FileSystem.from_uri(top) if top.startswith("file:") else (None, "")
-    if not isinstance(system, fs.LocalFileSystem):
-        return False
-    real, target = os.path.realpath(root), os.path.realpath(f"{root}/{name}")
-    return os.path.commonpath([real, target]) != real or (os.path.isfile(target) and os.stat(target).st_nlink > 1)
+    todo, found = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        got = cut(todo.mapInPandas(_listed(top, tuple(skip), folders), "full string, path string, is_folder boolean"))
+        found.append(got.where("not is_folder").select("full", "path"))
+        left = got.where("is_folder")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        todo = left.select(F.col("path").alias("folder")).repartition(ROUND_TASKS, "folder")
 
 
 def contents(listed: DataFrame) -> DataFrame:
-    """``path, content`` of listed files; one that is gone has no row."""
+    """``path, content`` of listed files; one that is gone or can't be read has no row."""
     return listed.select("full", "path").repartition(F.xxhash64("path")).mapInPandas(_contents, "path string, content binary")
 
 
@@ -143,8 +159,11 @@ def worth_reading(tree: DataFrame, ignored: list[str] = (), globs: list[str] = (
 
 
 def source_files(tree: DataFrame, ignored: list[str] = (), globs: list[str] = ()) -> DataFrame:
-    """``path, text`` of the files worth indexing of a listing: path rules first, then binary and generated content."""
-    text = F.decode(F.col("content"), "UTF-8")
+    """``path, text`` of the files worth indexing of a listing: path rules first, then binary and generated content.
+
+    Bytes that aren't UTF-8 read as replacement characters, so a file in another encoding is read for what it has in common.
+    """
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return contents(worth_reading(tree, ignored, globs)).where(~paths.binary(F.col("content"))).select("path", text.alias("text")).where(~paths.generated_file(F.col("text")))
 
 

@@ -244,6 +244,19 @@ def test_cover_of_one_file(spans, n):
     assert set(range(n)) == {k for a, b in got for k in range(a, b)} and len({a for a, _ in got}) == len(got)
 
 
+def test_cover_of_one_file_and_of_a_table(spark):
+    import random
+
+    rng = random.Random(2)
+    all_ = {f"f{i}": (rng.randint(0, 50), [(a, a + rng.randint(0, 25)) for a in rng.sample(range(50), rng.randint(0, 6))]) for i in range(40)}
+    sizes = spark.createDataFrame([(p, n) for p, (n, _) in all_.items()], "path string, n int")
+    spans = spark.createDataFrame([(p, a, b) for p, (_, d) in all_.items() for a, b in d], "path string, start int, end int")
+    table = {}
+    for r in chunking.cover(sizes, spans, 4, 2).collect():
+        table.setdefault(r["path"], []).append((r["start"], r["end"]))
+    assert {p: chunking.covered(d, n, 4, 2) for p, (n, d) in all_.items() if n} == {p: sorted(x) for p, x in table.items()}
+
+
 def test_python_definitions():
     text = "import os\n\n@a\n@b(\n  1)\nclass C(D):\n    x = 1\n    @p\n    def f(self): pass\n    class E:\n        def g(self):\n            pass\nasync def h():\n    pass\ndef one(): pass\nclass Lone: y = 2\n"
     assert chunking.python_definitions(text, text.count("\n")) == [(2, 7), (7, 9), (9, 12), (12, 14), (14, 15), (15, 16)]
@@ -309,7 +322,45 @@ def test_walk_of_links_and_odd_names(spark, tmp_path):
     listed = files.list_tree(spark, str(tree))
     want = {"a b/ü%20.py", "a b/_c/d.py", "top.py", "deep/1/2/3/e.py"}
     got = {r["path"]: bytes(r["content"]).decode() for r in files.contents(listed).collect()}
-    assert {p for p in got if "loop" not in p} == want and all(got[p] == f"# {p}\nx\n" for p in want)
+    assert set(got) == want and all(got[p] == f"# {p}\nx\n" for p in want)
     empty = tmp_path / "empty"
     empty.mkdir()
     assert files.list_tree(spark, str(empty)).count() == 0
+
+
+def test_one_top_folder_is_many_tasks(spark, tmp_path):
+    """All files below one folder: what a task leaves over is dealt out again, until every folder was listed."""
+    want = set()
+    for i in range(12):
+        for j in range(4):
+            p = f"src/d{i}/e{j}/deep/er/f{i}_{j}.py"
+            (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / p).write_text("x\ny\n")
+            want.add(p)
+    listed = files.list_tree(spark, str(tmp_path), folders=5)
+    assert {r["path"] for r in listed.collect()} == want
+    tasks = listed.withColumn("task", F.spark_partition_id()).groupBy("task").count().where("count > 0").count()
+    assert tasks >= 4
+    assert {r["path"] for r in files.list_tree(spark, str(tmp_path)).collect()} == want
+
+
+def test_files_in_other_encodings_and_unreadable_ones(spark, tmp_path):
+    odd = {"latin.py": "# größe\nx = 1\n".encode("latin-1"), "cut.py": "a = '日本'\n".encode()[:-4] + b"\n\n", "bom.py": b"\xef\xbb\xbfx = 1\n", "mixed.py": b"ok \xff\xfe \xe2\x82 \xc0\x80 \xed\xa0\x80 \xf4\x90\x80\x80 end\n"}
+    for name, content in odd.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "gone.py").write_text("x\n")
+    (tmp_path / "dir.py").mkdir()
+    listed = files.list_tree(spark, str(tmp_path))
+    rows = listed.unionByName(listed.where("path = 'latin.py'").selectExpr("replace(full, 'latin.py', 'dir.py') as full", "'dir.py' as path"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    (tmp_path / "gone.py").unlink()
+    got = {r["path"]: r["text"] for r in files.source_files(rows).collect()}
+    assert got == {name: content.decode("utf-8", "replace") for name, content in odd.items()}
+
+
+@pytest.mark.parametrize("path,pattern,found", [
+    ("gen/a.py", "/gen/*.py", True), ("/gen/a.py", "gen/*.py", True), ("x\\gen\\a.py", "gen/*.py", True), ("gen/b/a.py", "/gen/", True), ("gen", "gen/", False), ("gen", "gen", True),
+    ("generated/a.py", "gen*", True), ("gen/a.py", "gen*", True), ("a/gen/b.py", "gen", False), ("docs/api/x.md", "docs/api", True), ("docs/apix/x.md", "docs/api", False),
+])
+def test_globs(spark, path, pattern, found):
+    assert spark.createDataFrame([(path,)], "p string").select(paths.glob(F.col("p"), pattern)).first()[0] is found
