@@ -15,6 +15,10 @@ from tessera.operators import state
 # Engines that fan out, and those that may be asked for.
 FAN_OUT = {"both": ("graph", "lsp"), "all": ("graph", "lsp", "semantic")}
 ASKABLE = ("auto", *state.ENGINES, *FAN_OUT)
+# What the graph answers, what of it is about a root as a whole, and what is withdrawn.
+GRAPH_OPS = ("impact", "context", "callers", "callees", "chain", "pattern", "overview", "changed", "changes", "deadcode", "hotspots")
+ROOT_SCOPED = ("overview", "changed", "changes", "deadcode", "hotspots")
+WITHDRAWN = ("deadcode",)
 #: Silence of the graph after which an overview may come from the language server.
 SPARE_AFTER = ("engine-unavailable", "project-not-indexed")
 #: Seconds for which a failed session isn't tried again, and between two looks for missing engines.
@@ -81,3 +85,32 @@ def cache_key(requests: DataFrame, files: DataFrame) -> DataFrame:
     hashes = files.select("root", F.col("path").alias("path__"), F.sha2("content", 256).alias("hash__"))
     said = requests.withColumn("path__", F.regexp_replace(relative, r"^(\./)+", "")).join(hashes, ["root", "path__"], "left")
     return said.select("request", F.concat_ws("|", "op", "target", "engine", "root", F.coalesce("hash__", F.sha2("target", 256))).alias("key"))
+
+
+def scoped(requests: DataFrame, registry: DataFrame, unverified: bool = False) -> DataFrame:
+    """``request, op, root, project, scope, reason, gap`` of ``requests(request, op, root)`` to the graph.
+
+    ``registry(ordinal, name, root_path, nodes)`` tells the project of a root: one of its own, or one above it. What is
+    asked of a whole root is refused where only a project above is indexed, for that describes another tree; what is asked of a symbol is
+    answered from it with a gap. Withdrawn ops are refused unless ``unverified``. The first reason counts.
+    """
+    found = state.resolved(requests.select(F.col("root").alias("target")).where("target is not null").distinct(), registry)
+    known = requests.join(found.select(F.col("target").alias("root"), F.col("name").alias("project"), "scope"), "root", "left")
+    above = F.col("scope") == "ancestor"
+    reason = F.when(F.col("project").isNull(), "project-not-indexed").when(~F.coalesce(F.col("op").isin(*GRAPH_OPS), F.lit(False)), "unsupported-op")
+    reason = reason.when(above & F.col("op").isin(*ROOT_SCOPED), "project-not-indexed-standalone").when(F.col("op").isin(*WITHDRAWN) & F.lit(not unverified), "op-withdrawn")
+    return known.withColumn("reason", reason).select("request", "op", "root", "project", "scope", "reason", F.when(F.col("reason").isNull() & above, "ancestor-scope").alias("gap"))
+
+
+def cache_hits(requests: DataFrame, uncached: tuple[str, ...] = state.UNCACHED) -> DataFrame:
+    """``request, hit`` of ``requests(request, us, op, target, engine, root, hash, generation, result)`` in order of time.
+
+    An answer is stored under op, target, engine and root with the hash of the target's contents and the root's generation; it is valid while
+    both are what they were. A request without a result, or of an uncached op, stores nothing, so what was stored before stays and is
+    valid again when contents and generation are. ``result`` is what the engine would say. A window over each key, streamed.
+    """
+    stamp = F.concat_ws(":", F.coalesce("hash", F.sha2(F.coalesce("target", F.lit("")), 256)), F.coalesce("generation", F.lit(0)).cast("string"))
+    stored = F.when(F.col("result").isNotNull(), stamp)
+    key = Window.partitionBy("op", "target", "engine", "root").orderBy("us", "request").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(stored, ignorenulls=True).over(key)
+    return requests.select("request", F.coalesce((held == stamp) & ~F.col("op").isin(*uncached), F.lit(False)).alias("hit"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.storage import cut
 
 REFERENCES = ("CALLS", "USAGE")
+#: Files beyond which candidates of dead code aren't held against the texts. A fixed value.
+VERIFIED_FILES = 6000
 CAP, SHOWN_FAN_IN, FETCHED_FAN_IN, SHOWN_HOT = 50, 30, 40, 25
 
 
@@ -173,6 +175,31 @@ def ambiguous(symbols: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:
     return some.join(ids, "name").select("name", "candidates", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+def chain_answer(symbols: DataFrame, edges: DataFrame, name: str, hops: int, shown: int = 5) -> DataFrame:
+    """``section, place, line``: the call chain of the symbol called ``name``, or its bearers where there are several; no rows without one.
+
+    Of an ambiguous name nothing is traversed: which symbol is meant is the asker's to say. A direction that reaches nothing says so.
+    """
+    bearers = cut(symbols.where(F.col("name") == name).select("id", "name", "file").orderBy("id").limit(shown + 1))  # a few rows
+    n = symbols.where(F.col("name") == name).count()
+    label = F.concat(F.lit("- "), "name", F.lit(" ("), "file", F.lit(") #"), F.col("id").cast("string"))
+    order = Window.orderBy("id")  # of ``shown`` rows at most
+    spark = symbols.sparkSession
+    if n > 1:
+        few = bearers.orderBy("id").limit(shown)
+        head = spark.createDataFrame([("head", 0, f"## Ambiguous symbol '{name}' — candidates")], "section string, place int, line string")
+        return head.unionByName(few.select(F.lit("candidates").alias("section"), F.row_number().over(order).alias("place"), label.alias("line")))
+    if n == 0:
+        return spark.createDataFrame([], "section string, place int, line string")
+    met = cut(chain(edges, bearers.select("id"), hops))
+    named = met.join(symbols.select("id", "name"), "id", "left")
+    line = F.concat(F.lit("- "), F.coalesce("name", F.lit("?")), F.lit(" [hop "), F.col("hop").cast("string"), F.lit("] [risk: "), "risk", F.lit("]"))
+    rows = named.select(F.col("direction").alias("section"), F.col("hop").alias("place"), line.alias("line"))
+    empty = spark.createDataFrame([("callees",), ("callers",)], "section string").join(met.select(F.col("direction").alias("section")).distinct(), "section", "left_anti")
+    head = spark.createDataFrame([("head", 0, f"## Call chain for {name}")], "section string, place int, line string")
+    return head.unionByName(rows).unionByName(empty.select("section", F.lit(0).alias("place"), F.lit("(none)").alias("line"))).where(F.lit(True) if not met.isEmpty() else F.lit(False))
+
+
 def listing(symbols: DataFrame, edges: DataFrame, label: str | None = None, least: int = 0, most: int | None = None, entry: str | None = None, limit: int = 200, kept: DataFrame | None = None) -> DataFrame:
     """``id, name, file, label, complexity, lines, in_degree, out_degree`` of symbols by label and references to them, in order of id.
 
@@ -261,3 +288,28 @@ def code_map(symbols: DataFrame, edges: DataFrame, noise: str, budget: int, show
     fits = F.col("all") <= budget
     some = rows.where((F.col("section") != "ranked") | fits | (F.col("fixed") + F.octet_length(notice) + 1 + F.col("upto") <= budget))
     return some.select("section", "place", "line").unionByName(rows.where(~fits).select(F.lit("notice").alias("section"), F.lit(1).alias("place"), notice.alias("line")).distinct())
+
+
+def deadcode_answer(symbols: DataFrame, edges: DataFrame, noise: str, entry: str | None, words: DataFrame | None, files: int, most: int = VERIFIED_FILES, enabled: bool = False, fetched: int = 200, shown: int = 30) -> DataFrame:
+    """``id, name, file, lines, state``: as ``deadcode``, with how far its candidates were held against the source texts.
+
+    The op is withdrawn: without ``enabled`` there are no rows, for a list of names to delete does harm where it is wrong. Candidates are
+    ``ok`` if all texts were counted; without texts (``words`` is None) they are ``no-root``; of more than ``most`` ``files`` the
+    count would be partial, so candidates stay as they are and are ``capped``.
+    """
+    state = "no-root" if words is None else "capped" if files > most else "ok"
+    rows = deadcode(symbols, edges, noise, entry, words if state == "ok" else None, fetched, shown)
+    return rows.where(F.lit(enabled)).withColumn("state", F.lit(state))
+
+
+def payload_json(symbols: DataFrame, edges: DataFrame, limit: int, noise: str) -> DataFrame:
+    """``json``, one row: the call graph's nodes with their measures and its edges, safe inside a script element.
+
+    At most a few hundred edges are fetched, so the row is bounded.
+    """
+    kept = cut(payload(symbols, edges, limit, noise))
+    nodes = payload_nodes(symbols, edges, kept)
+    node = F.array_sort(F.collect_list(F.struct("id", "name", "file", "complexity", "lines", "in_degree", "out_degree")))
+    link = F.array_sort(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "type")))
+    both = nodes.agg(node.alias("nodes")).withColumn("k", F.lit(0)).join(kept.agg(link.alias("edges")).withColumn("k", F.lit(0)), "k")
+    return both.select(F.replace(F.to_json(F.struct("nodes", "edges")), F.lit("</"), F.lit("<\\/")).alias("json"))

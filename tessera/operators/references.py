@@ -25,6 +25,26 @@ def symbol(definitions: DataFrame, references: DataFrame, name: str, most: int =
     return numbered.select(F.lit("definition").alias("part"), "ordinal", "path", "start", "name_path").unionByName(refs.select(F.lit("reference").alias("part"), "ordinal", "path", F.col("line").alias("start"), "name_path"))
 
 
+def symbol_answers(asked: DataFrame, definitions: DataFrame, references: DataFrame, shown: int = REFERENCES) -> DataFrame:
+    """``request, state, n_definitions, n_references, head, retry_after`` of ``asked(request, name, found, referred, retry_after)``.
+
+    ``found`` and ``referred`` say whether the language server's two replies came at all. Without the first nothing is known of the
+    symbol (``could-not-ask``), which is not that it isn't there (``not-found``). Without the second its references are not
+    retrieved, which is not that there are none: ``n_references`` is null and not 0. ``retry_after`` is passed on only where a reply is missing.
+    """
+    have = definitions.groupBy(F.col("name_path").alias("name")).agg(F.count("*").alias("d"), F.min(F.struct("path", "start", "id")).alias("first"))
+    refs = references.groupBy("id").agg(F.count("*").alias("r"))
+    known = asked.join(have, "name", "left").withColumn("id", F.col("first.id")).join(refs, "id", "left")
+    found, referred = F.coalesce("found", F.lit(False)), F.coalesce("referred", F.lit(False))
+    state = F.when(~found, "could-not-ask").when(F.col("d").isNull(), "not-found").when(~referred, "references-not-retrieved").otherwise("complete")
+    n = F.when(F.col("state").isin("complete"), F.coalesce("r", F.lit(0)))
+    out = known.withColumn("state", state).withColumn("n_references", n)
+    head = F.when(F.col("state") == "complete", F.concat(F.lit("### References ("), F.least("n_references", F.lit(shown)).cast("string"), F.lit(")"))).when(F.col("state") == "references-not-retrieved", "### References (not retrieved)")
+    return out.select(
+        "request", "state", F.when(found, F.coalesce("d", F.lit(0))).alias("n_definitions"), "n_references", head.alias("head"), F.when(~found | ((F.col("state") == "references-not-retrieved")), F.col("retry_after")).alias("retry_after")
+    )
+
+
 def overview(symbols: DataFrame, kind: str) -> DataFrame:
     """``kind, names``: the distinct names of one file by kind, sorted and comma-joined."""
     return symbols.groupBy(F.col(kind).alias("kind")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
