@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import braces
 from tessera.operators import intervals
 from tessera.storage import cut
 
 WINDOW, STRIDE, CAP, CHARS = 20, 10, 500, 200_000
-SYNTAX = (".py",)
+SYNTAX = "(" + "|".join(re.escape(e) for e in (".py", *(e for ends in braces.FAMILIES.values() for e in ends))) + ")$"
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -71,7 +73,7 @@ def covered(definitions: list[tuple[int, int]], n: int, window: int, stride: int
 def _syntax_spans(window: int, stride: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            spans = [[{"start": a, "end": b} for a, b in covered(definitions_of(text, n), n, window, stride)] for text, n in zip(f["text"], f["lines"].map(len))]
+            spans = [[{"start": a, "end": b} for a, b in covered(definitions_of(text, n, path), n, window, stride)] for text, n, path in zip(f["text"], f["lines"].map(len), f["path"])]
             yield f.drop(columns="text").assign(spans=spans)
 
     return run
@@ -80,12 +82,12 @@ def _syntax_spans(window: int, stride: int):
 def chunks(files: DataFrame, window: int = WINDOW, stride: int = STRIDE, cap: int = CAP, chars: int = CHARS, strategy: str = "syntax") -> DataFrame:
     """``project, path, start, chunk_id, content_hash, content`` of ``files(project, path, lines, closed)``.
 
-    By the strategy ``syntax`` Python files are cut at their definitions (one pass, no shuffle), all others and those
-    that don't parse by line windows; by ``lines`` all are windowed. The cap counts all spans of a file, also those
+    By the strategy ``syntax`` files of Python and of the brace languages are cut at their definitions (one pass, no shuffle), all others
+    and those that don't parse by line windows; by ``lines`` all are windowed. The cap counts all spans of a file, also those
     that are dropped for holding no letter.
     """
     files = files.select("project", "path", "lines", "closed")
-    is_code = F.lit(strategy == "syntax") & F.coalesce(F.lower("path").endswith(SYNTAX[0]), F.lit(False))
+    is_code = F.lit(strategy == "syntax") & F.coalesce(F.lower("path").rlike(SYNTAX), F.lit(False))
     plain = files.where(~is_code).withColumn("spans", spans_between(F.lit(0), F.size("lines"), window, stride))
     if strategy == "syntax":
         code = files.where(is_code).withColumn("text", F.concat(F.array_join("lines", "\n"), F.lit("\n")))
@@ -215,20 +217,27 @@ def python_definitions(source: str, n: int) -> list[tuple[int, int]]:
     return sorted((a, min(b, n)) for a, b in out if a < min(b, n))
 
 
-def definitions_of(source: str, n: int) -> list[tuple[int, int]]:
-    """As ``python_definitions``; text that doesn't parse has none, so windows cover it."""
+def definitions_of(source: str, n: int, path: str = ".py") -> list[tuple[int, int]]:
+    """The spans of a file's definitions by its ending; text that doesn't parse has none, so windows cover it."""
+    if family := braces.family_of(path):
+        return braces.definitions(source, family, n)
     try:
         return python_definitions(source, n)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
 
 
-def python_spans(files: DataFrame) -> DataFrame:
-    """``path, start, end`` of the definitions in Python ``files(path, text, n)``."""
+def definition_spans(files: DataFrame) -> DataFrame:
+    """``path, start, end`` of the definitions in ``files(path, text, n)``, by the ending of each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(path, a, b) for path, text, n in zip(f["path"], f["text"], f["n"]) for a, b in definitions_of(text, n)]
+            rows = [(path, a, b) for path, text, n in zip(f["path"], f["text"], f["n"]) for a, b in definitions_of(text, n, path)]
             yield pd.DataFrame(rows, columns=["path", "start", "end"])
 
     return files.select("path", "text", "n").mapInPandas(run, "path string, start int, end int")
+
+
+def python_spans(files: DataFrame) -> DataFrame:
+    """``path, start, end`` of the definitions in Python ``files(path, text, n)``, whatever they are called."""
+    return definition_spans(files.withColumn("path", F.concat("path", F.lit(".py")))).withColumn("path", F.expr("substring(path, 1, length(path) - 3)"))

@@ -99,7 +99,20 @@ def _syntax_chunks(spark, d):
     return chunking.chunks(_python_files(spark, d), 4, 2, 40).select("path", "start", F.length("content").alias("chars"), "content_hash")
 
 
+def _brace_files(spark, d):
+    """Suppliers as files of five languages: an import, some functions with quoted braces, a class with a member; every tenth has a brace too many."""
+    k = F.col("s_suppkey")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("function f", "func f", "fn f", "void f", "int f")]), (k % 5 + 1).cast("int"))
+    end = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".go", ".rs", ".java", ".cpp")]), (k % 5 + 1).cast("int"))
+    body = lambda j: F.repeat(F.lit('    y("}{"); // }\n'), ((k + j) % 6 + 1).cast("int"))
+    functions = F.array_join(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda j: F.concat(word, j.cast("string"), F.lit("(a) {\n"), body(j), F.lit("}\n"))), "")
+    text = F.concat(F.lit("import x;\n"), functions, F.when(k % 5 == 0, "class C {\n  m() {\n    return '}';\n  }\n}\n").otherwise(""), F.when(k % 10 == 3, "{\n").otherwise(""))
+    docs = table(spark, d, "supplier").select(F.lit("p").alias("project"), F.concat(F.lit("s"), k.cast("string"), end).alias("path"), text.alias("text"))
+    return text_lines(docs).withColumn("closed", F.lit(True)).withColumn("n", F.size("lines"))
+
+
 QUERIES = {
+    "brace_spans": lambda s, d: chunking.definition_spans(_brace_files(s, d)),
     "line_windows": lambda s, d: chunking.windows(files(s, d).select("path", "lines"), 10, 10).select("path", "start", "end"),
     "cover_running_max": _cover,
     "chunk_substance_cap": lambda s, d: _chunks(s, d, window=4, stride=2, cap=5).select("path", "start", F.length("content").alias("chars")),
@@ -174,6 +187,10 @@ _PY = """y AS (SELECT s_suppkey AS k, 's' || s_suppkey || CASE WHEN s_suppkey %
   c AS (SELECT k, path, max(s + own + 1) AS s FROM l GROUP BY k, path), sp AS (SELECT k, path, s, s + own AS e FROM l UNION ALL SELECT k, path, s, s + 4 FROM c UNION ALL SELECT k, path, s + 4, s + 6 FROM c)"""
 
 ORACLES = {
+    "brace_spans": """WITH f AS (SELECT s_suppkey AS k, 's' || s_suppkey || ['.ts', '.go', '.rs', '.java', '.cpp'][s_suppkey % 5 + 1] AS path FROM supplier WHERE s_suppkey % 10 <> 3),
+      j AS (SELECT k, path, unnest(range(0, k % 4 + 1)) AS j FROM f), l AS (SELECT *, (k + j) % 6 + 3 AS n FROM j), s AS (SELECT *, 1 + sum(n) OVER (PARTITION BY k ORDER BY j) - n AS start FROM l),
+      t AS (SELECT k, path, max(start + n) AS start FROM s WHERE k % 5 = 0 GROUP BY k, path), a AS (SELECT path, start, start + n AS stop FROM s UNION ALL SELECT path, start, start + 1 FROM t UNION ALL SELECT path, start + 1, start + 4 FROM t)
+      SELECT path, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM a""",
     "python_spans": f"""WITH {_PY} SELECT path, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM sp WHERE k % 10 <> 0""",
     "syntax_chunks": f"""WITH {_PY}, t AS (SELECT y.path, y.k, head || chr(10) || chr(10) || string_agg('def f' || j || '():' || chr(10) || repeat('    y = 1' || chr(10), CAST(own - 1 AS BIGINT)) || chr(10), '' ORDER BY j)
         || '@wrap' || chr(10) || 'class C:' || chr(10) || '    z = 1' || chr(10) || chr(10) || '    def g(self):' || chr(10) || '        return 2' || chr(10) AS t FROM y JOIN l ON l.k = y.k GROUP BY y.path, y.k, head),
