@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths
 from tessera.operators import state
+from tessera.storage import cut, join_hot
 
 # Engines that fan out, and those that may be asked for.
 FAN_OUT = {"both": ("graph", "lsp"), "all": ("graph", "lsp", "semantic")}
@@ -23,6 +24,10 @@ WITHDRAWN = ("deadcode",)
 SPARE_AFTER = ("engine-unavailable", "project-not-indexed")
 #: Seconds for which a failed session isn't tried again, and between two looks for missing engines.
 COOLDOWN, REPROBE = 60, 30
+#: Seconds for which a project that isn't there is remembered so. A fixed value.
+MISSED = 30
+#: Microseconds after which what is settled for good would be asked again: never.
+_NEVER = 1 << 60
 
 
 def refused(requests: DataFrame, rules: DataFrame, roots: DataFrame) -> DataFrame:
@@ -114,3 +119,39 @@ def cache_hits(requests: DataFrame, uncached: tuple[str, ...] = state.UNCACHED)
     key = Window.partitionBy("op", "target", "engine", "root").orderBy("us", "request").rowsBetween(Window.unboundedPreceding, -1)
     held = F.last(stored, ignorenulls=True).over(key)
     return requests.select("request", F.coalesce((held == stamp) & ~F.col("op").isin(*uncached), F.lit(False)).alias("hit"))
+
+
+def lookups(requests: DataFrame, seconds: int = MISSED) -> DataFrame:
+    """``event_id, root, asked, answer`` of ``requests(event_id, root, us, outcome)``: who asks the backend for a root's project, and what each is told.
+
+    ``outcome`` is what the backend would say: ``ok``, ``missing``, or nothing it can be held to (``unreachable``). A project that was found is
+    kept; one that is missing is remembered for ``seconds``; a failure is no miss and is not remembered, so the next request asks again.
+    """
+    micros = seconds * 1_000_000
+    lasts = F.when(F.col("outcome") == "ok", F.lit(_NEVER)).when(F.col("outcome") == "missing", F.lit(micros)).otherwise(F.lit(1))
+    told = state.debounced(requests.withColumn("lasts", lasts), 1, "lasts")
+    return _from_starter(told, requests.select("event_id", "outcome"), "outcome").select(
+        "event_id", "root", F.col("fired").alias("asked"), F.when(F.col("outcome") == "ok", "ok").when(F.col("outcome") == "missing", "not-indexed").otherwise("backend-unreachable").alias("answer")
+    )
+
+
+def sessions(requests: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
+    """``event_id, root, started, state`` of ``requests(event_id, root, us, took, ok)`` to a server that has to warm up.
+
+    A request without a session starts one, which warms up for its ``took`` microseconds and then is ready for good if ``ok``. If not it has failed,
+    and for ``seconds`` after that no other is started: a request in that time is told so (``cooling``). The next one starts anew.
+    """
+    lasts = F.when(F.col("ok"), F.lit(_NEVER)).otherwise(F.col("took") + seconds * 1_000_000)
+    told = state.debounced(requests.withColumn("lasts", lasts.cast("long")), 1, "lasts")
+    known = _from_starter(told, requests.select("event_id", "took", "ok"), "took", "ok")
+    state_ = F.when(F.col("us") < F.col("last_fired") + F.col("took"), "warming").when(F.col("ok"), "ready").otherwise("cooling")
+    return known.select("event_id", "root", F.col("fired").alias("started"), state_.alias("state"))
+
+
+def _from_starter(told: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``told``, the outcome of ``state.debounced``, with ``columns`` of the event that fired last; a starter that very many hang on is broadcast."""
+    key = F.concat_ws(":", "root", "last_fired")
+    keyed = cut(told.withColumn("key__", key))
+    counts = keyed.groupBy("key__").agg(F.count("*").alias("n__"))
+    starters = keyed.where("fired").select("event_id", "key__").join(rows, "event_id").join(counts, "key__").select("key__", "n__", *columns)
+    return join_hot(keyed, cut(starters), "key__", "n__", keyed.count(), *columns)

@@ -49,6 +49,21 @@ def callees(symbols: DataFrame, edges: DataFrame, name: str, cap: int = CAP) ->
     return found.select("src", "dst", "to_name", "to_file", "type", reason.alias("dropped"))
 
 
+def callees_answer(symbols: DataFrame, edges: DataFrame, names: list[str], cap: int = CAP) -> DataFrame:
+    """``name, n, dropped, line, gap, reason``: a row a name: how many callees are shown, and what the answer lacks.
+
+    Callees that are dropped as collisions of names are a gap; where all were, the answer is empty by that filter and not because nothing is
+    called, and says so. Only a name without any row is not in the graph.
+    """
+    asked = symbols.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    told = reduce(DataFrame.unionByName, [callees(symbols, edges, n, cap).select(F.lit(n).alias("name"), "dropped") for n in names])
+    n = told.groupBy("name").agg(F.count_if(F.col("dropped") == "").alias("n"), F.count_if(F.col("dropped") != "").alias("dropped"))
+    rows = asked.join(n, "name", "left").withColumn("there", F.col("n").isNotNull()).fillna(0, ["n", "dropped"])
+    none = F.when(F.col("n") == 0, "\n(no callee survived name-collision filtering)").otherwise("")
+    head = F.concat(F.lit("## Callees of "), "name", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), none)
+    return rows.select("name", "n", "dropped", F.when(F.col("there"), head).alias("line"), F.when(F.col("dropped") > 0, "name-collisions-dropped").alias("gap"), F.when(~F.col("there"), "not-in-graph").alias("reason"))
+
+
 def impact(symbols: DataFrame, edges: DataFrame, name: str, cap: int = CAP) -> DataFrame:
     """Callers and real callees in one result with a direction."""
     up = callers(symbols, edges, name, cap).select(F.lit("callers").alias("direction"), "src", "dst", "type")

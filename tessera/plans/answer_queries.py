@@ -64,7 +64,21 @@ def _json(spark, d):
     return got.select("json", F.sha2("json", 256).alias("sha"))
 
 
+def _lookups(spark, d):
+    outcome = F.element_at(F.array(F.lit("missing"), F.lit("unreachable"), F.lit("missing"), F.lit("ok")), (F.col("event_id") % 4 + 1).cast("int"))
+    return gateway.lookups(requests(spark, d).select("event_id", "root", "us", outcome.alias("outcome")), 86_400)
+
+
+def _sessions(spark, d):
+    rows = requests(spark, d).select("event_id", "root", "us", F.round(F.greatest("latency", F.lit(0.0)) * 600_000_000).cast("long").alias("took"), (F.col("event_id") % 5 == 0).alias("ok"))
+    return gateway.sessions(rows, 43_200)
+
+
+COLLIDING = ["red widget", "blue widget", "large gear", "no such name"]
 QUERIES = {
+    "project_lookups": _lookups,
+    "session_states": _sessions,
+    "callees_answer": lambda s, d: graph.callees_answer(symbols(s, d), edges(s, d), COLLIDING),
     "scope_gate": _scoped(False),
     "scope_gate_unverified": _scoped(True),
     "cache_validity": _hits,
@@ -91,7 +105,21 @@ _CANDIDATES = f"""{ALL}, {D}, z AS (SELECT y.* REPLACE ('n' || (y.id % 50) AS na
 _named = lambda where, state: f"{_CANDIDATES} SELECT id, name, file, lines, '{state}' AS state FROM k WHERE {where} ORDER BY lines DESC, id LIMIT 30"
 _VERIFIED = "name NOT IN (SELECT w.name FROM w JOIN (SELECT name, count(*) AS defined FROM k GROUP BY name) x ON x.name = w.name WHERE used > defined)"
 
+_lasting = lambda lasts: f"""WITH RECURSIVE {_Q}, m AS (SELECT event_id, root, us, CASE event_id % 4 WHEN 1 THEN 'unreachable' WHEN 3 THEN 'ok' ELSE 'missing' END AS outcome, CAST(round(greatest(latency, 0) * 600000000) AS BIGINT) AS took, event_id % 5 = 0 AS ok FROM q),
+  n AS (SELECT *, {lasts} AS lasts, row_number() OVER (PARTITION BY root ORDER BY us, event_id) AS k FROM m),
+  f AS (SELECT event_id, root, us, k, true AS fired, us + greatest(lasts, 1) AS ready, us AS began, outcome, took, ok FROM n WHERE k = 1 UNION ALL
+    SELECT n.event_id, n.root, n.us, n.k, n.us >= ready, CASE WHEN n.us >= ready THEN n.us + greatest(n.lasts, 1) ELSE ready END, CASE WHEN n.us >= ready THEN n.us ELSE began END,
+      CASE WHEN n.us >= ready THEN n.outcome ELSE f.outcome END, CASE WHEN n.us >= ready THEN n.took ELSE f.took END, CASE WHEN n.us >= ready THEN n.ok ELSE f.ok END FROM f JOIN n ON n.root = f.root AND n.k = f.k + 1)"""
+_asked = " UNION ALL ".join(f"SELECT '{n}' AS name" for n in ("red widget", "blue widget", "large gear", "no such name"))
+
 ORACLES = {
+    "project_lookups": _lasting("CASE event_id % 4 WHEN 3 THEN 1152921504606846976 WHEN 1 THEN 1 ELSE 86400000000 END")
+    + " SELECT event_id, root, fired AS asked, CASE outcome WHEN 'ok' THEN 'ok' WHEN 'missing' THEN 'not-indexed' ELSE 'backend-unreachable' END AS answer FROM f",
+    "session_states": _lasting("CASE WHEN ok THEN 1152921504606846976 ELSE took + 43200000000 END") + " SELECT event_id, root, fired AS started, CASE WHEN us < began + took THEN 'warming' WHEN ok THEN 'ready' ELSE 'cooling' END AS state FROM f",
+    "callees_answer": f"""{ALL}, asked AS ({_asked}), c AS (SELECT a.name, b.non_code OR (a.family <> '' AND b.family <> '' AND a.family <> b.family) AS lost, row_number() OVER (PARTITION BY a.name ORDER BY src, dst, type) AS k FROM r JOIN y a ON a.id = r.src JOIN y b ON b.id = r.dst),
+      n AS (SELECT asked.name, count(k) FILTER (WHERE NOT lost) AS n, count(k) FILTER (WHERE lost) AS dropped, count(k) > 0 AS there FROM asked LEFT JOIN c ON c.name = asked.name AND k <= 50 GROUP BY asked.name)
+      SELECT name, n, dropped, CASE WHEN there THEN '## Callees of ' || name || ' (' || n || ')' || CASE WHEN n = 0 THEN chr(10) || '(no callee survived name-collision filtering)' ELSE '' END END AS line,
+        CASE WHEN dropped > 0 THEN 'name-collisions-dropped' END AS gap, CASE WHEN NOT there THEN 'not-in-graph' END AS reason FROM n""",
     "scope_gate": _scope(False),
     "scope_gate_unverified": _scope(True),
     "cache_validity": f"""WITH {_Q}, r AS (SELECT event_id AS request, us, ['callers', 'overview', 'changed', 'search'][event_id % 4 + 1] AS op, 'p' || (root % 40) AS target,

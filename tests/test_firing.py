@@ -68,3 +68,14 @@ def test_a_pass_in_flight(spark):
     df = spark.createDataFrame(rows, "event_id long, root long, us long, lasts long")
     got = {r["event_id"]: r["reindexing"] for r in state.reindexing(df, 10, "lasts", width=16).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: False}
+
+
+def test_sessions_and_lookups(spark):
+    from tessera.operators import gateway
+
+    rows = [(1, 5, 0, 10, False), (2, 5, 9, 1, True), (3, 5, 10, 1, True), (4, 5, 10 + 60_000_000 - 1, 1, True), (5, 5, 10 + 60_000_000, 7, True), (6, 5, 10 + 60_000_006, 1, False), (7, 5, 10 + 60_000_007, 1, False), (8, 6, 3, 2, True)]
+    got = {r["event_id"]: (r["started"], r["state"]) for r in gateway.sessions(spark.createDataFrame(rows, "event_id long, root long, us long, took long, ok boolean")).collect()}
+    assert got == {1: (True, "warming"), 2: (False, "warming"), 3: (False, "cooling"), 4: (False, "cooling"), 5: (True, "warming"), 6: (False, "warming"), 7: (False, "ready"), 8: (True, "warming")}
+    asks = [(1, 5, 0, "unreachable"), (2, 5, 1, "missing"), (3, 5, 2, "ok"), (4, 5, 30_000_001, "ok"), (5, 5, 99_000_000, "missing"), (6, 6, 0, None), (7, 6, 5, "ok")]
+    told = {r["event_id"]: (r["asked"], r["answer"]) for r in gateway.lookups(spark.createDataFrame(asks, "event_id long, root long, us long, outcome string")).collect()}
+    assert told == {1: (True, "backend-unreachable"), 2: (True, "not-indexed"), 3: (False, "not-indexed"), 4: (True, "ok"), 5: (False, "ok"), 6: (True, "backend-unreachable"), 7: (True, "ok")}
