@@ -155,10 +155,19 @@ _CATALOGUES = (
     f"WITH {_sql_files(where=STORED, name='fo')}, {_sql_files('CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, CAST(length(text) // 2 AS BIGINT)) ELSE text END', PRODUCED, 'fn')}, {_sql_chunks('fo', 'old')}, {_sql_chunks('fn', 'new')}, "
     f"live AS (SELECT 'doc' || doc_id AS path FROM documents WHERE {LIVE})"
 )
-_TOP = f"array_to_string(string_split(substr(text, 1, {paths.SAMPLE}), chr(10))[1:{paths.BANNER_LINES}], chr(10))"
+# Fixed values, written here anew so that a wrong one in the engine shows: a generator's banner, and names of generated files.
+_BANNER = (
+    r"(?i)(@generated\b|\bcode generated by\b|\bgenerated by\b.{0,40}\bdo not edit\b|\bautogenerated\b|\bauto-generated\b|\bdo not edit\b.{0,40}\bgenerated\b"
+    r"|\bthis file (was|is) automatically generated\b)"
+)
+_GENERATED_NAME = (
+    r"^(.*\.min\.(js|css|mjs|cjs)|.*[.\-_]bundle\.(js|css|mjs|cjs)|.*\.pb\.(go|cc|h|py)|.*_pb2(_grpc)?\.pyi?|.*_pb\.(js|ts)|.*\.generated\.[a-z0-9]+|.*\.g\.(dart|cs|kt)"
+    r"|.*\.designer\.cs|.*\.d\.ts|.*\.(map|lock)|(package-lock|yarn|pnpm-lock|composer|poetry|cargo|gemfile)\.(json|lock|yaml))$"
+)
+_TOP = "array_to_string(string_split(substr(text, 1, 8192), chr(10))[1:40], chr(10))"
 _GENERATED_TEXT = (
-    f"(regexp_matches({_TOP}, '{paths.BANNER}') OR list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > {paths.LONG_LINE} "
-    f"OR (length(text) > {paths.LARGE} AND length(text) / len(string_split(text, chr(10))) > {paths.LARGE_MEAN}))"
+    f"(regexp_matches({_TOP}, '{_BANNER}') OR list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 2000 "
+    f"OR (length(text) > 50000 AND length(text) / len(string_split(text, chr(10))) > 200))"
 )
 _PATHS = f"p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', '') || ({list(ENDS)!r})[page_id % {len(ENDS)} + 1] AS path FROM pages)"
 # Fixed values, written here a second time, so that a slip in the operators' lists shows.
@@ -176,7 +185,7 @@ _FAMILY = """CASE WHEN ext IN ('.py', '.pyi', '.pyx') THEN 'python' WHEN ext IN
   WHEN ext = '.php' THEN 'php' WHEN ext IN ('.java', '.kt', '.scala') THEN 'jvm' WHEN ext IN ('.c', '.h', '.cc', '.cpp', '.hpp') THEN 'c-cpp' WHEN ext = '.cs' THEN 'dotnet' WHEN ext = '.swift' THEN 'swift' WHEN ext IN ('.sh', '.bash') THEN 'shell' ELSE '' END"""
 _PARTED = f"""{_PATHS}, s AS (SELECT page_id, path, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS seg FROM p),
   b AS (SELECT *, coalesce(seg[-1], '') AS base, seg[:-2] AS dirs FROM s), x AS (SELECT *, regexp_extract(base, '[^.].*?(\\.[^.]*)$', 1) AS ext FROM b),
-  g AS (SELECT *, len(list_filter(dirs, lambda q: q IN {_GENERATED_DIRS} OR starts_with(q, 'bazel-') OR starts_with(q, 'cmake-build-'))) > 0 OR regexp_matches(base, '{paths.GENERATED_NAME}') AS generated,
+  g AS (SELECT *, len(list_filter(dirs, lambda q: q IN {_GENERATED_DIRS} OR starts_with(q, 'bazel-') OR starts_with(q, 'cmake-build-'))) > 0 OR regexp_matches(base, '{_GENERATED_NAME}') AS generated,
     ext IN {_PROSE_EXTS} OR len(list_filter({_PROSE_PARTS}, lambda q: contains('/' || ltrim(lower(path), '/'), q))) > 0 AS prose FROM x)"""
 _RAW = "'/private/home/alice' || path || ' home-alice.pkg.fn /home/alice/x'"
 _RED = f"replace(replace(replace({_RAW}, '/private/home/alice', '~'), '/home/alice', '~'), 'home-alice', '<home>')"
@@ -224,7 +233,7 @@ ORACLES = {
     "next_chunk_start": f"WITH {_sql_files()}, {_sql_chunks()} SELECT path, start, lead(start) OVER (PARTITION BY path ORDER BY start) AS next FROM c",
     "pattern_lines": f"""WITH {_sql_files()}, l AS (SELECT path, unnest(lines) AS line, unnest(range(1, n + 1)) AS i FROM f)
       SELECT path, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS lines FROM l WHERE regexp_matches(line, '{THE}') GROUP BY path""",
-    "generated_text_flags": f"SELECT doc_id, NOT contains(substr(text, 1, {paths.SAMPLE}), chr(10)) AS one_line, {_GENERATED_TEXT} AS generated_text, NOT contains(substr(text, 1, {paths.SAMPLE}), chr(10)) OR {_GENERATED_TEXT} AS generated_file FROM documents",
+    "generated_text_flags": f"SELECT doc_id, NOT contains(substr(text, 1, 8192), chr(10)) AS one_line, {_GENERATED_TEXT} AS generated_text, NOT contains(substr(text, 1, 8192), chr(10)) OR {_GENERATED_TEXT} AS generated_file FROM documents",
     "path_flags": f"""WITH {_PARTED}, h AS (SELECT *, ext IN {_CODE_EXTS} AND NOT prose AND NOT generated AS code, generated OR len(list_filter(dirs, lambda q: q IN {_ARCHIVE_DIRS})) > 0 AS archived,
       regexp_matches(path, '(^|/)tests?/') OR regexp_matches(base, '^test_|_test\\.py$|^conftest\\.py$') AS test FROM g)
       SELECT page_id, generated, path <> '' AND prose AS prose, code, archived, test, path = '' OR starts_with(path, '<') OR test OR archived AS noise, {_FAMILY} AS family, ext IN {_NON_CODE_EXTS} AS non_code, ext FROM h""",
