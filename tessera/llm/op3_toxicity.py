@@ -7,14 +7,15 @@ the target transducer marks insults in a clause with a target, the negation tran
 a negation, the reporting transducer marks events after a reporting verb. They are composed once into one
 deterministic machine.
 
-Scores come from matched clauses. A clause's score is the sum over its kinds of event of weight * log2(1 + events),
-so the second insult of a clause adds less than the first. A text's score is the logistic of a base, of its clauses'
-amounts by kind (log2(1 + their sum), so further clauses add less and less) and of how dense plain and doubtful
-insults are among its words. So "You idiot. You moron. You scum." scores higher than "You idiot moron scum."
+Scores come from matched clauses alone. A clause's amount of a kind of event is log2(1 + events), so the second insult of a
+clause adds less than the first; its score (``clause_score``) is the sum of weight * amount. A text's score is the logistic of a
+base, of its clauses' amounts by kind (log2(1 + their sum), so further clauses add less and less), and of the mean amount of plain and of
+doubtful insults over all its clauses, matched or not: how much of the text its matched clauses make up. No word counts
+outside its clause. So "You idiot. You moron. You scum." scores higher than "You idiot moron scum."
 
 Learned from labels: the insult lexicon is extended by word stems that are nearly sure signs of label 1 in
 varied contexts (copies of one passage don't count as variety); stems that clean texts hold too, but only now and
-then, become doubtful insults, which count by density. Event weights come from logistic regression with the grammar's
+then, become doubtful insults, which count by the share of clauses that hold them. Event weights come from logistic regression with the grammar's
 hand-set weights as prior, so patterns that the labels never show keep their meaning.
 
 Bounds: ``TRAIN_ROWS`` labelled rows (by a hash of the id), ``STEMS`` learned stems. Stem counts are
@@ -156,7 +157,7 @@ EVENTS = tuple(f"{e}{n}{r}" for e in ("i", "it", "vt", "w") for n in ("", "n") f
 #: Hand-set weights, the prior of the learned ones: a negated or reported event hardly counts.
 PRIOR = {"i": 4.0, "it": 5.0, "vt": 4.0, "w": 0.5}
 NEGATED, REPORTED, BASE = 0.2, 0.5, -3.0
-#: Kinds whose density among the words counts, and the prior weight of that.
+#: Kinds whose mean amount over the clauses counts, and the prior weight of that.
 DENSE, DENSITY = (("i", "it"), ("w",)), 0.0
 WIDTH = len(EVENTS) + len(DENSE) + 1
 
@@ -216,18 +217,18 @@ class Grammar:
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """For each kind of event the amount over the clauses, the densities, and 1."""
+        """For each kind of event the amount over the clauses, then the mean amounts over all clauses, and 1."""
         tokens = self._tokens(text)
         found = self._events(tokens)
         if not found:
             return [0.0] * (WIDTH - 1) + [1.0]
-        amount, n = dict.fromkeys(EVENTS, 0.0), dict.fromkeys(EVENTS, 0)
+        amount = dict.fromkeys(EVENTS, 0.0)
         for clause in found:
             for e in set(clause):
                 amount[e] += log2(1 + clause.count(e))
-                n[e] += clause.count(e)
-        words = sum(t not in self.stops for t in tokens)
-        return [*[log2(1 + x) for x in amount.values()], *[log2(1 + 100 * sum(n[e] for e in kinds) / words) for kinds in DENSE], 1.0]
+        clauses = sum(t not in self.stops and (k == 0 or tokens[k - 1] in self.stops) for k, t in enumerate(tokens))
+        mean = lambda kinds: sum(log2(1 + sum(map(c.count, kinds))) for c in found) / clauses
+        return [*[log2(1 + x) for x in amount.values()], *[log2(1 + 100 * mean(kinds)) for kinds in DENSE], 1.0]
 
 
 def clause_score(events: list[str], weights: np.ndarray) -> float:

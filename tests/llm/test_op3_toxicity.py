@@ -51,13 +51,13 @@ def test_scores_come_from_clauses():
     assert score("You idiot. You moron. You scum.") > score("You idiot moron scum.") > score("You idiot.") > score("You rest.")
     assert score("You are not an idiot.") < score("He said you are an idiot.") < score("You are an idiot.")
     assert op.clause_score(["it", "it", "vtn"], w) == pytest.approx(w[op.EVENTS.index("it")] * np.log2(3) + w[op.EVENTS.index("vtn")])
-    for t in ("You idiot moron scum. I will kill you! A fool", "you idiot", "fine words"):  # one clause: the clause's score, the density and the base
+    for t in ("You idiot moron scum. I will kill you! A fool", "you idiot", "fine words"):  # one clause: the clause's score, the mean and the base
         parts = [op.clause_score(c, w) for c in g.events(t)]
         assert len(parts) != 1 or score(t) <= sum(parts) + op.BASE + 1e-9
-    assert g.features("a " * 5000 + "idiot")[-3] < g.features("a " * 20 + "idiot")[-3]
+    assert g.features("a. " * 5000 + "idiot")[-3] < g.features("a. " * 20 + "idiot")[-3]  # one clause of many, however long they are
 
 
-def test_doubtful_stems_count_by_density(spark):
+def test_doubtful_stems_are_learned_where_they_are_dense(spark):
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
     make = lambda k: " ".join([*(f"zorgle{word()}" for _ in range(k)), *(word() for _ in range(150))])
@@ -119,3 +119,22 @@ def test_stems_need_varied_contexts(spark):
     stems = op.learned_stems(spark.createDataFrame(rows, "y int, text string"), 80, 80, 0.5)
     stems = [*stems[0], *stems[1]]
     assert "badstem" in stems and not any(s.startswith(("copied", "onlyher", "passage")) for s in stems)
+
+
+def test_features_are_of_clauses():
+    """Against a plain loop: amounts by kind over the matched clauses, and mean amounts over all clauses; words outside clauses don't matter."""
+    import re
+    from math import log2
+
+    machine = op.Grammar(["blarg"], ["snor"])
+    texts = ["You blarg idiot. Fine day here! Not a moron; he said: scum", "snorfle snorty. a b c. snor", "nothing at all", "", "You idiot " + "and so on " * 40 + ". ok"]
+    for text in texts:
+        clauses = [c for c in re.split(r"[.!?;:\n]", text.lower()) if re.search(r"[^\W\d_]", c)]
+        found = [e for e in (machine._run(re.findall(r"[^\W\d_]+", c)) for c in clauses) if e]
+        want = [log2(1 + sum(log2(1 + c.count(e)) for c in found)) for e in op.EVENTS]
+        want += [log2(1 + 100 * sum(log2(1 + sum(c.count(e) for e in kinds)) for c in found) / max(1, len(clauses))) for kinds in op.DENSE]
+        assert machine.features(text) == pytest.approx([*want, 1.0])
+        score = sum(op.clause_score(c, op.prior()) for c in found)
+        assert (score > 0) == bool(found)
+    longer = machine.features("You idiot. ok " + "word " * 500)
+    assert longer == machine.features("You idiot. ok")  # the length of a clause is nothing
