@@ -5,7 +5,8 @@ among its children by weight, no child getting more than it can supply (its toke
 summed over its leaves). What a child cannot supply goes to its siblings by weight; since a node's supply is
 the sum of its children's, a shortage reaches an ancestor's siblings only once all siblings are full. The
 water level of a sibling group has a closed form on the group sorted by supply per weight; it is sought over steps of that
-ratio, so siblings are never sorted in one task but for those next to the level. All arithmetic is on integers.
+ratio, so siblings are never sorted in one task but for those next to the level; only of trees with at most ``SMALL`` leaves, counted,
+are siblings simply put in order, with the same result. All arithmetic is on integers.
 
 A leaf's budget is spent on seeded epochs: whole passes first, then a token-prefix of the pass in which the
 documents are ordered by md5(seed:epoch:id). The prefix is found in steps: tokens are summed by the next two
@@ -25,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, join_counted, join_hot
+from .shared import BROADCAST_ROWS, cut, join_counted, join_hot
 
 SEED, EPOCHS = 17, 3
 #: Rounds of two hex digits that narrow a leaf down to the bucket in which its budget ends.
 ROUNDS = 2
 #: Steps of supply per weight to a doubling, and slices of a group of rows that share place and length.
 STEPS, SLICES = 64, 256
+#: Leaves of a tree whose sibling groups are put in order as they are.
+SMALL = BROADCAST_ROWS
 #: Fixed target weights of the registered query: domains as ``domain_of`` names them.
 WEIGHTS = {"web": 3, "reference": 2, "web/en": 4, "reference/en": 3}
 LEVELS = ("domain", "language", "source")
@@ -87,10 +90,32 @@ def _levels_of_water(nodes: DataFrame) -> DataFrame:
     return cut(outer.join(inner, "parent", "left").select("parent", "kids", big(F.col("out_s") + F.coalesce("in_s", F.lit(0))).alias("used"), big(F.col("out_w") + F.coalesce("in_w", F.lit(0))).alias("open_w")))
 
 
+def _ordered_budgets(leaves: DataFrame, weights: dict[str, int], given: Column) -> DataFrame:
+    """``budgets`` of a small tree: siblings in order of supply per weight, level by level, without a job in between."""
+    big = lambda x: x.cast("decimal(38,0)")
+    nodes, above = leaves, None
+    for k, level in enumerate(LEVELS):
+        done = list(LEVELS[: k + 1])
+        nodes = leaves.groupBy(*done).agg(big(F.sum("supply")).alias("s")).withColumn("w", _weight(weights, F.concat_ws("/", *done)))
+        nodes = nodes.withColumn("b", given) if above is None else nodes.join(above, done[:-1])
+        group = Window.partitionBy(*(done[:-1] or [F.lit(0)]))
+        upto = group.orderBy(F.col("s").cast("double") / F.col("w").cast("double"), *done).rowsBetween(Window.unboundedPreceding, 0)
+        open_w = big(F.sum("w").over(group)) - big(F.sum("w").over(upto)) + F.col("w")
+        nodes = nodes.withColumn("filled", (F.col("b") - big(F.sum("s").over(upto)) + F.col("s")) * F.col("w") >= F.col("s") * open_w)
+        nodes = nodes.withColumn("used", big(F.sum(F.when(F.col("filled"), F.col("s")).otherwise(0)).over(group))).withColumn("open_w", big(F.sum(F.when(F.col("filled"), F.lit(0)).otherwise(F.col("w"))).over(group)))
+        share = F.expr("cast(((b - used) * w) div open_w as decimal(38,0))")
+        nodes = nodes.select(*done, big(F.when(F.col("filled"), F.col("s")).otherwise(F.least(F.col("s"), share))).alias("budget"))
+        above = nodes.withColumnRenamed("budget", "b")
+    return nodes
+
+
 def budgets(leaves: DataFrame, weights: dict[str, int], total: Column, epochs: int = EPOCHS) -> DataFrame:
     """``leaves(domain, language, source, tokens)`` with ``budget``, the tokens that each may spend."""
-    leaves = leaves.withColumn("supply", (F.col("tokens") * epochs).cast("decimal(38,0)"))
+    leaves = cut(leaves.withColumn("supply", (F.col("tokens") * epochs).cast("decimal(38,0)")))
     given = total.cast("decimal(38,0)")
+    if leaves.count() <= SMALL:
+        nodes = _ordered_budgets(leaves, weights, given)
+        return leaves.join(nodes, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"))
     above = None
     for k, level in enumerate(LEVELS):
         done = list(LEVELS[: k + 1])
