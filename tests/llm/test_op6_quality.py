@@ -100,3 +100,52 @@ def test_one_id_on_very_many_documents(spark, docs_of):
     assert len(got) == ids.count() and sum((t or "").startswith("text ") for _, t in got) == 1
     assert sorted(got, key=str) == sorted((tuple(r) for r in labelled_texts(docs.repartition(5), ids).collect()), key=str)
     assert op.learn(docs, labels) is not None
+
+
+def _train(spark, x, y, parts=3):
+    return spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y)], "y int, x array<double>").repartition(parts)
+
+
+def test_every_labelled_row_trains(spark, docs_of):
+    """Far more labelled rows than the sample held: each id outside the held-out fold is there once."""
+    n = 9000
+    docs = docs_of([f"text {i}" for i in range(n)], ids=list(range(n)))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    train = op.training_rows(op.measured(docs), labels)
+    ids = [i for i in range(n) if crc32(str(i).encode()) % 4 != 2]
+    assert train.count() == len(ids) > 6000
+    assert sorted(map(tuple, train.collect())) == sorted((int(i % 3 != 0), op.features(f"text {i}")) for i in ids)
+
+
+def test_weights_of_all_pairs(spark):
+    """Newton steps by counts against the gradient of the loss over every pair, listed one by one."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(300, 4)))
+    y = (x[:, 0] - x[:, 1] + 0.7 * rng.normal(size=300) > 0).astype(int)
+    train = _train(spark, x, y)
+    edges = op.edges_of(train)
+    w = op.all_pairs(train, edges)
+    z = op.binned(x, edges)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    grad = op.L2 * w - op.PAIRS / len(d) * (d / (1 + np.exp(d @ w))[:, None]).sum(axis=0)
+    full = op.L2 * np.zeros_like(w) - op.PAIRS / len(d) * (d / 2).sum(axis=0)
+    assert np.abs(grad).max() < 1e-3 * np.abs(full).max()
+    for f in range(4):  # edges are quantiles of all rows to the coarseness of the counts
+        share = np.array([np.mean(x[y == k, f][:, None] >= edges[f], axis=0) for k in (0, 1)]).mean(axis=0)
+        assert (np.diff(edges[f]) >= 0).all() and 0 < share.min() and share[0] > 0.9
+
+
+def test_few_sums_reach_the_driver(spark):
+    """However many partitions the rows lie in, the driver adds up the sums of a bounded number of tasks."""
+    from tessera.llm import shared
+
+    train = spark.range(1000).selectExpr("cast(id % 2 as int) as y", "array(cast(id as double)) as x").repartition(211)
+    rows, total = shared.summed(train, lambda x, y: [np.array([float(len(y))]), np.array([x.sum()])])
+    assert (rows[0], total[0]) == (1000, 499500)
+    seen = []
+    whole, shared.np.sum = np.sum, lambda a, **k: (seen.append(len(a)), whole(a, **k))[1]
+    try:
+        shared.summed(train, lambda x, y: [np.array([float(len(y))])])
+    finally:
+        shared.np.sum = whole
+    assert seen == [min(shared.TRAIN_PARTS, 211)]
