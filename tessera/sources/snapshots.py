@@ -26,6 +26,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,11 @@ def _checksum(system, status) -> str:
         stream.close()
 
 
+def _part(path: Column) -> Column:
+    """What items say of the part that they came from: a number, for paths would be most of a row's bytes."""
+    return F.xxhash64(path)
+
+
 def state_of(parts: dict[str, list]) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:24]
 
@@ -85,7 +91,7 @@ class EdgeIndex:
         self.spark, self.path, self.columns, self.derive, self.group = spark, path, columns, derive, group
         self.fold, self.kept, self.grace = fold, kept, grace
         source = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
-        self.place = f"{shared_folder(spark)}/index/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+        self.place = f"{shared_folder(spark)}/index/{name}-laid-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
         self.made: list[str] = []
 
     def manifests(self) -> list[tuple[float, str]]:
@@ -106,12 +112,17 @@ class EdgeIndex:
         folders = {f for p, f in manifest["items"].items() if p in parts}
         if not folders:
             return None
-        held = [self.spark.read.parquet(f).where(F.col("part__").isin(*[p for p, g in manifest["items"].items() if g == f and p in parts])) for f in sorted(folders)]
+        held = [self.spark.read.parquet(f).where(reduce(Column.__or__, [F.col("part__") == _part(F.lit(p)) for p, g in manifest["items"].items() if g == f and p in parts])) for f in sorted(folders)]
         return reduce(DataFrame.unionByName, held)
 
+    def _laid(self, parts: set[str]) -> DataFrame:
+        """The items of some parts of the source, dealt out by ranges of their group and in order of it, then of their columns."""
+        part = _part(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///"))
+        rows = self.spark.read.parquet(*sorted(parts)).select(*self.columns, part.alias("part__"))
+        return rows.repartitionByRange(self.group).sortWithinPartitions(self.group, *[c for c in rows.columns if c not in (self.group, "part__")])
+
     def _extracted(self, parts: set[str]) -> str:
-        part = F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
-        return self._write(self.spark.read.parquet(*sorted(parts)).select(*self.columns, part.alias("part__")), "items", self.group)
+        return self._write(self._laid(parts), "items")
 
     @staticmethod
     def _counted(signed: list[tuple[DataFrame, int]]) -> DataFrame:
@@ -131,9 +142,13 @@ class EdgeIndex:
         return rows
 
     def _whole(self, parts: dict[str, list]) -> dict:
-        items = self._extracted(set(parts))
-        counted = self._counted([(self.derive(self.spark.read.parquet(items).drop("part__")), 1)])
-        edges = self._write(counted, "edges")
+        # laid out once, for the items and for what is derived of them: the ranges keep a group whole and in order, so nothing is shuffled or sorted again
+        laid = self._laid(set(parts)).persist(StorageLevel.DISK_ONLY)
+        try:
+            items = self._write(laid, "items")
+            edges = self._write(self._counted([(self.derive(laid.drop("part__")), 1)]), "edges")
+        finally:
+            laid.unpersist()
         degrees = self._write(self._degrees(self.spark.read.parquet(edges).select(*EDGE, F.lit(1).cast("long").alias("n"))), "degrees")
         return {"source": self.path, "parts": parts, "items": dict.fromkeys(parts, items), "edges": [edges], "degrees": [degrees]}
 

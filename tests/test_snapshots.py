@@ -167,3 +167,19 @@ def test_checksum_of_a_part(spark, tmp_path):
     (tmp_path / "t" / "b").write_bytes(b"x" * 199_999 + b"y")
     two = snapshots.parts_of(spark, str(tmp_path / "t"))
     assert len({c for _, _, c in two.values()}) == 2 and snapshots.state_of(one) != snapshots.state_of(two)
+
+
+def test_a_first_build_shuffles_items_once(spark, table):
+    """Edges are derived from items as they were laid out: no further exchange by order, and no further sort, of all items."""
+    i, plans = index(spark, table), []
+
+    def derive(items):
+        out = views._neighbours(items)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    i.derive = derive
+    i.manifest()
+    own = plans[0].split("InMemoryTableScan")[0]
+    assert len(plans) == 1 and "Window" in own and "Exchange" not in own and "Sort" not in own
+    check(spark, table)
