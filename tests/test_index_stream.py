@@ -72,3 +72,32 @@ def test_equals_the_batch_pass(spark, tmp_path):
 def test_without_changes(spark, tmp_path):
     write(spark, [], f"{tmp_path}/in")
     assert s.run(spark, f"{tmp_path}/in", str(tmp_path)).count() == 0
+
+
+def test_one_look_at_the_state_for_each_file():
+    """A file's state is asked for once a batch, and written only if a change was applied."""
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    c = s.Chunks()
+    c.file = State()
+    change = Row(project="p", path="f", at=1, live=True, ids=["a", "b"], hashes=["x", "y"])
+    told = list(c.handleInputRows(("p", "f"), iter([change]), None))
+    assert [(r["path"], r["chunk_id"], r["status"]) for r in told] == [("f", "a", "new"), ("f", "b", "new")]
+    assert list(c.handleInputRows(("p", "f"), iter([change]), None)) == []
+    assert c.file.calls == ["get", "update", "get"]
