@@ -110,3 +110,21 @@ def test_empty_commits(spark, tmp_path):
     c = Catalogue(spark, f"{tmp_path}/empty")
     c.commit(chunks(spark, []))
     assert c.read().count() == 0 and c.read().columns == ["project", "path", "chunk_id", "content_hash"]
+
+
+def test_a_pass_reads_its_catalogues_once(spark):
+    """What stands for cutting up and hashing texts is done once for each row of either catalogue."""
+    from tessera.operators import chunking
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    kind = "project string, path string, start int, chunk_id string, content_hash string"
+    rows = lambda h: spark.range(300).selectExpr("'p' as project", "concat('f', id % 30) as path", "cast(id as int) as start", "concat('c', id) as chunk_id", h).mapInPandas(counted, kind)
+    old, new = rows("'a' as content_hash").where("start % 7 <> 0"), rows("if(id % 5 = 0, 'b', 'a') as content_hash")
+    got = chunking.index_pass(old, new, new.select("path").where("false"), 20).collect()
+    assert made.value == 600 and len(got) == 300 - sum(i % 7 == 0 for i in range(300)) + sum(r["status"] == "new" for r in got)
