@@ -100,3 +100,16 @@ def test_run_leaves_only_its_result(spark, small, docs_of, documents, labels, tm
     new = files() - before
     assert new and all("/pipeline-" in str(p) and p.parent.name == "4" for p in new)
     assert got.count() == len(got.collect())
+
+
+def test_quality_stage_trains_on_every_labelled_row(spark, docs_of, tmp_path, monkeypatch):
+    from zlib import crc32
+
+    import corpus_pipeline
+    from tessera.llm import op6_quality
+
+    n, seen = 9000, []
+    spark.range(n).selectExpr("id as doc_id", "cast(id % 3 <> 0 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(op6_quality, "fit_all", lambda train, base: seen.append(train.count()))
+    corpus_pipeline.quality(spark, docs_of([f"text {i}" for i in range(n)]), str(tmp_path))
+    assert seen == [sum(crc32(str(i).encode()) % 4 != 2 for i in range(n))]
