@@ -18,8 +18,9 @@ varied contexts (copies of one passage don't count as variety); stems that clean
 then, become doubtful insults, which count by the share of clauses that hold them. Event weights come from logistic regression with the grammar's
 hand-set weights as prior, so patterns that the labels never show keep their meaning.
 
-Bounds: ``TRAIN_ROWS`` labelled rows (by a hash of the id), ``STEMS`` learned stems. Stem counts are
-map-side combined aggregations; scoring is one pass over Arrow batches without a shuffle.
+Every labelled id outside the held-out fold trains, with one document each. Stems are counted in the tasks, then by stem over
+all rows; weights come from Newton steps on sums of the tasks, so the driver gets at most ``STEMS`` stems of a kind and such sums. Texts of
+training rows are shuffled once; features are computed once, lie in the shared folder and are what both training and scoring read.
 
 Defined results: null and empty texts have no clause and get the base score; without labels of both classes
 the prior weights score; a null doc_id is held out as the empty text's fold says and never trains; rows may
@@ -35,20 +36,21 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .shared import TRAIN_ROWS, cut, fold, labelled_sample, labelled_texts, logistic
+from .shared import cut, fold, labelled, labelled_texts, summed, training_rows
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 #: A learned stem: its lengths, how sure a sign it is at the corpus's rate of labels, the evidence for it in nats
-#: (contexts times divergence from the sample's rate), and how many are learned.
+#: (contexts times divergence from the training rows' rate), and how many are learned.
 LENGTHS, SURE, EVIDENCE, STEMS = range(3, 9), 0.9, 18.0, 500
 #: A doubtful stem is a sure sign where it is dense: twice in a row and in at least this share of its words.
 RATE = 0.01
+#: Most Newton steps, and the penalty on what differs from the prior weights.
+STEPS, L2 = 30, 1.0
 #: Of a doubtful stem and a sure one that is a form of it, the sure one gives way if the other has ``FORMS`` times its rows.
 FORMS = 1.5
 #: A longer stem replaces a shorter one if it keeps so large a share of its rows.
@@ -236,30 +238,48 @@ def clause_score(events: list[str], weights: np.ndarray) -> float:
     return float(sum(weights[EVENTS.index(e)] * log2(1 + events.count(e)) for e in dict.fromkeys(events)))
 
 
-def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each training row its distinct stems; ``bit`` is one of 64 by the words around the stem's first place."""
-    for f in frames:
-        out = []
-        for y, text in zip(f["y"].tolist(), f["text"]):
-            words = ["", *re.findall(r"[^\W\d_]+", (text or "").lower()), ""]
-            first, n = {}, Counter()
-            for i in range(1, len(words) - 1):
-                for k in LENGTHS:
-                    if len(words[i]) >= k:
-                        first.setdefault(stem := words[i][:k], f"{words[i - 1]} {words[i + 1]}")
-                        n[stem] += 1
-            least = max(2, RATE * len(words))
-            out += [(w, xxh32_intdigest(a.encode()) & 63, y, int(n[w] >= least)) for w, a in first.items()]
-        yield pd.DataFrame(out, columns=["stem", "bit", "y", "dense"])
+#: For each stem how many rows of label 1 and 0 hold it, and one of 64 bits for the words around its first place in each row of label 1; then the same of the rows where it is dense.
+SUMS = ("sure_pos", "sure_neg", "sure_bits", "dense_pos", "dense_neg", "dense_bits")
+#: Stems that a task counts before it passes them on.
+STEM_BLOCK = 100_000
+
 
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``SUMS`` by stem over the training rows of a task, in blocks; a stem may come in several."""
+    rows: dict[str, list[int]] = {}
 
-def learned_stems(sample: DataFrame, bad: int, good: int, base: float) -> tuple[list[str], list[str]]:
-    """Sure and doubtful stems that mark label 1, among ``bad`` and ``good`` sampled rows; ``base`` is the corpus's rate of label 1."""
-    each = sample.mapInPandas(_stems, "stem string, bit int, y int, dense int").withColumn("mask", F.expr("shiftleft(1L, bit)"))
-    sums = [x for k, on in (("sure", "true"), ("dense", "dense = 1")) for x in (
-        F.expr(f"count_if(y = 1 and {on})").alias(f"{k}_pos"), F.expr(f"count_if(y = 0 and {on})").alias(f"{k}_neg"), F.expr(f"bit_or(if(y = 1 and {on}, mask, 0L))").alias(f"{k}_bits")
-    )]
-    seen = each.groupBy("stem").agg(*sums)
+    def block() -> pa.RecordBatch:
+        sums = np.array(list(rows.values()), np.uint64).reshape(-1, len(SUMS)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *[pa.array(np.ascontiguousarray(x)) for x in sums.T]], ["stem", *SUMS])
+
+    for b in batches:
+        for y, text in zip(b.column("y").to_pylist(), b.column("text")):
+            words = ["", *re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()), ""]
+            places, first, n = {}, {}, Counter(words)
+            for i in range(1, len(words) - 1):
+                places.setdefault(words[i], i)
+            by_stem: dict[str, int] = {}
+            for w, i in places.items():
+                for stem in [w[:k] for k in LENGTHS if len(w) >= k]:
+                    first.setdefault(stem, i)
+                    by_stem[stem] = by_stem.get(stem, 0) + n[w]
+            least = max(2, RATE * len(words))
+            for stem, i in first.items():
+                s = rows.setdefault(stem, [0] * len(SUMS))
+                bit = 1 << (xxh32_intdigest(f"{words[i - 1]} {words[i + 1]}".encode()) & 63) if y else 0
+                for at in (0, 3) if by_stem[stem] >= least else (0,):
+                    s[at + 1 - y] += 1
+                    s[at + 2] |= bit
+            if len(rows) >= STEM_BLOCK:
+                yield block()
+                rows.clear()
+    yield block()
+
+
+def learned_stems(train: DataFrame, bad: int, good: int, base: float) -> tuple[list[str], list[str]]:
+    """Sure and doubtful stems that mark label 1, among ``bad`` and ``good`` rows of ``train(y, text)``; ``base`` is the corpus's rate of label 1."""
+    each = train.select("y", "text").mapInArrow(_stems, f"stem string, {', '.join(f'{c} long' for c in SUMS)}")
+    seen = each.groupBy("stem").agg(*[F.expr(f"{'bit_or' if c.endswith('bits') else 'sum'}({c})").alias(c) for c in SUMS])
     p, ratio = bad / (bad + good), (1 - base) / base * bad / good
 
     def passing(kind: str) -> dict[str, int]:
@@ -288,42 +308,65 @@ def _families(found: dict[str, int]) -> dict[str, int]:
     return final
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[list[str], list[str]], np.ndarray]:
-    """Learned stems and weights from labelled rows outside the held-out fold."""
-    ids = labelled_sample(labels, "toxic", FOLDS, HELD, rows)
-    sample = cut(labelled_texts(docs, ids))
+def rate(labels: DataFrame) -> float | None:
+    """The share of label 1 among all labels outside the held-out fold."""
+    return labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD)).agg(F.avg("toxic")).first()[0]
+
+
+def learn_words(docs: DataFrame, labels: DataFrame, base: float | None) -> tuple[list[str], list[str]]:
+    """Learned stems from every labelled id of ``docs`` outside the held-out fold."""
+    mine = docs.where(F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = cut(labelled(labels, "toxic", FOLDS, HELD).join(mine.select("doc_id").distinct(), "doc_id", "left_semi"))
     sizes = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
+    return learned_stems(labelled_texts(mine, ids), sizes[1], sizes[0], base) if len(sizes) == 2 else ([], [])
+
+
+def measured(docs: DataFrame, words: tuple[list[str], list[str]]) -> DataFrame:
+    """``(doc_id, hash, x)``: the features of each row under the learned ``words``, computed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Grammar(*words)
+        for b in batches:
+            x = [machine.features(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "hash", "x"])
+
+    text = F.col("text").cast("string")
+    return cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id long, hash long, x array<double>"))
+
+
+def learn_weights(train: DataFrame, base: float) -> np.ndarray:
+    """The weights of least logistic loss over all rows of ``train(y, x)``, classes weighing as in the corpus, by Newton's method from sums of tasks."""
+    sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        return ([], []), prior()
-    base = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD)).agg(F.avg("toxic")).first()[0]
-    words = learned_stems(sample, sizes[1], sizes[0], base)
-    machine = Grammar(*words)
+        return prior()
+    share = np.array([(1 - base) / sizes[0], base / sizes[1]]) * (sizes[0] + sizes[1])
+    w = prior()
+    for _ in range(STEPS):
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"y": f["y"], "x": [machine.features(t) for t in f["text"]]})
+        def tally(x: np.ndarray, y: np.ndarray, w=w) -> list[np.ndarray]:
+            p, weight = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), share[y]
+            return [x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x]
 
-    got = sample.mapInPandas(run, "y int, x array<double>").groupBy("y", "x").count().toPandas()  # at most ``rows``
-    if got["y"].nunique() < 2:
-        return words, prior()
-    x, y, n = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["count"].to_numpy(float)
-    weight = n * np.where(y == 1, base / n[y == 1].sum(), (1 - base) / n[y == 0].sum()) * n.sum()  # the sample is balanced, the corpus is not
-    order = np.lexsort(np.column_stack([x, y]).T)
-    return words, logistic(x[order], y[order], weight=weight[order], prior=prior(), l2=1.0)
+        grad, hess = summed(train, tally)
+        step = np.linalg.solve(hess.reshape(WIDTH, WIDTH) + L2 * np.eye(WIDTH), grad + L2 * (w - prior()))
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The contract's rows: doc_id, held_out, score, predicted."""
-    words, weights = learn(docs, labels)
+    base = rate(labels)
+    rows = measured(docs, learn_words(docs, labels, base))
+    weights = prior() if base is None else learn_weights(training_rows(rows, labels, "toxic", FOLDS, HELD), base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Grammar(*words)
         for b in batches:
-            x = np.array([machine.features(t.as_py()) for t in b.column(1)]).reshape(-1, WIDTH)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TRAIN_PARTS, cut, fold, labelled, logistic, summed
+from . import shared
+from .shared import cut, fold, logistic, summed
 
 #: ``PAIRS``: how many pairs the mean loss over all pairs weighs, beside the penalty ``L2``.
 THRESHOLD, PAIRS, BINS, L2 = 0.7, 20_000, 8, 2.0
@@ -117,13 +118,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(rows: DataFrame, labels: DataFrame, parts: int = FOLDS, held: int = HELD) -> DataFrame:
-    """``(y, x)`` of every labelled id outside the held-out fold: of the rows of ``measured`` with one id that of the least text hash.
-
-    Rows of one id are reduced to one in each task. They lie in an order of their own, so that sums over them don't hang on partitioning.
-    """
-    one = rows.where(F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held)).groupBy("doc_id").agg(F.min(F.struct("hash", "x")).alias("m"))
-    mine = one.join(labelled(labels, "quality", parts, held), "doc_id").select("doc_id", "y", F.col("m.x").alias("x"))
-    return cut(mine.repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id").select("y", "x"))
+    """``(y, x)`` of every labelled id outside the held-out fold, from the rows of ``measured``."""
+    return shared.training_rows(rows, labels, "quality", parts, held)
 
 
 def _counted_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest_llm import clash
 
@@ -138,3 +140,51 @@ def test_features_are_of_clauses():
         assert (score > 0) == bool(found)
     longer = machine.features("You idiot. ok " + "word " * 500)
     assert longer == machine.features("You idiot. ok")  # the length of a clause is nothing
+
+
+def test_every_labelled_row_trains(spark, docs_of, monkeypatch):
+    """Far more labelled rows than a sample of 4,000 holds: stems and weights are learned from each id outside the held-out fold."""
+    n, seen = 9000, []
+    docs = docs_of([f"you idiot {i}" if i % 3 else f"fine {i}" for i in range(n)], ids=list(range(n)))
+    labels = spark.range(n).selectExpr("id as doc_id", "0 as quality", "cast(id % 3 > 0 as int) as toxic")
+    stems = op.learned_stems
+    monkeypatch.setattr(op, "learned_stems", lambda train, bad, good, base: (seen.append((train.count(), bad, good)), stems(train, bad, good, base))[1])
+    assert op.toxicity(docs, labels).count() == n
+    ids = [i for i in range(n) if crc32(str(i).encode()) % 5 != 0]
+    assert seen == [(len(ids), sum(i % 3 > 0 for i in ids), sum(i % 3 == 0 for i in ids))] and len(ids) > 6000
+
+
+def test_weights_equal_the_fit_in_memory(spark, docs_of):
+    """Newton steps on sums of tasks against the same loss over rows held in memory."""
+    from tessera.llm.shared import logistic
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.exponential(size=(400, op.WIDTH - 1)), np.ones(400)])
+    y = (x[:, 0] - x[:, 4] + rng.normal(size=400) > 0.8).astype(int)
+    train = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y)], "y int, x array<double>").repartition(7)
+    share = np.where(y == 1, 0.1 / y.sum(), 0.9 / (1 - y).sum()) * len(y)
+    assert op.learn_weights(train, 0.1) == pytest.approx(logistic(x, y, weight=share, prior=op.prior()), abs=1e-5)
+
+
+def test_stems_are_counted_as_by_a_plain_loop(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3 == 0), " ".join("".join(rng.choice(list("abc"), rng.integers(2, 9))) for _ in range(60))) for i in range(50)] + [(1, None), (0, "")]
+    want = Counter()
+    for y, text in rows:
+        words = re.findall(r"[^\W\d_]+", text or "")
+        n = Counter(w[:k] for w in words for k in op.LENGTHS if len(w) >= k)
+        want.update({(s, "sure", y): 1 for s in n} | {(s, "dense", y): 1 for s, c in n.items() if c >= max(2, op.RATE * (len(words) + 2))})
+    op_rows = spark.createDataFrame(rows, "y int, text string").repartition(3).mapInArrow(op._stems, f"stem string, {', '.join(f'{c} long' for c in op.SUMS)}").collect()
+    got = Counter()
+    monkeypatch.setattr(op, "STEM_BLOCK", 300)
+    batch = pa.RecordBatch.from_pylist([{"y": y, "text": t} for y, t in rows])
+    blocks = list(op._stems(iter([batch])))
+    assert len(blocks) > 2 and sum(pc.sum(b["sure_pos"]).as_py() + pc.sum(b["sure_neg"]).as_py() for b in blocks) == sum(n for (_, k, _), n in want.items() if k == "sure")
+    many = pa.RecordBatch.from_pylist([{"y": 1, "text": " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(200_000))}])
+    assert all(isinstance(b, pa.RecordBatch) for b in op._stems(iter([many])))
+    for r in op_rows:
+        got.update({(r["stem"], k, y): r[f"{k}_{'pos' if y else 'neg'}"] for k in ("sure", "dense") for y in (0, 1)})
+    assert +got == want
