@@ -1,7 +1,7 @@
 """From raw documents to a mixed, encoded corpus: five stages, each one operator of ``tessera.llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of ``documents``, extra ones included.
+return the columns of ``documents``, extra ones included. Results and checkpoints are written in few files (``packed``).
 
 Defined results: a null text counts as empty in every stage (an empty text gets the quality of its features, groups
 with all wordless texts, holds no secret, counts one token, has no ids); a null id keeps its row apart from others;
@@ -15,32 +15,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import op4_mixing, op5_bpe, op6_quality, op7_secrets, op9_simhash
-from tessera.llm.shared import clearing, remove, shared_folder, table
+from tessera.llm.shared import clearing, packed, remove, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return op6_quality.accepted(docs, table(spark, sf_dir, "labels"))
+    return packed(op6_quality.accepted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    return op9_simhash.keep_one(docs)
+    return packed(op9_simhash.keep_one(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Owner-specific, live-looking credentials are masked; every document stays."""
-    return op7_secrets.redacted(docs)
+    return packed(op7_secrets.redacted(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the budgets of their domain, language and source say."""
-    return op4_mixing.mixed(docs)
+    return packed(op4_mixing.mixed(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with character offsets, and the text decoded from them."""
-    return op5_bpe.encoded(docs)
+    return packed(op5_bpe.encoded(docs))
 
 
 STAGES = [

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .shared import cut, fold, labelled, labelled_texts, summed, training_rows
+from .shared import cut_packed, fold, labelled, labelled_texts, summed, training_rows
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 #: A learned stem: its lengths, how sure a sign it is at the corpus's rate of labels, the evidence for it in nats
@@ -291,7 +291,7 @@ def learned_stems(train: DataFrame, bad: int, good: int, base: float) -> tuple[l
         good_ones = seen.where(pos >= 3).where((pos >= SURE * (pos + ratio * neg)) & (contexts * divergence >= EVIDENCE))
         return {r["stem"]: r["n"] for r in good_ones.select("stem", pos.alias("n")).orderBy(F.desc("n"), F.length("stem"), "stem").limit(STEMS).collect()}
 
-    seen = cut(seen)
+    seen = cut_packed(seen)
     sure, dense = _families(passing("sure")), _families(passing("dense"))
     dense = {x: n for x, n in dense.items() if not any(y.startswith(x) and m * FORMS > n for y, m in sure.items())}
     return sorted(x for x in sure if not any(x.startswith(y) for y in dense)), sorted(dense)
@@ -316,7 +316,7 @@ def rate(labels: DataFrame) -> float | None:
 def learn_words(docs: DataFrame, labels: DataFrame, base: float | None) -> tuple[list[str], list[str]]:
     """Learned stems from every labelled id of ``docs`` outside the held-out fold."""
     mine = docs.where(F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = cut(labelled(labels, "toxic", FOLDS, HELD).join(mine.select("doc_id").distinct(), "doc_id", "left_semi"))
+    ids = cut_packed(labelled(labels, "toxic", FOLDS, HELD).join(mine.select("doc_id").distinct(), "doc_id", "left_semi"))
     sizes = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     return learned_stems(labelled_texts(mine, ids), sizes[1], sizes[0], base) if len(sizes) == 2 else ([], [])
 
@@ -331,7 +331,7 @@ def measured(docs: DataFrame, words: tuple[list[str], list[str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "hash", "x"])
 
     text = F.col("text").cast("string")
-    return cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id long, hash long, x array<double>"))
+    return cut_packed(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id long, hash long, x array<double>"))
 
 
 def learn_weights(train: DataFrame, base: float) -> np.ndarray:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, cut, join_counted, join_hot
+from .shared import BROADCAST_ROWS, cut_packed, join_counted, join_hot
 
 SEED, EPOCHS = 17, 3
 #: Rounds of two hex digits that narrow a leaf down to the bucket in which its budget ends.
@@ -75,7 +75,7 @@ def _levels_of_water(nodes: DataFrame) -> DataFrame:
     d, slack = lambda c: F.col(c).cast("double"), 1e-6
     full = d("before") + d("step_s") + F.pow(2.0, (F.col("step") + 1) / STEPS) * (1 + slack) * d("rest_w") <= d("b") * (1 - slack)
     over = d("before") + F.pow(2.0, F.col("step") / STEPS) * (1 - slack) * (d("rest_w") + d("step_w")) > d("b") * (1 + slack)
-    steps = cut(steps.withColumn("side", F.when(full, "full").when(over, "open").otherwise("mixed")))
+    steps = cut_packed(steps.withColumn("side", F.when(full, "full").when(over, "open").otherwise("mixed")))
     mixed = steps.where("side = 'mixed'").groupBy("parent").agg(F.min("step").alias("low"), F.max("step").alias("high"))
     within = steps.join(mixed, "parent").where("low <= step and step <= high").select("parent", "step", F.first("before").over(Window.partitionBy("parent").orderBy("step")).alias("base"), F.max(F.col("rest_w") + F.col("step_w")).over(Window.partitionBy("parent")).alias("top_w"))
     order = Window.partitionBy("parent").orderBy(ratio, "s", "w")
@@ -87,7 +87,7 @@ def _levels_of_water(nodes: DataFrame) -> DataFrame:
     outer = outer.groupBy("parent").agg(
         F.sum("n").alias("kids"), big(F.sum(F.when(is_full, F.col("step_s")).otherwise(0))).alias("out_s"), big(F.sum(F.when(F.col("out") & (F.col("side") == "open"), F.col("step_w")).otherwise(0))).alias("out_w")
     )
-    return cut(outer.join(inner, "parent", "left").select("parent", "kids", big(F.col("out_s") + F.coalesce("in_s", F.lit(0))).alias("used"), big(F.col("out_w") + F.coalesce("in_w", F.lit(0))).alias("open_w")))
+    return cut_packed(outer.join(inner, "parent", "left").select("parent", "kids", big(F.col("out_s") + F.coalesce("in_s", F.lit(0))).alias("used"), big(F.col("out_w") + F.coalesce("in_w", F.lit(0))).alias("open_w")))
 
 
 def _ordered_budgets(leaves: DataFrame, weights: dict[str, int], given: Column) -> DataFrame:
@@ -111,7 +111,7 @@ def _ordered_budgets(leaves: DataFrame, weights: dict[str, int], given: Column)
 
 def budgets(leaves: DataFrame, weights: dict[str, int], total: Column, epochs: int = EPOCHS) -> DataFrame:
     """``leaves(domain, language, source, tokens)`` with ``budget``, the tokens that each may spend."""
-    leaves = cut(leaves.withColumn("supply", (F.col("tokens") * epochs).cast("decimal(38,0)")))
+    leaves = cut_packed(leaves.withColumn("supply", (F.col("tokens") * epochs).cast("decimal(38,0)")))
     given = total.cast("decimal(38,0)")
     if leaves.count() <= SMALL:
         nodes = _ordered_budgets(leaves, weights, given)
@@ -122,9 +122,9 @@ def budgets(leaves: DataFrame, weights: dict[str, int], total: Column, epochs: i
         nodes = leaves.groupBy(*done).agg(F.sum("supply").cast("decimal(38,0)").alias("s")).withColumn("w", _weight(weights, F.concat_ws("/", *done)))
         nodes = nodes.withColumn("parent", F.concat_ws("\x1f", F.lit("root"), *done[:-1]))
         if above is None:
-            nodes = cut(nodes.withColumn("b", given))
+            nodes = cut_packed(nodes.withColumn("b", given))
         else:
-            nodes = cut(join_hot(nodes, above, "parent", "kids", above.agg(F.coalesce(F.sum("kids"), F.lit(0)).alias("n")).first()["n"], "b"))
+            nodes = cut_packed(join_hot(nodes, above, "parent", "kids", above.agg(F.coalesce(F.sum("kids"), F.lit(0)).alias("n")).first()["n"], "b"))
         water = _levels_of_water(nodes)
         nodes = join_hot(nodes, water, "parent", "kids", nodes.count(), "used", "open_w")
         # full: its supply per weight is under the level that the rest of the budget gives the others
@@ -132,7 +132,7 @@ def budgets(leaves: DataFrame, weights: dict[str, int], total: Column, epochs: i
         share = F.expr("cast(((b - used) * w) div open_w as decimal(38,0))")
         nodes = nodes.select(*done, F.when(filled, F.col("s")).otherwise(F.least(F.col("s"), share)).cast("decimal(38,0)").alias("budget"))
         kids = leaves.select(*LEVELS[: k + 2]).distinct().groupBy(*done).agg(F.count("*").alias("kids")) if k + 1 < len(LEVELS) else None
-        above = None if kids is None else cut(nodes.join(kids, done).select(F.concat_ws("\x1f", F.lit("root"), *done).alias("parent"), "kids", F.col("budget").alias("b")))
+        above = None if kids is None else cut_packed(nodes.join(kids, done).select(F.concat_ws("\x1f", F.lit("root"), *done).alias("parent"), "kids", F.col("budget").alias("b")))
     return leaves.join(nodes, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"))
 
 
@@ -143,24 +143,24 @@ def _order(epoch: Column, seed: int, doc_id: Column) -> Column:
 def _by_row(docs: DataFrame, rid: Column, weights: dict[str, int] | None = None, budget: int = BUDGET, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
     """``planned`` with ``rid``, which tells rows apart."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = cut(docs.select(
+    rows = cut_packed(docs.select(
         rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), source.alias("source"), tokens_of(F.col("text").cast("string")).alias("n_tokens"),
     ))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     all_tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     plan = budgets(leaves, WEIGHTS if weights is None else weights, F.lit(min(all_tokens * budget // 1000, all_tokens * epochs)), epochs)
-    plan = cut(plan.select(*LEVELS, F.expr("budget div tokens").alias("passes"), F.expr("budget % tokens").alias("left")))
+    plan = cut_packed(plan.select(*LEVELS, F.expr("budget div tokens").alias("passes"), F.expr("budget % tokens").alias("left")))
     placed = join_counted(rows, plan, [*LEVELS], "doc_id").withColumn("place", _order(F.col("passes"), seed, F.col("doc_id"))).drop("left")
     edge, upto = plan.select(*LEVELS, "left", F.lit("").alias("edge"), F.lit(0).cast("long").alias("before")), Window.partitionBy(*LEVELS).orderBy("bucket")
     for k in range(ROUNDS):
         inside = join_counted(placed, edge, [*LEVELS], "doc_id").where(F.substring("place", 1, 2 * k) == F.col("edge"))
         sums = inside.groupBy(*LEVELS, F.substring("place", 1, 2 * k + 2).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"), F.first("before").alias("base"))
         sums = sums.withColumn("before", F.col("base") + F.sum("n").over(upto) - F.col("n"))
-        edge = cut(sums.where("before <= left and before + n > left").select(*LEVELS, "left", F.col("bucket").alias("edge"), "before"))
+        edge = cut_packed(sums.where("before <= left and before + n > left").select(*LEVELS, "left", F.col("bucket").alias("edge"), "before"))
     placed = join_counted(placed, edge, [*LEVELS], "doc_id").withColumn("bucket", F.substring("place", 1, 2 * ROUNDS))
     whole = placed.where("bucket <> edge").withColumn("last", F.col("bucket") < F.col("edge"))
-    part = cut(placed.where("bucket = edge").withColumn("g", F.concat_ws("\x1f", *LEVELS, "place", F.col("n_tokens").cast("string"))))
+    part = cut_packed(placed.where("bucket = edge").withColumn("g", F.concat_ws("\x1f", *LEVELS, "place", F.col("n_tokens").cast("string"))))
     whole = whole.select("rid", "doc_id", *LEVELS, "n_tokens", "passes", "last")
     return whole.unionByName(_prefix(part)).select("rid", "doc_id", *LEVELS, "n_tokens", (F.col("passes") + F.col("last").cast("long")).alias("copies"))
 
@@ -174,7 +174,7 @@ def _prefix(part: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*LEVELS).orderBy("place", "n_tokens")
     groups = part.groupBy("g", *LEVELS, "place", "n_tokens").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.first("before").alias("before"))
     reach = F.col("before") + F.sum(F.col("n") * F.col("n_tokens")).over(upto) - F.col("n") * F.col("n_tokens")
-    groups = cut(groups.select("g", "n", F.greatest(F.lit(0).cast("long"), F.least("n", F.floor((F.col("left") - reach) / F.col("n_tokens")))).alias("taken")))
+    groups = cut_packed(groups.select("g", "n", F.greatest(F.lit(0).cast("long"), F.least("n", F.floor((F.col("left") - reach) / F.col("n_tokens")))).alias("taken")))
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = join_hot(part.drop("before", "left"), groups.withColumnRenamed("n", "of"), "g", "of", total, "of", "taken").withColumn("slice", F.pmod(F.xxhash64("rid"), F.lit(SLICES)).cast("int"))
     some = rows.where("0 < taken and taken < of")
@@ -198,7 +198,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the plan takes it; rows are told apart by position, never by id."""
-    held = cut(docs.withColumn("rid__", F.monotonically_increasing_id()))
+    held = cut_packed(docs.withColumn("rid__", F.monotonically_increasing_id()))
     taken = _by_row(held, F.col("rid__"), **how).where("copies > 0").select(F.col("rid").alias("rid__"), F.col("copies").alias("copies__"))
     out = held.join(taken, "rid__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

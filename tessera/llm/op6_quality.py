@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import cut, fold, logistic, summed
+from .shared import cut_packed, fold, logistic, summed
 
 #: ``PAIRS``: how many pairs the mean loss over all pairs weighs, beside the penalty ``L2``.
 THRESHOLD, PAIRS, BINS, L2 = 0.7, 20_000, 8, 2.0
@@ -114,7 +114,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """``(doc_id, hash, x)``: the features of each row, computed once."""
     text = F.col("text").cast("string")
-    return cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_measured, "doc_id long, hash long, x array<double>"))
+    return cut_packed(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_measured, "doc_id long, hash long, x array<double>"))
 
 
 def training_rows(rows: DataFrame, labels: DataFrame, parts: int = FOLDS, held: int = HELD) -> DataFrame:

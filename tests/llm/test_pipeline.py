@@ -113,3 +113,15 @@ def test_quality_stage_trains_on_every_labelled_row(spark, docs_of, tmp_path, mo
     monkeypatch.setattr(op6_quality, "fit_all", lambda train, base: seen.append(train.count()))
     corpus_pipeline.quality(spark, docs_of([f"text {i}" for i in range(n)]), str(tmp_path))
     assert seen == [sum(crc32(str(i).encode()) % 4 != 2 for i in range(n))]
+
+
+def test_checkpoints_and_results_are_few_files(spark, docs_of):
+    """However many partitions the rows lie in, few files are written: each one forks processes on a local file system."""
+    from tessera.llm import shared
+
+    most = shared.FILES * spark.sparkContext.defaultParallelism
+    many = docs_of([f"text {i}" for i in range(900)]).repartition(3 * most)
+    kept = shared.cut_packed(many)
+    assert kept.rdd.getNumPartitions() <= most and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert corpus_pipeline.encoding(spark, many, "").rdd.getNumPartitions() <= most
+    assert op6_quality.measured(many).rdd.getNumPartitions() <= most
