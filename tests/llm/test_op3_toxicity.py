@@ -188,3 +188,39 @@ def test_stems_are_counted_as_by_a_plain_loop(spark, monkeypatch):
     for r in op_rows:
         got.update({(r["stem"], k, y): r[f"{k}_{'pos' if y else 'neg'}"] for k in ("sure", "dense") for y in (0, 1)})
     assert +got == want
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_a_label_are_not_shuffled(spark, docs_of, monkeypatch):
+    """However many labelled ids there are: no bound decides, and the same rows come out."""
+    from tessera.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)
+    rng, n = np.random.default_rng(5), 400
+    docs = docs_of([rng.bytes(2000).hex() for _ in range(n)], ids=[i - 40 for i in range(n)])
+    ids = spark.range(0, n, 10).selectExpr("id as doc_id", "cast(id % 20 = 0 as int) as y")
+    before = shuffled(spark)
+    got = shared.labelled_texts(docs, ids).collect()
+    assert shuffled(spark) - before < 0.25 * n * 4000
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(tuple(r) for r in got) == sorted((r["y"], texts[r["doc_id"]]) for r in ids.collect() if r["doc_id"] in texts)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15, 64, 1])
+def test_a_full_bitmap_loses_no_row(spark, monkeypatch, bits):
+    from tessera.llm import shared
+
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    rows = spark.range(-300, 3000).selectExpr("id * 7919 as k", "id as text").union(spark.sql("select 9223372036854775807L, 1L union all select -9223372036854775807L - 1, 2L"))
+    keys = rows.where("text % 3 = 1")
+    got = [r["text"] for r in shared.may_match(rows, keys, "k").collect()]
+    mine = [r["text"] for r in keys.collect()]
+    assert len(got) == len(rows.where("true").collect()) if bits == 1 else set(mine) <= set(got)
+    assert not set(mine) - set(got) and (bits < 1 << 26 or len(got) <= len(mine) + 2)
+    assert shared.may_match(rows, keys.where("false"), "k").count() == 0
